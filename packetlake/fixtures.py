@@ -82,3 +82,187 @@ def packets_of(event_rows: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "signup", "UDP").otherwise("TCP").alias("protocol"),
         (54 + F.length("props") + F.floor("value")).cast("int").alias("size"),
     )
+
+
+# --- frames ----------------------------------------------------------------
+
+# What the frame of an event is, by event id modulo 17 (fixed values of the
+# fixture); all other remainders are plain IPv4 with TCP or UDP.
+VARIANTS = {
+    "arp": 0,
+    "icmp_echo": 1,
+    "ipv6": 2,
+    "vlan": 3,
+    "truncated": 4,
+    "unknown_ethertype": 5,
+    "padded": 6,
+    "icmp_timestamp": 7,
+    "icmpv6_echo": 8,
+    "ipv6_extension": 9,
+    "fragment": 10,
+    "overlong": 11,
+    "igmp": 12,
+    "short_arp": 13,
+}
+
+
+def _number(value: Column, width: int) -> Column:
+    """Big-endian bytes of a number."""
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * width, "0"))
+
+
+def _bytes(text: str) -> Column:
+    return F.lit(bytes.fromhex(text))
+
+
+def synth_frames(spark: SparkSession, sf_dir: str, payload: Column | None = None, variants: bool = True) -> DataFrame:
+    """Ethernet frames of ``synth_packets``; the payload is ``props`` unless given."""
+    packets = synth_packets(spark, sf_dir)
+    number, is_udp = F.col("packet_no"), F.col("protocol") == "UDP"
+    body = F.coalesce(payload, F.lit(b"")) if payload is not None else F.encode("props", "UTF-8")
+    small = number % 65536
+    built = packets.select("*", body.alias("payload"), (number % 17 if variants else F.lit(16)).alias("variant"))
+    body = F.col("payload")
+
+    has_options = number % 5 == 0
+    word = F.when(has_options, 0x6000).otherwise(0x5000) + number % 512
+    tcp = F.concat(
+        _number(F.col("src_port"), 2),
+        _number(F.col("dst_port"), 2),
+        _number(number, 4),
+        _number(number * 3, 4),
+        _number(word, 2),
+        _bytes("0400"),
+        _number(small, 2),
+        _bytes("0000"),
+        F.when(has_options, _bytes("020405b4")).otherwise(F.lit(b"")),
+        body,
+    )
+    udp = F.concat(
+        _number(F.col("src_port"), 2),
+        _number(F.col("dst_port"), 2),
+        _number(F.length(body) + 8, 2),
+        _number(small, 2),
+        body,
+    )
+    echo = F.concat(
+        F.when(F.col("variant") == VARIANTS["icmpv6_echo"], _bytes("80")).otherwise(_bytes("08")),
+        _bytes("00"),
+        _number(small, 2),
+        _number((number + 1) % 65536, 2),
+        _number(small, 2),
+        body,
+    )
+    stamp = F.concat(_bytes("0d00"), _number(small, 2), _bytes("00010002"), _number(number, 4), _number(number, 4), _number(number + 7, 4))
+
+    def is_one(*names: str) -> Column:
+        return F.col("variant").isin([VARIANTS[n] for n in names])
+
+    segments = built.withColumns(
+        {
+            "l4": F.when(is_one("icmp_echo", "icmpv6_echo"), echo)
+            .when(is_one("icmp_timestamp"), stamp)
+            .when(is_udp, udp)
+            .otherwise(tcp),
+            "proto": F.when(is_one("icmp_echo", "icmp_timestamp"), 1)
+            .when(is_one("icmpv6_echo"), 58)
+            .when(is_one("igmp"), 2)
+            .when(is_udp, 17)
+            .otherwise(6),
+        }
+    )
+    total = F.length("l4") + 20
+    v4 = F.concat(
+        _bytes("4500"),
+        _number(F.when(is_one("overlong"), total + 100).otherwise(total), 2),
+        _number(small, 2),
+        F.when(is_one("fragment"), _bytes("2001")).otherwise(_bytes("4000")),
+        _bytes("40"),
+        _number(F.col("proto"), 1),
+        _bytes("0000"),
+        F.col("src_ip"),
+        F.col("dst_ip"),
+        F.col("l4"),
+    )
+    extended = is_one("ipv6_extension")
+    v6 = F.concat(
+        _bytes("60000000"),
+        _number(F.length("l4") + F.when(extended, 8).otherwise(0), 2),
+        F.when(extended, _bytes("00")).otherwise(_number(F.col("proto"), 1)),
+        _bytes("40"),
+        ipv6_of("src_ip"),
+        ipv6_of("dst_ip"),
+        F.when(extended, F.concat(_number(F.col("proto"), 1), _bytes("00010400000000"))).otherwise(F.lit(b"")),
+        F.col("l4"),
+    )
+    arp = F.concat(
+        _bytes("0001080006040001"), _bytes("0200"), F.col("src_ip"), F.col("src_ip"), _bytes("0200"), F.col("dst_ip"), F.col("dst_ip")
+    )
+    ether_v4, ether_v6 = _bytes("0800"), _bytes("86dd")
+    rest = (
+        F.when(is_one("arp"), F.concat(_bytes("0806"), arp))
+        .when(is_one("short_arp"), F.concat(_bytes("0806"), F.substring(arp, 1, 20)))
+        .when(is_one("vlan"), F.concat(_bytes("8100"), v4))
+        .when(is_one("unknown_ethertype"), F.concat(_bytes("1234"), v4))
+        .when(is_one("ipv6", "icmpv6_echo", "ipv6_extension"), F.concat(ether_v6, v6))
+        .when(is_one("padded"), F.concat(ether_v4, v4, _bytes("000000000000")))
+        .otherwise(F.concat(ether_v4, v4))
+    )
+    frame = F.concat(_bytes("0200"), F.col("dst_ip"), _bytes("0200"), F.col("src_ip"), rest)
+    cut = F.when(is_one("truncated"), F.substring(frame, 1, 10)).otherwise(frame)
+    return segments.select("packet_no", "ts", cut.alias("data"))
+
+
+def ipv6_of(column: str) -> Column:
+    """A unique-local IPv6 address ending in the IPv4 address."""
+    return F.concat(_bytes("fd" + "00" * 11), F.col(column))
+
+
+def application_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose payload is a real message of the application on that port."""
+    number, kind = F.col("packet_no"), F.col("event_type")
+
+    def text(*parts: Column | str) -> Column:
+        return F.encode(F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), "UTF-8")
+
+    turn = number % 5
+    web = (
+        F.when(turn == 0, text("GET /e?id=", number, " HTTP/1.1\r\nHost: h\r\n\r\nbody"))
+        .when(turn == 1, text("HTTP/1.1 200 OK\r\nServer: s\r\n\r\n", F.col("props")))
+        .when(turn == 2, text("POST /form HTTP/1.10000000\r\n\r\n"))
+        .when(turn == 3, text("short"))
+        .otherwise(text("GET  /plain/", number, "  HTTP/1.0\nA: b\n\n"))
+    )
+    name = text("user", F.col("user_id"))
+    name_bytes = F.concat(_number(F.length(name), 1), name, _bytes("07"), text("example"), _bytes("00"))
+    lookup = F.concat(
+        _number(number % 65536, 2),
+        _bytes("0100"),
+        _bytes("0001"),
+        _bytes("000000000000"),
+        name_bytes,
+        _number(F.when(number % 3 == 0, 28).otherwise(1), 2),
+        F.when(number % 11 == 0, _bytes("8001")).otherwise(_bytes("0001")),
+    )
+    no_question = F.concat(_number(number % 65536, 2), _bytes("01000000000000000000"))
+    query = F.when(number % 7 == 0, no_question).when(number % 13 == 0, F.substring(lookup, 1, 20)).otherwise(lookup)
+    topic = text("t/", F.col("user_id"))
+    publish = F.concat(_number(F.length(topic), 2), topic, F.encode("props", "UTF-8"))
+    long_publish = F.concat(publish, F.encode(F.repeat(F.lit("x"), 200), "UTF-8"))
+    long_size = F.length(long_publish)
+    message = (
+        F.when(turn == 0, _bytes("100c00044d5154540402003c0000"))
+        .when(turn == 1, _bytes("20020100"))
+        .when(turn == 2, F.concat(_bytes("30"), _number(F.length(publish), 1), publish))
+        .when(turn == 3, F.concat(_bytes("32"), _number(long_size % 128 + 128, 1), _number(F.floor(long_size / 128), 1), long_publish))
+        .otherwise(_bytes("3080"))
+    )
+    register = F.concat(_number(number % 65536, 2), _bytes("0000"), _bytes("0006"), _number(F.col("user_id") % 256, 1), _bytes("0300000001"))
+    payload = (
+        F.when(kind == "click", web)
+        .when(kind == "purchase", web)
+        .when(kind == "signup", query)
+        .when(kind == "view", F.when(number % 9 == 0, F.lit(b"")).otherwise(message))
+        .otherwise(register)
+    )
+    return synth_frames(spark, sf_dir, payload, variants=False)
