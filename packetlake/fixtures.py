@@ -266,3 +266,38 @@ def application_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(register)
     )
     return synth_frames(spark, sf_dir, payload, variants=False)
+
+
+# --- devices and queries ---------------------------------------------------
+
+
+def synth_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as devices of one role; every tenth has no address, every seventh a bad one."""
+    suppliers = table(spark, sf_dir, "supplier")
+    nations = table(spark, sf_dir, "nation")
+    joined = suppliers.join(nations, suppliers.s_nationkey == nations.n_nationkey)
+    key = F.col("s_suppkey")
+    address = F.concat(F.lit("10.0.0."), (key % 150).cast("string"))
+    addresses = (
+        F.when(key % 10 == 0, F.array().cast("array<string>"))
+        .when(key % 7 == 0, F.array(address, F.lit("10.0.0.999")))
+        .otherwise(F.array(address))
+    )
+    return joined.select(
+        F.col("s_name").alias("name"), F.array("n_name").alias("roles"), addresses.alias("ip_addresses")
+    )
+
+
+def dns_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a query for one of ten names."""
+    return queries_of(events(spark, sf_dir))
+
+
+def queries_of(event_rows: DataFrame) -> DataFrame:
+    return event_rows.select(
+        F.col("event_id").alias("packet_no"),
+        "ts",
+        F.concat("event_type", F.lit("."), (F.col("user_id") % 2).cast("string")).alias("qry_name"),
+        F.lit(1).alias("qry_type"),
+        F.lit(1).alias("qry_class"),
+    )

@@ -76,7 +76,7 @@ def dns(packets: DataFrame) -> DataFrame:
     message follows a two-byte length.
     """
     messages = step(
-        packets, _dns_message="IF(_app IN ('DNS', 'MDNS'), IF(_transport = 'TCP', substring(_payload, 3), _payload), NULL)"
+        packets, _dns_message="IF(_app IN ('DNS', 'MDNS'), IF(_transport = 'TCP', substring(payload, 3), payload), NULL)"
     )
     walked = step(messages, _dns_name=_question_name(), _dns_questions=u16("_dns_message", 4))
     tail = step(
@@ -111,13 +111,16 @@ def mqtt_head(packets: DataFrame, message: str) -> DataFrame:
 
     The length is base-128, at most four bytes; it is NULL if it does not end.
     """
-    digits = {f"_mq_d{i}": u8(message, i) for i in range(1, 5)}
-    read = step(packets, _mq_first=u8(message, 0), **digits)
-    totals = [" + ".join(f"(_mq_d{j} & 127) * {128 ** (j - 1)}" for j in range(1, i + 1)) for i in range(1, 5)]
+    digit = u8(message, "i")
+    following = f"""named_struct('len', s.len + ({digit} & 127) * cast(pow(128, i - 1) as int),
+        'at', IF({digit} < 128, i + 1, NULL))"""
+    begin = "named_struct('len', 0, 'at', cast(NULL as int))"
+    walk = f"aggregate(sequence(1, 4), {begin}, (s, i) -> IF(s.at IS NULL, {following}, s))"
+    read = step(packets, _mq_walk=f"IF(length({message}) > 0, {walk}, NULL)", _mq_first=u8(message, 0))
     return step(
         read,
-        _mq_len=case((f"_mq_d{i} < 128", totals[i - 1]) for i in range(1, 5)),
-        _mq_at=case((f"_mq_d{i} < 128", str(i + 1)) for i in range(1, 5)),
+        _mq_len="IF(_mq_walk.at IS NOT NULL, _mq_walk.len, NULL)",
+        _mq_at="_mq_walk.at",
         _mq_kind="_mq_first >> 4",
     )
 
@@ -129,7 +132,7 @@ def mqtt(packets: DataFrame) -> DataFrame:
     packet unnamed. An empty payload counts as all header. PUBLISH is read to the
     end of the payload.
     """
-    messages = step(packets, _mq="IF(_app = 'MQTT', _payload, NULL)")
+    messages = step(packets, _mq="IF(_app = 'MQTT', payload, NULL)")
     headed = mqtt_head(messages, "_mq")
     sized = step(headed, _mq_text_size=f"IF(_mq_kind IN (1, 3) AND length(_mq) >= _mq_at + 2, {u16('_mq', '_mq_at')}, NULL)")
     raw = piece("_mq", "_mq_at + 2", "_mq_text_size")
@@ -176,10 +179,10 @@ def modbus(packets: DataFrame) -> DataFrame:
     """Transaction, length and unit of the 7-byte Modbus/TCP header."""
     return step(
         packets,
-        _modbus_named=f"coalesce(_app = 'ModbusTCP' AND length(_payload) >= {MODBUS_HEADER}, false)",
+        _modbus_named=f"coalesce(_app = 'ModbusTCP' AND length(payload) >= {MODBUS_HEADER}, false)",
         _modbus_header=str(MODBUS_HEADER),
-        _modbus_fields=f"""IF(_app = 'ModbusTCP' AND length(_payload) >= {MODBUS_HEADER}, named_struct(
-            'len', {u16('_payload', 4)}, 'trans_id', {u16('_payload', 0)}, 'unit_id', {u8('_payload', 6)}), NULL)""",
+        _modbus_fields=f"""IF(_app = 'ModbusTCP' AND length(payload) >= {MODBUS_HEADER}, named_struct(
+            'len', {u16('payload', 4)}, 'trans_id', {u16('payload', 0)}, 'unit_id', {u8('payload', 6)}), NULL)""",
     )
 
 
@@ -198,7 +201,7 @@ WHITE_SPACE = "".join(
 
 def blank_line_bytes(lines: str, blank: str) -> str:
     """Bytes of the first ``blank`` lines, two counted for the end of each."""
-    return f"octet_length(array_join(slice({lines}, 1, cast({blank} as int)), '##')) + 2"
+    return f"aggregate(slice({lines}, 1, cast({blank} as int)), 0, (total, line) -> total + octet_length(line) + 2)"
 
 
 def http(packets: DataFrame) -> DataFrame:
@@ -209,8 +212,8 @@ def http(packets: DataFrame) -> DataFrame:
     """
     texts = step(
         packets,
-        _web_text=f"""IF(_app IN ('HTTP', 'HTTPS') AND length(_payload) BETWEEN {HTTP_MIN} AND {HTTP_MAX},
-            make_valid_utf8(cast(_payload as string)), NULL)""",
+        _web_text=f"""IF(_app IN ('HTTP', 'HTTPS') AND length(payload) BETWEEN {HTTP_MIN} AND {HTTP_MAX},
+            make_valid_utf8(cast(payload as string)), NULL)""",
     )
     lines = step(texts, _web_line=f"trim(BOTH '{WHITE_SPACE}' FROM substring_index(_web_text, '\\r\\n', 1))")
     split = step(lines, _web_parts="split(_web_line, R'(?U)\\s+', 4)", _web_line_bytes="octet_length(_web_line)")
@@ -231,8 +234,8 @@ def http(packets: DataFrame) -> DataFrame:
         _web_error="IF(_app IN ('HTTP', 'HTTPS'), "
         + case(
             [
-                (f"length(_payload) < {HTTP_MIN}", "'HTTP payload too small'"),
-                (f"length(_payload) > {HTTP_MAX}", "'HTTP payload too large'"),
+                (f"length(payload) < {HTTP_MIN}", "'HTTP payload too small'"),
+                (f"length(payload) > {HTTP_MAX}", "'HTTP payload too large'"),
                 (f"_web_line_bytes = 0 OR _web_line_bytes > {LINE_MAX}", "'Invalid HTTP first line length'"),
                 ("size(_web_parts) < 3", "'Invalid HTTP first line format'"),
                 (f"_web_response AND NOT ({good_version('_web_1')})", "'Invalid HTTP version format'"),

@@ -8,6 +8,7 @@ the headers, which leaves Ethernet padding out of the payload.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from packetlake.operators.decode.sqltext import any_of, case, piece, step, u8, u16, u32
 
@@ -79,26 +80,33 @@ def _extension_walk() -> str:
 
 
 def network(frames: DataFrame) -> DataFrame:
-    """IP header sizes, where the transport header starts and the IP payload ends."""
-    first = step(
+    """IP header sizes, where the transport header starts and the IP payload ends.
+
+    Two 32-bit words hold all fields needed: bytes 14-17 (version, IPv4 header
+    and total length), and bytes 20-23 of IPv4 (fragment, protocol) or 18-21 of
+    IPv6 (payload length, next header).
+    """
+    words = step(
         frames,
-        _ip_first=f"IF({IS_IP}, {u8('data', 14)}, NULL)",
-        _ip_total=f"CASE _ether WHEN 'IPv4' THEN {u16('data', 16)} WHEN 'IPv6' THEN {u16('data', 18)} END",
-        _ip_proto=f"CASE _ether WHEN 'IPv4' THEN {u8('data', 23)} WHEN 'IPv6' THEN {u8('data', 20)} END",
-        _v4_fragment=f"coalesce(_ether = 'IPv4' AND {u16('data', 20)} & {0x3FFF} <> 0, false)",
+        _ip_word=f"IF({IS_IP}, {u32('data', 14)}, NULL)",
+        _ip_word2=f"CASE _ether WHEN 'IPv4' THEN {u32('data', 20)} WHEN 'IPv6' THEN {u32('data', 18)} END",
     )
     # An IPv6 payload length of 0 means "up to the end of the frame".
     bounds = step(
-        first,
-        _ip_header="CASE _ether WHEN 'IPv4' THEN (_ip_first & 15) * 4 WHEN 'IPv6' THEN 40 END",
-        _ip_end="CASE _ether WHEN 'IPv4' THEN _ip_total + 14 WHEN 'IPv6' THEN IF(_ip_total = 0, _size, _ip_total + 54) END",
+        words,
+        _ip_version="_ip_word >> 28",
+        _ip_header="CASE _ether WHEN 'IPv4' THEN cast(_ip_word >> 24 & 15 as int) * 4 WHEN 'IPv6' THEN 40 END",
+        _ip_end="""cast(CASE _ether WHEN 'IPv4' THEN (_ip_word & 65535) + 14
+            WHEN 'IPv6' THEN IF(_ip_word2 >> 16 = 0, _size, (_ip_word2 >> 16) + 54) END as int)""",
+        _ip_proto="cast(CASE _ether WHEN 'IPv4' THEN _ip_word2 & 255 WHEN 'IPv6' THEN _ip_word2 >> 8 & 255 END as int)",
+        _v4_fragment=f"coalesce(_ether = 'IPv4' AND _ip_word2 >> 16 & {0x3FFF} <> 0, false)",
     )
     checked = step(
         bounds,
         _ip_ok="""coalesce(CASE _ether
-            WHEN 'IPv4' THEN _size >= 34 AND _ip_first >> 4 = 4 AND _ip_header >= 20
-              AND _ip_total >= _ip_header AND _ip_end <= _size
-            WHEN 'IPv6' THEN _size >= 54 AND _ip_first >> 4 = 6 AND _ip_end <= _size END, false)""",
+            WHEN 'IPv4' THEN _size >= 34 AND _ip_version = 4 AND _ip_header >= 20
+              AND _ip_end >= _ip_header + 14 AND _ip_end <= _size
+            WHEN 'IPv6' THEN _size >= 54 AND _ip_version = 6 AND _ip_end <= _size END, false)""",
     )
     walked = step(checked, _walk=_extension_walk())
     placed = step(
@@ -114,32 +122,32 @@ def network(frames: DataFrame) -> DataFrame:
 
 
 def transport(packets: DataFrame) -> DataFrame:
-    """Transport header length, payload bounds, ports, and whether it is well formed."""
-    has_ports = "_transport IN ('TCP', 'UDP')"
-    is_icmp = "_transport IN ('ICMPv4', 'ICMPv6')"
-    sized = step(
+    """Transport header length, payload bounds, ports, and whether it is well formed.
+
+    The first 32-bit word has both ports, or the ICMP type and code; one more
+    16-bit word has the TCP offset and flags, or the UDP length.
+    """
+    words = step(
         packets,
-        _tcp_word=f"IF(_transport = 'TCP', {u16('data', '_l4_at + 12')}, NULL)",
-        _udp_length=f"IF(_transport = 'UDP', {u16('data', '_l4_at + 4')}, NULL)",
-        _src_port=f"IF({has_ports}, {u16('data', '_l4_at')}, NULL)",
-        _dst_port=f"IF({has_ports}, {u16('data', '_l4_at + 2')}, NULL)",
-        _icmp_type=f"IF({is_icmp}, {u8('data', '_l4_at')}, NULL)",
-        _icmp_code=f"IF({is_icmp}, {u8('data', '_l4_at + 1')}, NULL)",
+        _l4_word=f"IF(_transport IS NOT NULL, {u32('data', '_l4_at')}, NULL)",
+        _l4_word2=f"CASE _transport WHEN 'TCP' THEN {u16('data', '_l4_at + 12')} WHEN 'UDP' THEN {u16('data', '_l4_at + 4')} END",
     )
-    # An ICMPv4 timestamp message has exactly 20 bytes.
-    measured = step(
-        sized,
-        _l4_header="CASE WHEN _transport = 'TCP' THEN (_tcp_word >> 12) * 4 WHEN _transport IS NOT NULL THEN 8 END",
-        _l4_end="IF(_udp_length > 0, _l4_at + _udp_length, _ip_end)",
-        _icmp_stamp="coalesce(_transport = 'ICMPv4' AND _icmp_type IN (13, 14) AND _icmp_code = 0, false)",
+    fields = step(
+        words,
+        _src_port="IF(_transport IN ('TCP', 'UDP'), cast(_l4_word >> 16 as int), NULL)",
+        _dst_port="IF(_transport IN ('TCP', 'UDP'), cast(_l4_word & 65535 as int), NULL)",
+        _icmp_type="IF(_transport IN ('ICMPv4', 'ICMPv6'), cast(_l4_word >> 24 as int), NULL)",
+        _l4_header="CASE WHEN _transport = 'TCP' THEN (_l4_word2 >> 12) * 4 WHEN _transport IS NOT NULL THEN 8 END",
+        _l4_end="IF(_transport = 'UDP' AND _l4_word2 > 0, _l4_at + _l4_word2, _ip_end)",
+        # An ICMPv4 timestamp message; it has exactly 20 bytes.
+        _icmp_stamp="coalesce(_transport = 'ICMPv4' AND _l4_word >> 16 IN (3328, 3584), false)",
     )
     return step(
-        measured,
-        _l4_ok="""coalesce(CASE _transport
+        fields,
+        _l4_ok="""_transport IS NULL OR coalesce(CASE _transport
             WHEN 'TCP' THEN _l4_room >= 20 AND _l4_header >= 20 AND _l4_header <= _l4_room
-            WHEN 'UDP' THEN _l4_room >= 8 AND (_udp_length = 0 OR _udp_length BETWEEN 8 AND _l4_room)
-            ELSE _l4_room >= 8 AND (NOT _icmp_stamp OR _l4_room = 20) END, _transport IS NULL)
-            OR _transport IS NULL""",
+            WHEN 'UDP' THEN _l4_room >= 8 AND (_l4_word2 = 0 OR _l4_word2 BETWEEN 8 AND _l4_room)
+            ELSE _l4_room >= 8 AND (NOT _icmp_stamp OR _l4_room = 20) END, false)""",
         _payload_at="_l4_at + _l4_header",
         _payload_size="_l4_end - _l4_at - _l4_header",
     )
@@ -172,11 +180,12 @@ _MASK_HEAD = case(
     ],
     _bytes(_MACS),
 )
-ENDPOINT_MASK = f"rpad({_MASK_HEAD}, _size, X'00')"
+ENDPOINT_MASK = f"IF(decode_error IS NULL, rpad({_MASK_HEAD}, _size, X'00'), NULL)"
 
+# Protocol structs. A failed frame has no ``_ether`` and no ``_transport`` any more.
 ARP_FIELDS = f"""IF(_ether = 'ARP', named_struct(
     'dst_proto_ipv4', {piece('data', 38, 4)}, 'src_proto_ipv4', {piece('data', 28, 4)},
-    'opcode', {u16('data', 20)}, 'hw_size', {u8('data', 18)}), NULL)"""
+    'opcode', cast(_arp_word & 65535 as int), 'hw_size', cast(_arp_word >> 24 as int)), NULL)"""
 
 IP_FIELDS = f"""CASE _ether
     WHEN 'IPv4' THEN named_struct('src_host', {piece('data', 26, 4)}, 'dst_host', {piece('data', 30, 4)})
@@ -186,18 +195,30 @@ IP_FIELDS = f"""CASE _ether
 # URG 32, ECE 64, CWR 128, NS 256.
 TCP_FIELDS = f"""IF(_transport = 'TCP', named_struct(
     'ack_raw', {u32('data', '_l4_at + 8')}, 'checksum', {u16('data', '_l4_at + 16')},
-    'connection_fin', _tcp_word & 1 <> 0, 'connection_rst', _tcp_word & 4 <> 0,
-    'connection_syn', _tcp_word & 2 <> 0, 'connection_synack', _tcp_word & 18 = 18,
-    'dstport', _dst_port, 'flags', _tcp_word & 511, 'len', _payload_size,
+    'connection_fin', _l4_word2 & 1 <> 0, 'connection_rst', _l4_word2 & 4 <> 0,
+    'connection_syn', _l4_word2 & 2 <> 0, 'connection_synack', _l4_word2 & 18 = 18,
+    'dstport', _dst_port, 'flags', _l4_word2 & 511, 'len', _payload_size,
     'options', {piece('data', '_l4_at + 20', '_l4_header - 20')},
     'seq', {u32('data', '_l4_at + 4')}, 'srcport', _src_port), NULL)"""
 
 UDP_FIELDS = """IF(_transport = 'UDP', named_struct(
     'port_dst', _dst_port, 'port_src', _src_port, 'stream_id', 0, 'time_delta', cast(0 as double)), NULL)"""
 
-ICMP_FIELDS = f"""IF(_icmp_type IS NOT NULL, named_struct(
+ICMP_FIELDS = f"""IF(_transport IN ('ICMPv4', 'ICMPv6'), named_struct(
     'checksum', {u16('data', '_l4_at + 2')},
-    'seq_le', CASE WHEN _transport = 'ICMPv4' AND _icmp_type IN (0, 8) THEN {u16('data', '_l4_at + 6')}
-                   WHEN _transport = 'ICMPv6' AND _icmp_type IN (128, 129) THEN {u16('data', '_l4_at + 4')} ELSE 0 END,
+    'seq_le', IF(IF(_transport = 'ICMPv4', _icmp_type IN (0, 8), _icmp_type IN (128, 129)),
+                 {u16('data', "_l4_at + IF(_transport = 'ICMPv4', 6, 4)")}, 0),
     'transmit_time', IF(_icmp_stamp, {u32('data', '_l4_at + 16')}, cast(0 as bigint)),
     'unused', {piece('data', '_l4_at + IF(_icmp_stamp, 20, 8)', '_ip_end - _l4_at - IF(_icmp_stamp, 20, 8)')}), NULL)"""
+
+# Struct columns of the packet record, in order.
+PROTOCOL_FIELDS = {"arp": ARP_FIELDS, "ip": IP_FIELDS, "tcp": TCP_FIELDS, "udp": UDP_FIELDS, "icmp": ICMP_FIELDS}
+
+
+def protocols(packets: DataFrame) -> DataFrame:
+    """Mask and protocol structs of the frames that decoded."""
+    kept = packets.withColumns(
+        {c: F.when(F.col("decode_error").isNull(), F.col(c)) for c in ("_ether", "_transport", "_src_port", "_dst_port")}
+    )
+    worded = step(kept, _arp_word=f"IF(_ether = 'ARP', {u32('data', 18)}, NULL)")
+    return step(worded, mask=ENDPOINT_MASK, **PROTOCOL_FIELDS)

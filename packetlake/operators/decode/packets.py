@@ -33,22 +33,26 @@ def decode_packets(
     if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}, not {profile!r}")
     located = layers.transport(layers.network(layers.ethernet(frames)))
-    decoded = decode_light(located) if profile == "light" else _assemble(_with_applications(located), parity)
-    return decoded.observe(
-        counts or f"decode-{uuid.uuid4().hex}",
-        F.count(F.lit(1)).alias("frames"),
-        F.count("decode_error").alias("issues"),
-    )
+    if profile == "light":
+        return _counted(decode_light(located), counts)
+    checked = _counted(step(located, decode_error=layers.DECODE_ERROR), counts)
+    packets = _assemble(_with_applications(layers.protocols(checked)), parity)
+    return packets.observe(f"packets-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("packets"))
+
 
+def _counted(rows: DataFrame, counts: Observation | None) -> DataFrame:
+    """Counts frames, and those with a ``decode_error``, as the job runs."""
+    name = counts or f"decode-{uuid.uuid4().hex}"
+    return rows.observe(name, F.count(F.lit(1)).alias("frames"), F.count("decode_error").alias("issues"))
 
-def _with_applications(located: DataFrame) -> DataFrame:
-    checked = step(located, decode_error=layers.DECODE_ERROR)
-    ported = step(checked, _app=f"IF(decode_error IS NULL, {APPLICATION}, NULL)")
-    with_payload = step(
-        ported,
-        _payload="IF(decode_error IS NULL AND _src_port IS NOT NULL, substring(data, _payload_at + 1, _payload_size), NULL)",
+
+def _with_applications(packets: DataFrame) -> DataFrame:
+    ported = step(
+        packets,
+        _app=APPLICATION,
+        payload="IF(_src_port IS NOT NULL, substring(data, _payload_at + 1, _payload_size), NULL)",
     )
-    return http(modbus(mqtt(dns(with_payload))))
+    return modbus(mqtt(http(dns(ported))))
 
 
 READERS = ("dns", "mqtt", "modbus", "http")
@@ -59,28 +63,22 @@ def _assemble(decoded: DataFrame, parity: bool) -> DataFrame:
     app_header = case([(f"_{r}_named", f"_{r}_header") for r in READERS], "0")
     # An MQTT segment without payload counts wholly as header.
     header = f"""CASE WHEN _ether = 'ARP' THEN {layers.ARP_END}
-        WHEN _app = 'MQTT' AND length(_payload) = 0 THEN _size
-        ELSE 14 + _ip_header + _l4_header + {app_header} END"""
-    hierarchy = f"""concat_ws('->', 'Ethernet', _ether, _transport,
-        IF({any_named} OR coalesce(_app = 'SSH', false), _app, NULL))"""
-    good = {
-        "mask": layers.ENDPOINT_MASK,
-        "header_len": header,
-        "proto_hierarchy": hierarchy,
-        "size": "_size % 65536" if parity else "_size",
-        "arp": layers.ARP_FIELDS,
-        "ip": layers.IP_FIELDS,
-        "tcp": layers.TCP_FIELDS,
-        "udp": layers.UDP_FIELDS,
-        "icmp": layers.ICMP_FIELDS,
-    }
+        WHEN _app = 'MQTT' AND length(payload) = 0 THEN _size
+        WHEN _ether IS NOT NULL THEN 14 + _ip_header + _l4_header + {app_header} END"""
+    hierarchy = f"""IF(_ether IS NOT NULL, concat_ws('->', 'Ethernet', _ether, _transport,
+        IF({any_named} OR coalesce(_app = 'SSH', false), _app, NULL)), NULL)"""
+    size = "_size % 65536" if parity else "_size"
     nested = decoded.select(
         "packet_no",
         "ts",
         "data",
-        *[F.expr(f"IF(decode_error IS NULL, {sql}, NULL)").alias(name) for name, sql in good.items()],
+        "mask",
+        F.expr(header).alias("header_len"),
+        F.expr(hierarchy).alias("proto_hierarchy"),
         "decode_error",
-        F.col("_payload").alias("payload"),
+        F.expr(f"IF(_ether IS NOT NULL, {size}, NULL)").alias("size"),
+        "payload",
+        *layers.PROTOCOL_FIELDS,
         F.expr("IF(_dns_named, _dns_fields, NULL)").alias("dns"),
         *[F.col(f"_{r}_fields").alias(r) for r in READERS[1:]],
     )
