@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetlake.functions.net import address_scope, ipv4_from_text, node_label
 from packetlake.operators.flows import seen_ips
-from packetlake.operators.skew import HOT_ROWS, join_hot_split
+from packetlake.operators.skew import SALTS, join_salted
 
 NODE_KEY = ["label", "address", "type"]
 EDGE_KEY = ["label", "src", "dst", "protocol", "src_port", "dst_port"]
@@ -66,16 +66,16 @@ def flow_edges(flows: DataFrame) -> DataFrame:
     )
 
 
-def edges_between(edges: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def edges_between(edges: DataFrame, nodes: DataFrame, salts: int = SALTS) -> DataFrame:
     """The edges both of whose endpoints are nodes.
 
-    A busy server is the endpoint of a large share of all flows, so its edges
-    take the join path for hot keys.
+    A busy server is the endpoint of a large share of all flows, so the keys are
+    salted.
     """
     known = nodes.select("label", "address").distinct()
     kept = edges
     for end in ("src", "dst"):
-        kept = join_hot_split(kept, known.withColumnRenamed("address", end), ["label", end], "left_semi", hot_rows)
+        kept = join_salted(kept, known.withColumnRenamed("address", end), ["label", end], "left_semi", salts)
     return kept
 
 
@@ -146,13 +146,13 @@ def invalid_device_addresses(devices: DataFrame) -> DataFrame:
     return device_addresses(devices).filter(F.col("address").isNull()).select("name", "address_text")
 
 
-def flows_by_device(flows: DataFrame, controls: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def flows_by_device(flows: DataFrame, controls: DataFrame, salts: int = SALTS) -> DataFrame:
     """Every flow with the devices that control either end, one row per pairing."""
     named = controls.select("address", "name").distinct()
     result = flows
     for end, name in (("ip_lo", "device_lo"), ("ip_hi", "device_hi")):
         side = named.select(F.col("address").alias(end), F.col("name").alias(name))
-        result = join_hot_split(result, side, [end], "left", hot_rows)
+        result = join_salted(result, side, [end], "left", salts)
     return result
 
 

@@ -1,4 +1,4 @@
-"""Equi-joins against a table with few rows per key, safe for hot keys."""
+"""Equi-joins of a large table with one that has few rows per key."""
 
 from __future__ import annotations
 
@@ -7,31 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above this many rows on the large side.
-HOT_ROWS = 5_000_000
+SALTS = 16
 
 
-def join_hot_split(
-    large: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS
+def join_salted(
+    large: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """Joins ``large`` to ``small``, keeping rows of hot keys off the shuffle.
+    """``large.join(small, on, how)`` with every key of ``large`` spread over ``salts`` groups.
 
-    ``small`` has one or few rows per key. The keys with more than ``hot_rows``
-    rows are found by a map-side combined count, so there are at most
-    ``count(large) / hot_rows`` of them. That bounds the part of ``small`` that
-    is broadcast. All other rows take the ordinary join, whose strategy Spark
-    picks by size. The result equals ``large.join(small, on, how)`` for the
-    inner, left, left_semi and left_anti kinds.
+    The rows of ``small`` are repeated once per salt, so it should be the much
+    smaller table. ``large`` is read and shuffled once. What is still too big in
+    one partition is split again at run time by the adaptive skew join, which can
+    cut the left side of these kinds: inner, left, left_semi, left_anti. Where
+    ``small`` turns out to be small enough, Spark broadcasts it instead.
     """
-    keys = list(on)
-    hot = (
-        large.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > hot_rows)
-        .select(*keys)
-    )
-    flagged = large.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
-    cold_part = flagged.filter(F.col("__hot").isNull()).drop("__hot")
-    hot_part = flagged.filter(F.col("__hot").isNotNull()).drop("__hot")
-    hot_small = small.join(F.broadcast(hot), keys, "left_semi")
-    return cold_part.join(small, keys, how).unionByName(hot_part.join(F.broadcast(hot_small), keys, how))
+    keys = [*on, "__salt"]
+    spread = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, keys, how).drop("__salt")

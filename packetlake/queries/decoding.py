@@ -158,11 +158,11 @@ def app_by_port(spark, sf_dir):
       SELECT *, CASE kind WHEN 'arp' THEN 42 ELSE 14 + ip_header + CASE variant WHEN {V['icmp_timestamp']} THEN 20
           WHEN {V['ipv6_extension']} THEN 8 ELSE 0 END
         + CASE WHEN variant = {V['icmp_timestamp']} THEN 0 WHEN kind = 'icmp' OR kind = 'udp' THEN 8 + body ELSE tcp_header + body END
-        + CASE variant WHEN {V['padded']} THEN 6 ELSE 0 END END AS size,
+        + CASE variant WHEN {V['padded']} THEN 6 ELSE 0 END END AS frame_bytes,
         repeat('01', 12) || CASE WHEN kind = 'arp' THEN repeat('00', 10) || repeat('01', 20)
           WHEN {V6_SQL} THEN repeat('00', 10) || repeat('01', 32) ELSE repeat('00', 14) || repeat('01', 8) END AS head
       FROM named)
-    SELECT packet_no, rpad(head, CAST(2 * size AS INTEGER), '0') AS mask FROM lengths""",
+    SELECT packet_no, rpad(head, CAST(2 * frame_bytes AS INTEGER), '0') AS mask FROM lengths""",
 )
 def endpoint_mask(spark, sf_dir):
     decoded = decode_packets(synth_frames(spark, sf_dir)).filter("decode_error IS NULL")
