@@ -301,3 +301,55 @@ def queries_of(event_rows: DataFrame) -> DataFrame:
         F.lit(1).alias("qry_type"),
         F.lit(1).alias("qry_class"),
     )
+
+
+# --- labelled packets ------------------------------------------------------
+
+# Bytes of one segment of a document sent as a stream.
+SEGMENT_BYTES = 1400
+
+
+def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text, cut into packets like a TCP stream."""
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", F.encode("text", "UTF-8").alias("bytes")
+    )
+    last = F.floor((F.greatest(F.length("bytes"), F.lit(1)) - 1) / SEGMENT_BYTES).cast("int")
+    cut = documents.withColumn("segment", F.explode(F.sequence(F.lit(0), last)))
+    data = F.substring("bytes", F.col("segment") * SEGMENT_BYTES + 1, F.lit(SEGMENT_BYTES))
+    # Every seventh byte counts as an endpoint byte.
+    pattern = F.lit((b"\x01" + b"\x00" * 6) * (SEGMENT_BYTES // 7))
+    return cut.select(
+        (F.col("doc_id") * 10000 + F.col("segment")).alias("packet_no"),
+        data.alias("data"),
+        F.substring(pattern, F.lit(1), F.length(data)).alias("mask"),
+        F.col("source").alias("proto_hierarchy"),
+        F.col("lang").alias("AttackLabel"),
+        F.col("doc_id").alias("FlowID"),
+    )
+
+
+def labelled_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a small labelled packet: type as label, user as flow."""
+    data = F.encode("props", "UTF-8")
+    return events(spark, sf_dir).select(
+        F.col("event_id").alias("packet_no"),
+        data.alias("data"),
+        F.rpad(F.lit(b"\x01"), F.length(data), F.lit(b"\x00")).alias("mask"),
+        F.concat(F.lit("Ethernet->"), F.upper("event_type")).alias("proto_hierarchy"),
+        F.col("event_type").alias("AttackLabel"),
+        F.col("user_id").alias("FlowID"),
+    )
+
+
+def synth_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as logits: forward for the class, reversed for the token."""
+    logits = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        logits.alias("class_logits"),
+        "label",
+        F.col("label").alias("class_label"),
+        F.reverse(logits).alias("token_logits"),
+        (F.col("vec_id") % 64).alias("token_label"),
+    )

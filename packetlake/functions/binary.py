@@ -1,8 +1,4 @@
-"""Unsigned big-endian reads from a BINARY column, inside code generation.
-
-``conv(hex(substring(..)))`` was the fastest built-in way of those measured to
-turn bytes of a BINARY into numbers. A read past the end gives NULL.
-"""
+"""Pieces of a BINARY column."""
 
 from __future__ import annotations
 
@@ -10,48 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _position(offset: int | Column) -> Column:
-    """1-based position of a 0-based offset."""
-    return F.lit(offset + 1) if isinstance(offset, int) else (offset + F.lit(1)).cast("int")
-
-
-def piece(data: Column, offset: int | Column, length: int | Column) -> Column:
+def piece(data: Column, offset: int, length: int) -> Column:
     """``length`` bytes from a 0-based offset; shorter where the data ends."""
-    size = F.lit(length) if isinstance(length, int) else length.cast("int")
-    return F.substring(data, _position(offset), size)
-
-
-def uint(data: Column, offset: int | Column, width: int) -> Column:
-    """Unsigned big-endian number of ``width`` bytes (at most 7)."""
-    number = F.conv(F.hex(piece(data, offset, width)), 16, 10)
-    return number.cast("long" if width > 3 else "int")
-
-
-def u8(data: Column, offset: int | Column) -> Column:
-    return uint(data, offset, 1)
-
-
-def u16(data: Column, offset: int | Column) -> Column:
-    return uint(data, offset, 2)
-
-
-def u32(data: Column, offset: int | Column) -> Column:
-    return uint(data, offset, 4)
-
-
-def nibble_high(byte: Column) -> Column:
-    return F.shiftright(byte, 4)
-
-
-def has_bits(value: Column, bits: int) -> Column:
-    """True where any of ``bits`` is set."""
-    return value.bitwiseAND(F.lit(bits)) != 0
-
-
-def lossy_text(data: Column) -> Column:
-    """Text of the bytes with every invalid sequence replaced by U+FFFD."""
-    return F.make_valid_utf8(data.cast("string"))
-
-
-def byte_run(value: int, count: int) -> bytearray:
-    return bytearray([value]) * count
+    return F.substring(data, F.lit(offset + 1), F.lit(length))

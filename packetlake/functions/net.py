@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packetlake.functions.binary import piece, u8
+from packetlake.functions.binary import piece
 
 INTERNAL, EXTERNAL = "internal", "external"
 
@@ -80,24 +80,30 @@ def ip_text(address: Column) -> Column:
     return F.when(F.length(address) == 4, ipv4_text(address)).otherwise(ipv6_text(address))
 
 
+# Internal address ranges as (first bytes, first bytes behind the range); a prefix
+# sorts before everything it begins (fixed values).
+# IPv4: 10/8, 172.16/12, 192.168/16, 127/8, 169.254/16. IPv6: fe80::/10, fc00::/7,
+# ff00::/8; the loopback address is compared whole.
+INTERNAL_V4 = [("0A", "0B"), ("AC10", "AC20"), ("C0A8", "C0A9"), ("7F", "80"), ("A9FE", "A9FF")]
+INTERNAL_V6 = [("FE80", "FEC0"), ("FC", "FE"), ("FF", None)]
+LOOPBACK_V6 = "0" * 31 + "1"
+
+
+def _in_ranges(address: Column, ranges: list[tuple[str, str | None]]) -> Column:
+    hit = F.lit(False)
+    for low, high in ranges:
+        inside = address >= F.lit(bytes.fromhex(low))
+        if high:
+            inside = inside & (address < F.lit(bytes.fromhex(high)))
+        hit = hit | inside
+    return hit
+
+
 def is_internal(address: Column) -> Column:
     """Private, loopback or link-local (IPv4); loopback, link-local, unique-local
     or multicast (IPv6)."""
-    first, second = u8(address, 0), u8(address, 1)
-    v4 = (
-        (first == 10)
-        | ((first == 172) & second.between(16, 31))
-        | ((first == 192) & (second == 168))
-        | (first == 127)
-        | ((first == 169) & (second == 254))
-    )
-    v6 = (
-        (F.hex(address) == "0" * 31 + "1")
-        | ((first == 0xFE) & (second.bitwiseAND(F.lit(0xC0)) == 0x80))
-        | (first.bitwiseAND(F.lit(0xFE)) == 0xFC)
-        | (first == 0xFF)
-    )
-    return F.when(F.length(address) == 4, v4).otherwise(v6)
+    v6 = (address == F.lit(bytes.fromhex(LOOPBACK_V6))) | _in_ranges(address, INTERNAL_V6)
+    return F.when(F.length(address) == 4, _in_ranges(address, INTERNAL_V4)).otherwise(v6)
 
 
 def address_scope(address: Column) -> Column:

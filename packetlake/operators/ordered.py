@@ -69,21 +69,21 @@ def numbered(
     inherited = {"__step": F.coalesce(F.sum("__n").over(before_segment(keys)), F.lit(0))}
     added = ["__step"]
     if total:
-        inherited["__total"] = F.sum("__n").over(Window.partitionBy(*keys))
-        added.append("__total")
+        inherited["__group_rows"] = F.sum("__n").over(Window.partitionBy(*keys))
+        added.append("__group_rows")
     carry = counts.withColumns(inherited).select(*keys, SEGMENT, *added)
     steps = rows.withColumn("__step", F.lit(1).cast("long"))
     if total:
-        steps = steps.withColumn("__total", F.lit(None).cast("long"))
+        steps = steps.withColumn("__group_rows", F.lit(None).cast("long"))
     window = within_segment(keys, order)
     result = with_carry(steps, carry).withColumn(
         name, F.sum("__step").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1
     )
     if total:
         result = result.withColumn(
-            total, F.first("__total").over(window.rowsBetween(Window.unboundedPreceding, 0))
+            total, F.first("__group_rows").over(window.rowsBetween(Window.unboundedPreceding, 0))
         )
-    return drop_carry(result).drop("__step", "__total")
+    return drop_carry(result).drop("__step", "__group_rows")
 
 
 def row_index(rows: DataFrame, order: str, name: str = "row_idx", width: int = DEFAULT_WIDTH) -> DataFrame:
