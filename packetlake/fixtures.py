@@ -353,3 +353,44 @@ def synth_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.reverse(logits).alias("token_logits"),
         (F.col("vec_id") % 64).alias("token_label"),
     )
+
+
+# --- files -----------------------------------------------------------------
+
+
+def landed_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> None:
+    """All events as files that arrive one after the other in time order."""
+    rows = events(spark, sf_dir)
+    number = F.col("event_id")
+    share = rows.agg(F.max(number) + 1).scalar() / files
+    for i in range(files):
+        part = rows.filter((number >= share * i) & (number < share * (i + 1)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
+def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False) -> None:
+    """Capture files of the frames, one per range of packet numbers, named in order."""
+    magic = b"\x4d\x3c\xb2\xa1" if nanoseconds else b"\xd4\xc3\xb2\xa1"
+    scale = 1000 if nanoseconds else 1
+
+    def write(batches):
+        import struct
+
+        from packetlake.sources.pcap import open_filesystem
+
+        out = None
+        for batch in batches:
+            for number, ts, data in zip(*(batch[c].to_pylist() for c in ("packet_no", "us", "data"))):
+                if out is None:
+                    system, root = open_filesystem(folder)
+                    system.create_dir(root, recursive=True)
+                    out = system.open_output_stream(f"{root}/{number:016d}.pcap")
+                    out.write(magic + struct.pack("<HHiIII", 2, 4, 0, 0, 65535, 1))
+                out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000 * scale, len(data), len(data)) + data)
+        if out is not None:
+            out.close()
+        yield from ()
+
+    timed = frames.select("packet_no", F.unix_micros("ts").alias("us"), "data")
+    ordered = timed.repartitionByRange("packet_no").sortWithinPartitions("packet_no")
+    ordered.mapInArrow(write, "packet_no long").write.format("noop").mode("overwrite").save()

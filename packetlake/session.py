@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,3 +42,18 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="packetlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Needed where the job was not submitted with the package (``--py-files``).
+    """
+    context = spark.sparkContext
+    if getattr(context, "_packetlake_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="packetlake-code-"), "packetlake_code")
+    path = shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(path)
+    context._packetlake_shipped = True
