@@ -139,6 +139,8 @@ def masked_bytes(data: Column, mask: Column) -> Column:
 # Multipliers of the 32-bit mixing function (fixed values, also used in SQL).
 MIX, POSITION_STEP, SEED_STEP = 73244475, 2654435, 40503
 LOW32 = 0xFFFFFFFF
+# Rows corrupted at a time, which bounds the size of the work arrays.
+ROWS_AT_ONCE = 512
 
 
 def _mix(value: np.ndarray) -> np.ndarray:
@@ -147,6 +149,37 @@ def _mix(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(16)) ^ value
 
 
+def _corrupt_rows(values, offsets, base, rate_percent, mask_percent, random_percent, cap) -> None:
+    """Corrupts consecutive rows of ``values`` in place."""
+    sizes = np.diff(offsets)
+    width = int(sizes.max(initial=0))
+    if not width:
+        return
+    there = np.arange(width) < sizes[:, None]
+    tokens = np.full((len(sizes), width), PAD)
+    tokens[there] = values[offsets[0] : offsets[-1]]
+    selectable = there & ~np.isin(tokens, UNSELECTABLE)
+    place = np.arange(width, dtype=np.uint64)
+    start = base[:, None] + place * np.uint64(POSITION_STEP)
+
+    def draw(salt: int, of: np.ndarray) -> np.ndarray:
+        return _mix(of + np.uint64(salt) & np.uint64(LOW32))
+
+    wanted = np.minimum(-(-selectable.sum(axis=1) * rate_percent // 100), cap)
+    most = int(wanted.max())
+    if not most:
+        return
+    # Hash, then position, as one number; the smallest of each row are taken.
+    key = np.where(selectable, draw(0, start) << np.uint64(20) | place, np.uint64(1) << np.uint64(63))
+    lowest = np.sort(np.partition(key, most - 1, axis=1)[:, :most], axis=1)
+    limit = lowest[np.arange(len(sizes)), np.maximum(wanted, 1) - 1]
+    chosen = selectable & (key <= limit[:, None]) & (wanted[:, None] > 0)
+    kind = draw(1, start[chosen]) % np.uint64(100)
+    new = np.where(kind < mask_percent, MASK, (draw(2, start[chosen]) % np.uint64(VOCABULARY)).astype(np.int64))
+    tokens[chosen] = np.where(kind < mask_percent + random_percent, new, tokens[chosen])
+    values[offsets[0] : offsets[-1]] = tokens[there]
+
+
 def corrupt_tokens(
     tokens: Column,
     row_id: Column,
@@ -167,28 +200,11 @@ def corrupt_tokens(
         offsets = np.asarray(batch.offsets).astype(np.int64)
         values = np.asarray(batch.flatten()).astype(np.int64)
         offsets = offsets - offsets[0]
-        sizes = np.diff(offsets)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        place = (np.arange(len(values)) - np.repeat(offsets[:-1], sizes)).astype(np.uint64)
         base = (np.asarray(ids).astype(np.uint64) & np.uint64(LOW32)) * np.uint64(MIX) + np.uint64(seed * SEED_STEP)
-        start = base[row] + place * np.uint64(POSITION_STEP)
-
-        def draw(salt: int) -> np.ndarray:
-            return _mix(start + np.uint64(salt) & np.uint64(LOW32))
-
-        selectable = ~np.isin(values, UNSELECTABLE)
-        count = np.bincount(row[selectable], minlength=len(sizes))
-        wanted = np.minimum(-(-count * rate_percent // 100), cap)
-        # Hash, then position, as one number; the smallest of each row are taken.
-        key = np.where(selectable, draw(0) << np.uint64(20) | place, np.uint64(1) << np.uint64(63))
-        order = np.lexsort((key, row))
-        rank = np.empty(len(values), np.int64)
-        rank[order] = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
-        chosen = selectable & (rank < wanted[row])
-        kind = draw(1) % np.uint64(100)
-        new = np.where(kind < mask_percent, MASK, (draw(2) % np.uint64(VOCABULARY)).astype(np.int64))
-        replaced = chosen & (kind < mask_percent + random_percent)
-        return _lists(np.where(replaced, new, values), offsets, batch.is_null())
+        for start in range(0, len(base), ROWS_AT_ONCE):
+            rows = slice(start, start + ROWS_AT_ONCE)
+            _corrupt_rows(values, offsets[start : start + ROWS_AT_ONCE + 1], base[rows], rate_percent, mask_percent, random_percent, cap)
+        return _lists(values, offsets, batch.is_null())
 
     return corrupt(tokens, row_id)
 

@@ -181,12 +181,12 @@ def capture_job(spark, sf_dir):
     "pretraining_batches",
     f"""WITH {SEGMENTS_CTE}, o AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(5, 'packet_no')}, packet_no) - 1 AS i,
       dense_rank() OVER (ORDER BY source) - 1 AS class_index FROM ints)
-    SELECT packet_no, i // 128 AS batch_id, i % 128 AS pos, class_index, source AS proto_hierarchy, md5(array_to_string({EOS_SQL}, ',')) AS tokens,
+    SELECT packet_no, i // 128 AS batch_id, i % 128 AS pos, class_index, source AS proto_hierarchy, md5(CAST({EOS_SQL} AS VARCHAR)) AS tokens,
       least((len(b) - (len(b) + 6) // 7 + 9) // 10, 380) >= 0 AS has_labels FROM o""",
 )
 def pretraining_batches_query(spark, sf_dir):
     batches = pretraining_batches(document_segments(spark, sf_dir), 128, 5)
-    digest = F.md5(F.array_join(F.col("tokens").cast("array<string>"), ","))
+    digest = F.md5(F.col("tokens").cast("string"))
     return batches.select(
         "packet_no", "batch_id", "pos", "class_index", "proto_hierarchy", digest.alias("tokens"), (F.size("masked_labels") >= 0).alias("has_labels")
     )

@@ -42,11 +42,11 @@ def _masked_sql(value: int) -> str:
 
 
 def _digest(tokens):
-    return F.md5(F.array_join(tokens.cast("array<string>"), ","))
+    return F.md5(tokens.cast("string"))
 
 
 def _sql_digest(name: str, expression: str) -> str:
-    return f"WITH {SEGMENTS_CTE} SELECT packet_no, len(t) AS n, md5(array_to_string(t, ',')) AS {name} FROM (SELECT packet_no, {expression} AS t FROM ints)"
+    return f"WITH {SEGMENTS_CTE} SELECT packet_no, len(t) AS n, md5(CAST(t AS VARCHAR)) AS {name} FROM (SELECT packet_no, {expression} AS t FROM ints)"
 
 
 def _digests(rows, tokens, name):
@@ -135,7 +135,7 @@ shown AS (SELECT *, CASE WHEN ok AND r <= least((n * 10 + 99) // 100, 380)
 
 @query(
     "mlm_corrupt",
-    f"""WITH {CORRUPT_CTE} SELECT packet_no, md5(array_to_string(list(shown ORDER BY pos), ',')) AS corrupted,
+    f"""WITH {CORRUPT_CTE} SELECT packet_no, md5(CAST(list(shown ORDER BY pos) AS VARCHAR)) AS corrupted,
       count(*) FILTER (WHERE shown = 259) AS masked FROM shown GROUP BY packet_no""",
 )
 def mlm_corrupt(spark, sf_dir):

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site capture per column expression; it slows building wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # The decoded record has more leaf fields than the default limit of 100.
     "spark.sql.codegen.maxFields": "200",
 }
