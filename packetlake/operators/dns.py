@@ -25,7 +25,7 @@ def flag_retransmissions(queries: DataFrame, window_us: int = WINDOW_US) -> Data
     """
     timed = queries.withColumn("ts_us", F.unix_micros("ts"))
     segment = F.floor(F.col("ts_us") / F.lit(window_us)).cast("long")
-    linked = previous_value(timed, QUERY_KEY, ["ts_us", "packet_no"], segment, "ts_us", "__last")
+    linked = previous_value(timed, QUERY_KEY, ["ts_us", "packet_no"], segment, "ts_us", "__last", F.max("ts_us"))
     since = F.col("ts_us") - F.col("__last")
     repeated = F.coalesce((since > 0) & (since <= window_us), F.lit(False))
     return linked.select(

@@ -102,10 +102,17 @@ def previous_value(
     segment: Column,
     value: str,
     name: str,
+    last_value: Column | None = None,
 ) -> DataFrame:
-    """Adds ``value`` of the row before this one in the group (NULL for the first)."""
+    """Adds ``value`` of the row before this one in the group (NULL for the first).
+
+    ``last_value`` is the aggregate that gives the last value of a segment. It
+    may be passed where a plain one does, which then needs no sort.
+    """
     rows = rows.withColumn(SEGMENT, segment)
-    last = rows.groupBy(*keys, SEGMENT).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    if last_value is None:
+        last_value = F.max_by(value, F.struct(*order) if len(order) > 1 else order[0])
+    last = rows.groupBy(*keys, SEGMENT).agg(last_value.alias("__last"))
     by_segment = Window.partitionBy(*keys).orderBy(SEGMENT)
     carry = (
         last.withColumn("__value", F.lag("__last").over(by_segment))

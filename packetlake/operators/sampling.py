@@ -15,6 +15,8 @@ from packetlake.operators.sequences import FLOW
 
 # Segments of the shuffled order; each holds an even share of the rows.
 SHUFFLE_BITS = 12
+# Drawn positions are broadcast up to this many rows of a few numbers each.
+BROADCAST_ROWS = 500_000
 
 
 def epoch_batches(rows: DataFrame, key: str, size: int, seed: int, bits: int = SHUFFLE_BITS) -> DataFrame:
@@ -33,9 +35,18 @@ def epoch_batches(rows: DataFrame, key: str, size: int, seed: int, bits: int = S
     )
 
 
-def gather(batches: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The rows a batch lists."""
-    return batches.join(rows, key)
+def broadcast_if_bounded(small: DataFrame, bound: int) -> DataFrame:
+    """Marks the side for broadcast where its number of rows is known to be small."""
+    return F.broadcast(small) if bound <= BROADCAST_ROWS else small
+
+
+def gather(batches: DataFrame, rows: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+    """The rows a batch lists.
+
+    ``bound`` is the most rows ``batches`` can have, if that is known; a small
+    one spares the shuffle of the wide table.
+    """
+    return (batches if bound is None else broadcast_if_bounded(batches, bound)).join(rows, key)
 
 
 def label_dictionary(packets: DataFrame) -> DataFrame:
@@ -70,7 +81,8 @@ def even_sample(packets: DataFrame, draws: int, k: int, seed: int, width: int =
     narrow = packets.select("AttackLabel", "packet_no")
     placed = numbered(narrow, ["AttackLabel"], ["packet_no"], segment_of("packet_no", width), "__place")
     drawn = _window_of(_drawn_labels(packets, draws, seed), "label_rows", k, seed)
-    return drawn.join(placed, ["AttackLabel", "__place"]).select("draw_id", "pos", "AttackLabel", "packet_no")
+    found = placed.join(broadcast_if_bounded(drawn, draws * k), ["AttackLabel", "__place"])
+    return found.select("draw_id", "pos", "AttackLabel", "packet_no")
 
 
 def random_windows(packets: DataFrame, k: int, seed: int, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -94,7 +106,9 @@ def sample_flow_even(packets: DataFrame, draws: int, k: int, seed: int, width: i
     picked = _drawn_labels(packets, draws, seed).withColumn(
         "__row", draw_below(F.col("label_rows"), seed, "row", F.col("draw_id"))
     )
-    flows = picked.join(in_label.select(*FLOW, "__row"), ["AttackLabel", "__row"])
+    flows = in_label.join(broadcast_if_bounded(picked, draws), ["AttackLabel", "__row"])
     sizes = packets.groupBy(*FLOW).agg(F.count(F.lit(1)).alias("flow_rows"))
-    drawn = _window_of(flows.select("draw_id", *FLOW).join(sizes, FLOW), "flow_rows", k, seed)
-    return drawn.join(_flow_places(packets, width), [*FLOW, "__place"]).select("draw_id", "pos", *FLOW, "packet_no")
+    chosen = broadcast_if_bounded(flows.select("draw_id", *FLOW), draws)
+    drawn = broadcast_if_bounded(_window_of(sizes.join(chosen, FLOW), "flow_rows", k, seed), draws * k)
+    found = _flow_places(packets, width).join(drawn, [*FLOW, "__place"])
+    return found.select("draw_id", "pos", *FLOW, "packet_no")

@@ -39,7 +39,8 @@ def run_capture_job(
     """
     spark = frames.sparkSession
     counts = Observation()
-    decoded = decode_packets(frames, parity=parity, counts=counts)
+    # The payload is part of the frame, so it is not stored a second time.
+    decoded = decode_packets(frames, parity=parity, counts=counts).drop("payload")
     decoded.write.mode("overwrite").parquet(f"{out}/decoded")
     totals = counts.get
     # Later steps read the columns they need from the stored packets.

@@ -24,5 +24,5 @@ def validation_batches(packets: DataFrame, k: int, batch_size: int, placement: s
 def training_batch(packets: DataFrame, draws: int, k: int, seed: int, placement: str = "EOS") -> DataFrame:
     """A label-balanced batch of runs inside flows, encoded and padded."""
     drawn = sample_flow_even(packets, draws, k, seed).select("draw_id", "pos", "packet_no")
-    rows = gather(drawn, packets, "packet_no")
+    rows = gather(drawn, packets, "packet_no", bound=draws * k)
     return assemble_sequences(rows, k, keys=["draw_id"], placement=placement)

@@ -190,7 +190,7 @@ def random_window(spark, sf_dir):
 def encoded_batch(spark, sf_dir):
     packets = labelled_packets(spark, sf_dir)
     drawn = sampling.even_sample(packets, DRAWS, K, SEED).drop("AttackLabel")
-    rows = sampling.gather(drawn, packets, "packet_no")
+    rows = sampling.gather(drawn, packets, "packet_no", bound=DRAWS * K)
     whole = sequences.assemble_sequences(rows, K, keys=["draw_id"], pad_rows=False)
     digest = F.md5(F.array_join(F.flatten("tokens").cast("array<string>"), ","))
     return whole.select("draw_id", "label", "length", digest.alias("tokens"))
