@@ -216,9 +216,9 @@ PROTOCOL_FIELDS = {"arp": ARP_FIELDS, "ip": IP_FIELDS, "tcp": TCP_FIELDS, "udp":
 
 
 def protocols(packets: DataFrame) -> DataFrame:
-    """Mask and protocol structs of the frames that decoded."""
+    """Protocol structs of the frames that decoded."""
     kept = packets.withColumns(
         {c: F.when(F.col("decode_error").isNull(), F.col(c)) for c in ("_ether", "_transport", "_src_port", "_dst_port")}
     )
     worded = step(kept, _arp_word=f"IF(_ether = 'ARP', {u32('data', 18)}, NULL)")
-    return step(worded, mask=ENDPOINT_MASK, **PROTOCOL_FIELDS)
+    return step(worded, **PROTOCOL_FIELDS)

@@ -35,8 +35,8 @@ def decode_packets(
     located = layers.transport(layers.network(layers.ethernet(frames)))
     if profile == "light":
         return _counted(decode_light(located), counts)
-    checked = _counted(step(located, decode_error=layers.DECODE_ERROR), counts)
-    packets = _assemble(_with_applications(layers.protocols(checked)), parity)
+    checked = step(step(located, decode_error=layers.DECODE_ERROR), mask=layers.ENDPOINT_MASK)
+    packets = _assemble(_with_applications(layers.protocols(_counted(checked, counts))), parity)
     return packets.observe(f"packets-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("packets"))
 
 
