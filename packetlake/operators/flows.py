@@ -25,11 +25,6 @@ SECOND_US = 1_000_000
 SESSION_GAP_US = 300 * SECOND_US
 
 
-def packet_size(data: Column, parity: bool = False) -> Column:
-    """Captured length; ``parity`` keeps only 16 bits of it."""
-    return F.length(data) % 65536 if parity else F.length(data)
-
-
 def _measures() -> dict[str, Column]:
     return {
         "ts_us": F.unix_micros("ts"),

@@ -10,7 +10,7 @@ from packetlake.functions.binary import piece
 from packetlake.operators.decode import decode_packets, decode_summary, packet_table
 from packetlake.operators.features import csv_projection, flatten_features
 from packetlake.operators.flows import flow_stats
-from packetlake.queries.base import PACKETS_CTE, as_text, query, sql_ip
+from packetlake.queries.base import PACKETS_CTE, query, sql_ip
 from packetlake.schemas import FLOW_KEY
 
 V = VARIANTS
