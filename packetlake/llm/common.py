@@ -118,3 +118,8 @@ def components(edges: DataFrame) -> DataFrame:
 def tuned(spark: SparkSession) -> None:
     """Small Arrow batches, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def id_remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo ``divisor``; null without an id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor

@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetlake.llm import chunkreuse, idfiles, packing
-from packetlake.llm.common import slices, table, tokenizer_path, tuned
+from packetlake.llm import chunkreuse, factorization, forest, idfiles, markov, minhash, mixture, packing, skipchain, threshold
+from packetlake.llm.common import id_remainder, slices, table, tokenizer_path, tuned
 from packetlake.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,59 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+@query("op4_language_mixture")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
+    model = mixture.fit(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), mixture.languages_of(model, F.col("text")).alias("r"))
+    return found.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), F.col("r.score").alias("score"))
+
+
+def span_text(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
+
+
+def span_digests(docs: DataFrame, kinds: tuple[str, ...], scan: Callable, base: Callable) -> DataFrame:
+    """Counts per base kind, the digest of the base spans, and all spans of ``docs`` (doc_id, text).
+
+    ``scan`` gives all spans of a text. Those that ``base`` gives for the same
+    text are among them, in the same order.
+    """
+    schema = ", ".join(["doc_id long", *(f"n_{kind} long" for kind in kinds), "base_sha256 string", "spans string"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                own = base(text or "")
+                counts = [sum(kind == k for kind, _, _ in own) for k in kinds]
+                rows.append((*counts, hashlib.sha256(span_text(own).encode()).hexdigest(), span_text(scan(text or ""))))
+            columns = list(zip(*rows)) or [()] * (len(kinds) + 2)
+            types = [pa.int64()] * len(kinds) + [pa.string()] * 2
+            names = ["doc_id", *(f"n_{kind}" for kind in kinds), "base_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digest, schema)
+
+
+@query("op5_skip_chain_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = skipchain.fit(docs)
+    return span_digests(docs, skipchain.KINDS, lambda text: skipchain.spans_of(model, text), skipchain.base_spans)
+
+
+@query("op8_markov_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = markov.fit(docs)
+    return span_digests(docs, markov.KINDS[:3], lambda text: markov.spans_of(model, text), markov.base_spans)
+
+
 @query("op9_chunk_reuse_encoding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
@@ -68,5 +122,53 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op3_forest_embeddings")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_minhash_documents")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+@query("op7_threshold_search", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return threshold.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op10_factorization_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(5) == 0, F.lit(False))
+    model = factorization.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    score = factorization.quality_score(model, F.col("text"), factorization.length_column(docs))
+    found = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= factorization.THRESHOLD).cast("int"))
+
+
 def load() -> dict[str, tuple[Query, str | None]]:
-    return REGISTRY
+    """All of the above, and the pipeline of the repository's top folder."""
+    import corpus_pipeline
+
+    return {**REGISTRY, "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
