@@ -15,7 +15,7 @@ from packetlake.session import shared_folder
 #: Bits of a membership filter: 1 MiB, whatever the number of members.
 FILTER_BITS = 1 << 23
 #: Bytes of text that one numpy pass handles; a single longer text is one pass.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: Rounds after which components must have converged (a path of n nodes needs about log n).
 MAX_ROUNDS = 60
 
