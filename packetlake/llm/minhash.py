@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlake.llm.common import components, maybe_member, slices, stored
+from packetlake.llm.common import SLICE_BYTES, components, maybe_member, slices, stored
 from packetlake.llm.textarrays import LOWER, as_bytes, mix, prefix_sums, span_hashes, words
 
 SHINGLE_WORDS = 5
@@ -19,7 +19,7 @@ PERCENT = 80
 #: At a similarity of 0.8 a pair has 32 equal ones on average, and under 24 once in 2,000.
 COORDINATES, MATCHES = 40, 24
 #: Documents of one posting list that one task compares with each other.
-LIST_BLOCK = 1_024
+LIST_BLOCK = 512
 SEED = 11
 
 
@@ -82,13 +82,13 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(posting, set_key): the posting lists by which all pairs with MATCHES equal coordinates meet.
+    """(posting, set_key, weight): the posting lists by which all pairs with MATCHES equal coordinates meet.
 
     A posting is a coordinate with its value. Postings of one set only cannot
     collide and are dropped; a set left with fewer than MATCHES is done. Of the
     others, ordered from rare to frequent, all but the last MATCHES - 1 are
     kept: two sets with MATCHES equal coordinates share one of those, and the
-    long lists at the end are skipped.
+    long lists at the end are skipped. ``weight`` counts a set's collisions.
     """
     posting = F.xxhash64("place", "value").alias("posting")
     posted = sets.select("set_key", F.posexplode("signature").alias("place", "value")).select("set_key", posting)
@@ -96,31 +96,25 @@ def prefixes(sets: DataFrame) -> DataFrame:
     ranked = (
         posted.join(often, "posting")
         .groupBy("set_key")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("list"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("list"), F.sum("n").alias("weight"))
         .filter(F.size("list") >= MATCHES)
     )
     kept = F.slice("list", F.lit(1), F.size("list") - (MATCHES - 1))
-    return ranked.select("set_key", F.explode(kept).alias("p")).select("set_key", "p.posting")
+    return ranked.select("set_key", "weight", F.explode(kept).alias("p")).select("p.posting", "set_key", "weight")
 
 
 def equal_coordinates(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of set keys whose whole sets reach ``percent``.
+def texts_of(wanted: DataFrame, docs: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """(set_key, text) for the set keys ``wanted``; only their documents leave their task.
 
-    ``owners`` (set_key, owner) names a document of each set. Only texts of sets
-    in some pair leave their task.
+    ``owners`` (set_key, owner) names a document of each set.
     """
-    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    wanted = stored(wanted.join(owners, "set_key"), "wanted")
-    some = maybe_member(
-        docs.select(F.col("doc_id").cast("long").alias("owner"), F.col("text").cast("string")),
-        wanted.select(F.col("owner").alias("key")),
-        F.col("owner"),
-        "maybe",
-    ).filter("maybe")
+    wanted = stored(wanted.distinct().join(owners, "set_key"), "wanted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("owner"), F.col("text").cast("string"))
+    some = maybe_member(rows, wanted.select(F.col("owner").alias("key")), F.col("owner"), "maybe").filter("maybe")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +124,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, perc
                 yield part.filter(pc.equal(own, part.column(0)))
 
     found = some.select("owner", "text").join(wanted, "owner").select("set_key", "text")
-    texts = stored(found.mapInArrow(keyed, "set_key long, text string"), "texts")
+    # A document may stand in the table more than once.
+    return stored(found.mapInArrow(keyed, "set_key long, text string").dropDuplicates(["set_key"]), "texts")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of set keys whose whole sets reach ``percent``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,61 +153,83 @@ def confirmed(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, perc
     left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
     paired = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    # The same document row may stand in the table more than once.
-    return stored(paired.mapInArrow(compare, "a long, b long").distinct(), "confirmed")
-
-
-def size_slices(sizes: list[int], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    low, held = 0, 0
-    for row, size in enumerate(sizes):
-        if row > low and held + size > limit:
-            yield low, row
-            low, held = row, 0
-        held += size
-    if low < len(sizes):
-        yield low, len(sizes)
+    return paired.mapInArrow(compare, "a long, b long")
 
 
-def open_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) with MATCHES equal coordinates and different components, within each posting list.
+def open_links(lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between different components within each posting list.
 
-    ``lists`` (posting, n, set_key, component, signature). A long list is cut
-    into blocks, and each pair of blocks is compared by its own task.
+    ``lists`` (posting, n, set_key, component, postings, signature, text). A long
+    list is cut into blocks, and each pair of blocks is compared by its own task:
+    signatures first, then whole sets. A pair is looked at in the first list that
+    it shares, and one link for each set and component is enough. Pairs that are
+    no links never leave the task.
     """
     blocks = F.ceil(F.col("n") / LIST_BLOCK).cast("int")
     dealt = (
         lists.withColumn("_blocks", blocks)
         .withColumn("_own", F.pmod(F.xxhash64("set_key"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("posting", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "set_key", "component", "signature")
+        .withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+        .select("posting", "_i", "_j", "_own", "set_key", "component", "postings", "signature", "text")
     )
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        posting, i, j = (part.as_py() for part in key)
         own, keys, part = (rows[c].to_numpy() for c in ("_own", "set_key", "component"))
         flat = rows["signature"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-        i, j = key[1].as_py(), key[2].as_py()
+        shared_lists = [set(p) for p in rows["postings"].to_pylist()]
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(place: int) -> np.ndarray:
+            if place not in sets:
+                sets[place] = shingle_sets(rows["text"].slice(place, 1).combine_chunks(), k)[0]
+            return sets[place]
+
         first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
+        out: list[tuple[int, int]] = []
         for at in first.tolist():
             rest = second[second > at] if i == j else second
             rest = rest[part[rest] != part[at]]
-            if len(rest):
-                rest = rest[(flat[rest] == flat[at]).sum(1) >= MATCHES]
-                out_a += np.minimum(keys[rest], keys[at]).tolist()
-                out_b += np.maximum(keys[rest], keys[at]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            if not len(rest):
+                continue
+            rest = rest[(flat[rest] == flat[at]).sum(1) >= MATCHES]
+            rest = [r for r in rest.tolist() if min(shared_lists[at] & shared_lists[r]) == posting]
+            if not rest:
+                continue
+            mine, others = set_of(at), [set_of(r) for r in rest]
+            size = np.array([len(o) for o in others])
+            value = np.concatenate(others)
+            place = np.minimum(np.searchsorted(mine, value), len(mine) - 1)
+            both = np.add.reduceat((mine[place] == value).astype(np.int64), np.cumsum(size) - size)
+            linked = np.array(rest)[100 * both >= percent * (size + len(mine) - both)]
+            _, one = np.unique(part[linked], return_index=True)
+            out += [(int(keys[at]), int(keys[r])) for r in linked[one]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return dealt.groupBy("posting", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def size_slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` in all (a larger row is alone)."""
+    low, held = 0, 0
+    for row, size in enumerate(sizes):
+        if row > low and held + size > limit:
+            yield low, row
+            low, held = row, 0
+        held += size
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Documents with equal sets are one class from the start, so copies never meet
     in pairs. Sets that share a posting list are first confirmed against the
-    list's smallest set, which joins large groups at the cost of one pair a
-    document. Only lists that still hold more than one component are compared
-    pair by pair, on signatures first, so no link between components is lost.
+    list's set with most collisions, which joins large groups at the cost of one
+    pair a document. Only lists that still hold more than one component are
+    compared further, so no link between components is lost.
     Texts without a word, and rows without doc_id, are linked with nothing.
     """
     marked = stored(signed(docs, k), "signed")
@@ -218,7 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     owners, signs = sets.select("set_key", "owner"), sets.select("set_key", "signature")
 
     posted = stored(prefixes(sets), "prefixes")
-    lists = stored(posted.groupBy("posting").agg(F.min("set_key").alias("a"), F.count("*").alias("n")).filter("n > 1"), "lists")
+    most = F.max(F.struct("weight", "set_key"))
+    lists = stored(posted.groupBy("posting").agg(most.alias("m"), F.count("*").alias("n")).filter("n > 1").select("posting", "n", F.col("m.set_key").alias("a")), "lists")
     stars = posted.join(lists, "posting").filter("a <> set_key").select("a", F.col("set_key").alias("b")).distinct()
     matched = (
         stars.join(signs.select(F.col("set_key").alias("a"), F.col("signature").alias("sa")), "a")
@@ -227,17 +249,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
         .select("a", "b")
     )
     matched = stored(matched, "pairs")
-    links = confirmed(matched, docs, owners, k, percent)
+    both = matched.select(F.col("a").alias("set_key")).unionByName(matched.select(F.col("b").alias("set_key")))
+    links = stored(confirmed(matched, texts_of(both, docs, owners, k), k, percent), "confirmed")
     found = stored(components(links).withColumnRenamed("node", "set_key"), "components")
 
     placed = posted.join(lists.select("posting", "n"), "posting").join(found, "set_key", "left")
-    placed = stored(placed.withColumn("component", F.coalesce("component", "set_key")), "placed")
+    placed = stored(placed.select("posting", "n", "set_key", F.coalesce("component", "set_key").alias("component")), "placed")
     mixed = placed.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("posting")
-    rest = placed.join(stored(mixed, "mixed"), "posting").join(signs, "set_key")
-    more = stored(open_pairs(rest).join(matched, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(placed.join(stored(mixed, "mixed"), "posting"), "mixed")
+    members = rest.groupBy("set_key").agg(F.collect_set("posting").alias("postings"))
+    members = members.join(signs, "set_key").join(texts_of(rest.select("set_key"), docs, owners, k), "set_key")
+    more = stored(open_links(rest.join(stored(members, "members"), "set_key"), k, percent), "links")
     if more.limit(1).count():
-        links = links.unionByName(confirmed(more, docs, owners, k, percent))
-        found = stored(components(links).withColumnRenamed("node", "set_key"), "components")
+        found = stored(components(links.unionByName(more)).withColumnRenamed("node", "set_key"), "components")
 
     classes = sets.select("set_key", "owner").join(found, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     classes = stored(classes, "classes")
