@@ -19,6 +19,8 @@ LEAF = 512
 BLOCK = 1_024
 #: Overlap of a split, in standard deviations of the projected distance of a pair at the threshold.
 OVERLAP = 1.2
+#: Quantiles among which a split looks for the widest gap, so that it does not cut a dense cloud.
+QUANTILES = tuple(q / 100 for q in range(25, 80, 5))
 #: A node that keeps this share of its parent (a dense cloud inside the overlap) is a leaf of any size.
 DENSE = 0.9
 SEED = 5
@@ -61,8 +63,9 @@ def projected(points: DataFrame, depth: int) -> DataFrame:
 def leaves(points: DataFrame, n: int, dimensions: int, cosine: float) -> DataFrame:
     """(leaf, n, rep): the leaves of all trees.
 
-    Each level splits every large node at the median of a random projection;
-    vectors within the overlap of the median go both ways. All nodes of a level,
+    Each level splits every large node by a random projection, at the middle
+    quantile whose neighbours are farthest apart; vectors within the overlap of
+    that value go both ways. All nodes of a level,
     of all trees and labels, are split by the same few jobs.
     """
     depth = 2 + math.ceil(1.5 * math.log2(max(2.0, n / LEAF)))
@@ -71,8 +74,9 @@ def leaves(points: DataFrame, n: int, dimensions: int, cosine: float) -> DataFra
     done = None
     for level in range(depth + 1):
         value = F.get("p", F.lit(level)) if level < depth else F.lit(0.0)
-        stats = state.groupBy("node").agg(F.count("*").alias("n"), F.max("above").alias("was"), F.percentile_approx(value, 0.5).alias("middle"))
-        stats = stored(stats, "medians")
+        stats = state.groupBy("node").agg(F.count("*").alias("n"), F.max("above").alias("was"), F.percentile_approx(value, list(QUANTILES)).alias("q"))
+        gaps = F.transform(F.sequence(F.lit(1), F.lit(len(QUANTILES) - 2)), lambda i: F.struct(F.get("q", i + 1) - F.get("q", i - 1), F.get("q", i)))
+        stats = stored(stats.select("node", "n", "was", F.array_max(gaps)["col2"].alias("middle")), "splits")
         end = (F.col("n") <= LEAF) | F.coalesce(F.col("n") >= DENSE * F.col("was"), F.lit(False)) | F.lit(level == depth)
         joined = state.join(stats, "node")
         ended = joined.filter(end).select(F.col("node").alias("leaf"), "n", "rep")
