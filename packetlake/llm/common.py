@@ -15,7 +15,7 @@ from packetlake.session import shared_folder
 #: Bits of a membership filter: 1 MiB, whatever the number of members.
 FILTER_BITS = 1 << 23
 #: Bytes of text that one numpy pass handles; a single longer text is one pass.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rounds after which components must have converged (a path of n nodes needs about log n).
 MAX_ROUNDS = 60
 
@@ -117,7 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def tuned(spark: SparkSession) -> None:
     """Small Arrow batches, so that long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def id_remainder(divisor: int) -> Column:

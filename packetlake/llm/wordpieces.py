@@ -9,7 +9,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Distinct words kept per task; beyond this the cache starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 #: Characters that str.split takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Words of one letter run and one run of punctuation: two pieces of the tokenizer's split.
