@@ -162,7 +162,7 @@ class Capture:
                 rows, held = [], 0
         if rows:
             yield self._batch(rows)
-        if part.end < part.size and at < part.size and self.boundary(part.end) != at:
+        if part.end < part.size and self.boundary(part.end) != at:
             raise RuntimeError(f"no certain record boundary near byte {part.end} of {part.path}; read it with splitBytes=0")
 
     @staticmethod
