@@ -368,8 +368,11 @@ def landed_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 4)
         part.coalesce(1).write.mode("append").parquet(folder)
 
 
-def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False) -> None:
-    """Capture files of the frames, one per range of packet numbers, named in order."""
+def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False, cut: int = 0) -> None:
+    """Capture files of the frames, one per range of packet numbers, named in order.
+
+    ``cut`` bytes are missing at the end of each file.
+    """
     magic = b"\x4d\x3c\xb2\xa1" if nanoseconds else b"\xd4\xc3\xb2\xa1"
     scale = 1000 if nanoseconds else 1
 
@@ -378,7 +381,7 @@ def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False) ->
 
         from packetlake.sources.pcap import open_filesystem
 
-        out = None
+        out, held = None, b""
         for batch in batches:
             for number, ts, data in zip(*(batch[c].to_pylist() for c in ("packet_no", "us", "data"))):
                 if out is None:
@@ -386,8 +389,10 @@ def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False) ->
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(f"{root}/{number:016d}.pcap")
                     out.write(magic + struct.pack("<HHiIII", 2, 4, 0, 0, 65535, 1))
-                out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000 * scale, len(data), len(data)) + data)
+                out.write(held)
+                held = struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000 * scale, len(data), len(data)) + data
         if out is not None:
+            out.write(held[: len(held) - cut])
             out.close()
         yield from ()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from packetlake.functions.flowkey import flow_key_text
@@ -17,13 +17,10 @@ from packetlake.operators.graph import (
     ip_nodes,
     merge_nodes,
 )
-from packetlake.sources.pcap import SPLIT_BYTES, register_pcap
+from packetlake.sources.pcap import read_frames
 from packetlake.sources.sinks import append_payloads, write_graph, write_packet_table
 
-
-def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    register_pcap(spark)
-    return spark.read.format("pcap").option("splitBytes", split_bytes).load(path)
+__all__ = ["read_frames", "run_capture_job"]
 
 
 def run_capture_job(

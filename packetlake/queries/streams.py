@@ -28,6 +28,7 @@ from packetlake.queries.labelled import KEY_SQL
 from packetlake.queries.tokens import EOS_SQL, SEGMENTS_CTE
 from packetlake.schemas import FLOW_KEY, PACKET_TABLE
 from packetlake.session import shared_folder
+from packetlake.sources.pcap import OFFSET_BITS, capture_damage
 from packetlake.sources.sinks import append_payloads, write_feature_csv, write_packet_table
 from packetlake.sources.tables import read_packet_table, read_topology
 from packetlake.streaming.dns import write_flagged_queries
@@ -104,7 +105,7 @@ def pcap_scan(spark, sf_dir):
     plain = synth_frames(spark, sf_dir, variants=False)
     write_captures(plain, folder)
     frames = read_frames(spark, folder, split_bytes=64 * 1024)
-    order = numbered(frames, [], ["packet_no"], F.shiftright("packet_no", 44), "frame_no")
+    order = numbered(frames, [], ["packet_no"], F.shiftright("packet_no", OFFSET_BITS), "frame_no")
     payload = decode_packets(order.drop("frame_no")).select("packet_no", F.hex("payload").alias("props"))
     parts = order.select(
         "packet_no", "frame_no", seconds_part(F.col("ts")).alias("timestamp_s"), micros_part(F.col("ts")).alias("timestamp_us")
@@ -112,6 +113,19 @@ def pcap_scan(spark, sf_dir):
     return parts.join(payload, "packet_no").drop("packet_no")
 
 
+@query(
+    "pcap_damage",
+    f"WITH {FRAMES_CTE} SELECT ts_us // 1000000 AS timestamp_s, ts_us % 1000000 AS timestamp_us FROM frames",
+)
+def pcap_damage(spark, sf_dir):
+    """Captures that each miss their last bytes: the whole records, and the listed damage, are all there was."""
+    folder = shared_folder(spark, "captures")
+    write_captures(synth_frames(spark, sf_dir, variants=False), folder, cut=5)
+    whole = read_frames(spark, folder, split_bytes=64 * 1024, damage="stop").select("ts")
+    found = whole.unionByName(capture_damage(spark, folder).select("ts"))
+    return found.select(seconds_part(F.col("ts")).alias("timestamp_s"), micros_part(F.col("ts")).alias("timestamp_us"))
+
+
 @query(
     "topology_scan",
     "SELECT DISTINCT s_name AS name, n_name AS roles FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 0",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,11 +37,13 @@ def build_session(app: str = "packetlake", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, visible to every executor.
 
-    Only where the cluster names no such folder (tests on one machine) is a
-    temporary one made and recorded in the session.
+    A cluster has to name that folder. Only on a local master, where all tasks
+    share one disk, is a temporary one made and recorded in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="packetlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -1,22 +1,29 @@
-"""Capture files as a Spark data source: ``spark.read.format("pcap").load(folder)``.
-
-Files are read in byte ranges, so one large capture uses many tasks. A range that
-starts inside a file looks for the first chain of plausible record headers. The
-task before it, which knows the exact record boundary, makes the same search at
-its end and fails if the answers differ; so either all ranges meet at true
-boundaries or the read stops. With ``splitBytes=0`` files are read whole, one
-task each, with no search.
+"""Capture files as frames.
+
+``read_frames`` cuts large files at exact record boundaries: tasks first walk the
+record lengths of the files above ``split_bytes``, one file each, then every
+range is a task of its own. Files up to that size are one range and are read
+once. ``spark.read.format("pcap")`` reads each file in one task, with no walk.
+Record lengths decide all boundaries, so payloads that look like records, empty
+records and records of any length are read as they are.
+
+A record that its file does not hold whole is damage: a cut end, or a length
+that passes the end, which hides all that follows. The read fails there, or with
+``damage="stop"`` leaves out the rest of that file; ``capture_damage`` lists
+those places.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -31,31 +38,135 @@ MAGICS = {
     b"\xa1\xb2\x3c\x4d": (">", 1_000_000_000),
 }
 ETHERNET = 1
-MAX_RECORD = 262_144
-# Records that must follow each other for a boundary to be accepted.
-CHAIN = 16
 SPLIT_BYTES = 128 * 1024 * 1024
 BLOCK = 8 * 1024 * 1024
 # Bits of packet_no left for the offset in a file; the file number is above them.
-OFFSET_BITS = 44
-ROWS, BATCH_BYTES = 8192, 32 * 1024 * 1024
+OFFSET_BITS = 40
+# Frames of one Arrow batch, and the bytes that a binary value can hold.
+ROWS, LARGEST = 8192, 2**31 - 1
+DAMAGE = ("error", "stop")
+
+RANGES = "path string, file_no long, start long, stop long, size long"
+DAMAGED = "path string, file_no long, at long, bytes_left long, ts timestamp"
 
 
 def register_pcap(spark: SparkSession) -> None:
     spark.dataSource.register(PcapDataSource)
 
 
+def open_filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 @dataclass
-class CaptureRange(InputPartition):
+class CaptureFile(InputPartition):
     path: str
     file_no: int
-    start: int
-    end: int
     size: int
 
 
+def list_captures(path: str, offset_bits: int = OFFSET_BITS) -> list[CaptureFile]:
+    """The files by name; only sizes are looked at here."""
+    system, root = open_filesystem(path)
+    if system.get_file_info(root).type == fs.FileType.Directory:
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+    else:
+        found = [system.get_file_info(root)]
+    named = sorted((f.path, f.size) for f in found if f.is_file and f.size and not f.base_name.startswith((".", "_")))
+    if len(named) >> (63 - offset_bits) or any(size >> offset_bits for _, size in named):
+        raise ValueError(f"{len(named)} files do not fit packet numbers with {offset_bits} bits of offset; choose other offset_bits")
+    return [CaptureFile(name, number, size) for number, (name, size) in enumerate(named)]
+
+
+@contextmanager
+def open_capture(root: str, path: str, size: int) -> Iterator[Capture]:
+    system, _ = open_filesystem(root)
+    with system.open_input_file(path) as source:
+        yield Capture(source, path, size)
+
+
+class Capture:
+    """The records of one open file."""
+
+    def __init__(self, source, path: str, size: int):
+        self.source, self.path, self.size = source, path, size
+        self.damaged: int | None = None
+        head = source.read_at(FILE_HEADER, 0)
+        if head[:4] not in MAGICS or len(head) < FILE_HEADER:
+            raise ValueError(f"{path} is not a capture file")
+        self.order, self.second = MAGICS[bytes(head[:4])]
+        (link,) = struct.unpack(self.order + "I", head[20:24])
+        if link & 0xFFFF != ETHERNET:
+            raise ValueError(f"{path} has link type {link & 0xFFFF}, not Ethernet")
+        self.length = struct.Struct(self.order + "I").unpack_from
+
+    def blocks(self, start: int, stop: int) -> Iterator[tuple[bytes, int, list[int], int]]:
+        """(block, base, places, after): the whole records that begin from ``start`` to before ``stop``.
+
+        ``base`` is the block's offset in the file, ``places`` are the records'
+        offsets in the block and ``after`` is where the last one ends. A record
+        that the file does not hold whole ends the walk and is kept in ``damaged``.
+        """
+        at, wanted = start, BLOCK
+        while at < stop:
+            block = self.source.read_at(min(wanted, self.size - at), at)
+            place, places, have = 0, [], len(block)
+            while place < stop - at and place + RECORD_HEADER <= have:
+                after = place + RECORD_HEADER + self.length(block, place + 8)[0]
+                if after > have:
+                    break
+                places.append(place)
+                place = after
+            if places:
+                yield block, at, places, place
+                at, wanted = at + place, BLOCK
+                continue
+            # Not one whole record: it is longer than the block, or than the file.
+            wanted = RECORD_HEADER + (self.length(block, 8)[0] if have >= RECORD_HEADER else 0)
+            if at + wanted > self.size:
+                self.damaged = at
+                return
+            if wanted > LARGEST:
+                raise ValueError(f"{self.path}: the record at byte {at} has {wanted} bytes, more than one value can hold")
+
+    def ranges(self, split_bytes: int) -> Iterator[tuple[int, int]]:
+        """Offsets between which about ``split_bytes`` of whole records lie."""
+        begin = FILE_HEADER
+        for _, base, places, _ in self.blocks(FILE_HEADER, self.size):
+            offsets = base + np.array(places, np.int64)
+            while (cut := int(np.searchsorted(offsets, begin + split_bytes))) < len(offsets):
+                yield begin, int(offsets[cut])
+                begin = int(offsets[cut])
+        # Damage is left to the reader of the last range.
+        yield begin, self.size
+
+    def instants(self, seconds: np.ndarray, fraction: np.ndarray) -> np.ndarray:
+        return seconds * 1_000_000 + fraction * 1_000_000 // self.second
+
+    def frames(self, start: int, stop: int, number: int, damage: str) -> Iterator[pa.RecordBatch]:
+        """Frames of the records between two boundaries; ``number`` is added to their offsets."""
+        header = np.arange(RECORD_HEADER)
+        for block, base, places, after in self.blocks(start, stop):
+            raw = np.frombuffer(block, np.uint8)
+            bounds = np.array([*places, after], np.int64)
+            for low in range(0, len(places), ROWS):
+                at = bounds[low : low + ROWS + 1]
+                at, first, end = at[:-1], int(at[0]), int(at[-1])
+                fields = raw[at[:, None] + header].view(f"{self.order}u4").astype(np.int64)
+                seconds, fraction, kept, original = fields.T
+                payload = np.ones(end - first, bool)
+                payload[(at - first)[:, None] + header] = False
+                ends = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(raw[first:end][payload])])
+                times = pa.array(self.instants(seconds, fraction)).cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
+                columns = [pa.array(number + base + at), times, pa.array(original), data]
+                yield pa.RecordBatch.from_arrays(columns, names=FRAMES.names)
+        if self.damaged is not None and damage == "error":
+            raise ValueError(f"{self.path} does not hold the whole record at byte {self.damaged} of {self.size}; damage='stop' leaves out what follows")
+
+
 class PcapDataSource(DataSource):
-    """Options: ``path``, and ``splitBytes`` (128 MiB; 0 for whole files)."""
+    """Options: ``path``, ``damage`` (error or stop), ``offsetBits``. One task a file."""
 
     @classmethod
     def name(cls) -> str:
@@ -65,115 +176,89 @@ class PcapDataSource(DataSource):
         return FRAMES
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return PcapReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
+        options = self.options
+        return PcapReader(options["path"], checked_damage(options.get("damage", "error")), int(options.get("offsetBits", OFFSET_BITS)))
 
 
-def open_filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+class PcapReader(DataSourceReader):
+    def __init__(self, path: str, damage: str, offset_bits: int):
+        self.path, self.damage, self.offset_bits = path, damage, offset_bits
 
+    def partitions(self) -> list[CaptureFile]:
+        return list_captures(self.path, self.offset_bits)
 
-class PcapReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int):
-        self.path = path
-        self.split_bytes = split_bytes
-
-    def partitions(self) -> list[CaptureRange]:
-        """Byte ranges of the files, by name; only sizes are looked at here."""
-        system, root = open_filesystem(self.path)
-        if system.get_file_info(root).type == fs.FileType.Directory:
-            found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        else:
-            found = [system.get_file_info(root)]
-        files = sorted((f.path, f.size) for f in found if f.is_file and not f.base_name.startswith((".", "_")))
-        ranges = []
-        for number, (path, size) in enumerate(files):
-            step = self.split_bytes or max(size, 1)
-            ranges += [CaptureRange(path, number, at, min(at + step, size), size) for at in range(0, size, step)]
-        return ranges
-
-    def read(self, partition: CaptureRange) -> Iterator[pa.RecordBatch]:
-        system, _ = open_filesystem(self.path)
-        with system.open_input_file(partition.path) as source:
-            capture = Capture(source, partition)
-            yield from capture.batches()
+    def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
+        with open_capture(self.path, partition.path, partition.size) as capture:
+            yield from capture.frames(FILE_HEADER, partition.size, partition.file_no << self.offset_bits, self.damage)
 
 
-class Capture:
-    """One byte range of one file."""
+def checked_damage(damage: str) -> str:
+    if damage not in DAMAGE:
+        raise ValueError(f"damage is one of {DAMAGE}, not {damage!r}")
+    return damage
 
-    def __init__(self, source, part: CaptureRange):
-        self.source, self.part = source, part
-        head = source.read_at(FILE_HEADER, 0)
-        if head[:4] not in MAGICS or len(head) < FILE_HEADER:
-            raise ValueError(f"{part.path} is not a capture file")
-        order, self.second = MAGICS[bytes(head[:4])]
-        snap, link = struct.unpack(order + "II", head[16:24])
-        if link & 0xFFFF != ETHERNET:
-            raise ValueError(f"{part.path} has link type {link & 0xFFFF}, not Ethernet")
-        self.limit = max(min(snap or MAX_RECORD, MAX_RECORD), 1)
-        self.header = struct.Struct(order + "IIII")
-
-    def _plausible(self, block: bytes, at: int) -> int:
-        """Size of the record at ``at`` of a block, 0 if it cannot be one."""
-        _, fraction, kept, original = self.header.unpack_from(block, at)
-        good = fraction < self.second and 0 < kept <= self.limit and kept <= original <= max(self.limit, 65_535) * 64
-        return RECORD_HEADER + kept if good else 0
-
-    def boundary(self, position: int) -> int:
-        """First offset from ``position`` on where a chain of records starts."""
-        reach = (CHAIN + 1) * (self.limit + RECORD_HEADER)
-        block = self.source.read_at(min(reach, self.part.size - position), position)
-        to_end = position + len(block) >= self.part.size
-        for start in range(len(block)):
-            at, seen = start, 0
-            while seen < CHAIN and at + RECORD_HEADER <= len(block):
-                length = self._plausible(block, at)
-                if not length:
-                    break
-                at, seen = at + length, seen + 1
-            if seen == CHAIN or (to_end and seen and at == len(block)):
-                return position + start
-        return self.part.size
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        part = self.part
-        at = FILE_HEADER if part.start == 0 else self.boundary(part.start)
-        block, base = b"", at
-        rows: list[tuple[int, int, int, bytes]] = []
-        held = 0
-        while at < part.end:
-            if at + RECORD_HEADER > base + len(block):
-                block, base = self.source.read_at(BLOCK, at), at
-                if len(block) < RECORD_HEADER:
-                    break
-            seconds, fraction, kept, original = self.header.unpack_from(block, at - base)
-            first = at - base + RECORD_HEADER
-            if first + kept > len(block):
-                if at + RECORD_HEADER + kept > part.size:
-                    break  # the capture ends inside this record
-                block, base = self.source.read_at(max(BLOCK, RECORD_HEADER + kept), at), at
-                first = RECORD_HEADER
-            micros = seconds * 1_000_000 + fraction * 1_000_000 // self.second
-            rows.append(((part.file_no << OFFSET_BITS) | at, micros, original, block[first : first + kept]))
-            at += RECORD_HEADER + kept
-            held += kept
-            if len(rows) >= ROWS or held >= BATCH_BYTES:
-                yield self._batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self._batch(rows)
-        if part.end < part.size and self.boundary(part.end) != at:
-            raise RuntimeError(f"no certain record boundary near byte {part.end} of {part.path}; read it with splitBytes=0")
-
-    @staticmethod
-    def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        numbers, micros, originals, data = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(numbers, pa.int64()),
-                pa.array(micros, pa.timestamp("us", "UTC")),
-                pa.array(originals, pa.int64()),
-                pa.array(data, pa.binary()),
-            ],
-            names=[f.name for f in FRAMES.fields],
-        )
+
+def file_rows(spark: SparkSession, files: list[CaptureFile]) -> DataFrame:
+    """One row and one task per file, as a range over the whole file."""
+    rows = [(f.path, f.file_no, FILE_HEADER, f.size, f.size) for f in files]
+    return spark.createDataFrame(rows, RANGES).repartition(max(1, len(rows)))
+
+
+def read_frames(
+    spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, damage: str = "error", offset_bits: int = OFFSET_BITS
+) -> DataFrame:
+    """Frames of all captures below ``path``; ``split_bytes=0`` reads each file in one task."""
+    checked_damage(damage)
+    if not split_bytes:
+        register_pcap(spark)
+        return spark.read.format("pcap").option("damage", damage).option("offsetBits", offset_bits).load(path)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open_capture(path, row["path"], row["size"]) as capture:
+                    found = [{**row, "start": start, "stop": stop} for start, stop in capture.ranges(split_bytes)]
+                yield pa.RecordBatch.from_pylist(found, batch.schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open_capture(path, row["path"], row["size"]) as capture:
+                    yield from capture.frames(row["start"], row["stop"], row["file_no"] << offset_bits, damage)
+
+    files = list_captures(path, offset_bits)
+    large = [f for f in files if f.size > split_bytes]
+    ranges = file_rows(spark, [f for f in files if f.size <= split_bytes])
+    if large:
+        walked = file_rows(spark, large).mapInArrow(walk, RANGES)
+        # The ranges of a file come from one task; they are dealt out again.
+        tasks = sum(-(-f.size // split_bytes) for f in large)
+        walked = walked.repartition(tasks)
+        ranges = ranges.unionByName(walked) if len(large) < len(files) else walked
+    return ranges.mapInArrow(read, FRAMES)
+
+
+def capture_damage(spark: SparkSession, path: str, offset_bits: int = OFFSET_BITS) -> DataFrame:
+    """(path, file_no, at, bytes_left, ts): the first record of each file that it does not hold whole.
+
+    ``ts`` is null where not even the record header is there.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                with open_capture(path, row["path"], row["size"]) as capture:
+                    for _ in capture.blocks(FILE_HEADER, row["size"]):
+                        pass
+                    at = capture.damaged
+                    if at is not None:
+                        head = capture.source.read_at(min(RECORD_HEADER, row["size"] - at), at)
+                        whole = len(head) == RECORD_HEADER
+                        ts = int(capture.instants(*struct.unpack(capture.order + "II", head[:8]))) if whole else None
+                        found.append((row["path"], row["file_no"], at, row["size"] - at, ts))
+            names, types = ["path", "file_no", "at", "bytes_left", "ts"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.timestamp("us", "UTC")]
+            columns = zip(*found) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+    return file_rows(spark, list_captures(path, offset_bits)).mapInArrow(walk, DAMAGED)

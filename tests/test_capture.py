@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from packetlake.plans.capture import read_frames, run_capture_job
 from packetlake.plans.sequences import training_batch, validation_batches, with_flow_id
 from packetlake.fixtures import labelled_packets, synth_frames
+from packetlake.sources.pcap import capture_damage, list_captures
 from packetlake.sources.sinks import append_payloads, read_payloads
 from packetlake.sources.tables import preview
 
@@ -42,7 +43,53 @@ def test_a_cut_last_record_is_left_out(spark, tmp_path):
     capture(tmp_path / "a.pcap", records(20))
     whole = (tmp_path / "a.pcap").read_bytes()
     (tmp_path / "a.pcap").write_bytes(whole[:-5])
-    assert read_frames(spark, str(tmp_path)).count() == 19
+    assert read_frames(spark, str(tmp_path), damage="stop").count() == 19
+    with pytest.raises(Exception, match="whole record"):
+        read_frames(spark, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("split", [0, 700, 934, 1794])
+def test_payloads_that_look_like_records(spark, tmp_path, split):
+    inner = b"".join(struct.pack("<IIII", 1_700_000_000, 7, 60, 60) + bytes(60) for _ in range(20))
+    capture(tmp_path / "a.pcap", [*records(5), (1_700_000_009, 1, inner)])
+    got = read_frames(spark, str(tmp_path), split_bytes=split).collect()
+    assert len(got) == 6 and inner in {bytes(r.data) for r in got}
+
+
+@pytest.mark.parametrize("split", [0, 300_000])
+def test_empty_and_large_records(spark, tmp_path, split):
+    made = records(40)
+    made[7:7] = [(1_700_000_000, 5, b"")]
+    made[20:20] = [(1_700_000_000, 6, bytes(9_000_000))]
+    capture(tmp_path / "a.pcap", made)
+    (tmp_path / "b.pcap").write_bytes((tmp_path / "a.pcap").read_bytes()[:24])
+    got = read_frames(spark, str(tmp_path), split_bytes=split).orderBy("packet_no").select(F.length("data").alias("n")).collect()
+    assert [r.n for r in got] == [len(d) for _, _, d in made]
+
+
+@pytest.mark.parametrize("split", [0, 500])
+def test_a_damaged_length_is_listed(spark, tmp_path, split):
+    made = records(10)
+    capture(tmp_path / "a.pcap", made)
+    capture(tmp_path / "b.pcap", made)
+    whole = bytearray((tmp_path / "a.pcap").read_bytes())
+    at = 24 + sum(16 + len(d) for _, _, d in made[:3])
+    whole[at + 8 : at + 12] = struct.pack("<I", 1 << 30)
+    (tmp_path / "a.pcap").write_bytes(whole)
+    with pytest.raises(Exception, match=f"byte {at} "):
+        read_frames(spark, str(tmp_path), split_bytes=split).count()
+    assert read_frames(spark, str(tmp_path), split_bytes=split, damage="stop").count() == 3 + 10
+    (row,) = capture_damage(spark, str(tmp_path)).select("file_no", "at", "bytes_left", F.unix_micros("ts").alias("us")).collect()
+    assert tuple(row) == (0, at, len(whole) - at, made[3][0] * 1_000_000 + made[3][1])
+
+
+def test_packet_numbers_never_overflow(tmp_path):
+    for name in "abc":
+        capture(tmp_path / name, records(2))
+    with pytest.raises(ValueError, match="offset_bits"):
+        list_captures(str(tmp_path), offset_bits=62)
+    with pytest.raises(ValueError, match="offset_bits"):
+        list_captures(str(tmp_path), offset_bits=3)
 
 
 def test_other_link_types_are_refused(spark, tmp_path):
