@@ -43,7 +43,8 @@ TRANSPORTS = {6: "TCP", 17: "UDP", 1: "ICMPv4", 58: "ICMPv6"}
 # options, mobility, host identity, shim6 (fixed values).
 EXTENSIONS = [0, 43, 44, 51, 60, 135, 139, 140]
 FRAGMENT, AUTHENTICATION = 44, 51
-MAX_EXTENSIONS = 16
+# Bytes of the shortest extension header, so the bytes present bound their number.
+LEAST_EXTENSION = 8
 
 # Values of decode_error.
 TOO_SHORT = "ethernet_too_short"
@@ -75,7 +76,7 @@ def _extension_walk() -> str:
     begin = "named_struct('proto', _ip_proto, 'at', _ip_header + 14, 'fragmented', false)"
     known = any_of(EXTENSIONS)
     return f"""CASE WHEN _ip_ok AND _ip_proto IN ({known}) THEN aggregate(
-        sequence(1, {MAX_EXTENSIONS}), {begin},
+        sequence(1, greatest(0, _ip_end - _ip_header - 14) div {LEAST_EXTENSION} + 1), {begin},
         (s, i) -> IF(s.proto IN ({known}) AND NOT s.fragmented, {following}, s)) END"""
 
 

@@ -173,3 +173,14 @@ def test_a_filter_does_not_decode_twice(spark):
     filtered = decode(spark, [ipv4(6, tcp(b""))]).filter(F.col("tcp.dstport") == 80)
     plan = filtered._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("CollectMetrics")
+
+
+def test_any_number_of_extension_headers(spark):
+    body = tcp(b"x")
+    for count in (0, 1, 16, 17, 40):
+        # Each destination options header names the next one; the last one names TCP.
+        options = b"".join(bytes([60 if i + 1 < count else 6, 0, 1, 4, 0, 0, 0, 0]) for i in range(count))
+        header = struct.pack(">IHBB", 6 << 28, len(options) + len(body), 60 if count else 6, 64) + bytes(15) + b"\x01" + bytes(15) + b"\x02"
+        frame = bytes(12) + b"\x86\xdd" + header + options + body
+        (row,) = decode(spark, [frame]).select("decode_error", "src_port", "dst_port").collect()
+        assert tuple(row) == (None, 40000, 80), count
