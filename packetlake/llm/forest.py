@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,22 +39,23 @@ def projected(points: DataFrame, depth: int) -> DataFrame:
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = batch.column(2).to_pylist()
-            flat = np.zeros((len(rows), TREES * depth))
-            for size in {len(r) for r in rows}:
+            lists = pa.chunked_array([batch.column(2)])
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            flat = np.zeros((len(sizes), TREES * depth))
+            for size in np.unique(sizes).tolist():
                 if size not in directions:
                     made = np.random.default_rng(SEED + size).normal(size=(size, TREES * depth))
                     directions[size] = made / np.linalg.norm(made, axis=0)
-                at = [i for i, r in enumerate(rows) if len(r) == size]
-                x = np.array([rows[i] for i in at], np.float64)
+                at = np.flatnonzero(sizes == size)
+                x = list_matrix(lists, at, size).astype(np.float64)
                 x /= np.abs(x).max(1, keepdims=True)
                 flat[at] = x / np.linalg.norm(x, axis=1, keepdims=True) @ directions[size]
-            values = flat.reshape(len(rows) * TREES, depth)
+            values = flat.reshape(len(sizes) * TREES, depth)
             offsets = np.arange(0, values.size + 1, depth, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel().astype(np.float32)))
-            place = np.repeat(np.arange(len(rows)), TREES)
-            tree = np.tile(np.arange(TREES, dtype=np.int32), len(rows))
-            columns = [batch.column(0).take(pa.array(place)), batch.column(1).take(pa.array(place)), pa.array(tree), lists]
+            projections = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel().astype(np.float32)))
+            place = np.repeat(np.arange(len(sizes)), TREES)
+            tree = np.tile(np.arange(TREES, dtype=np.int32), len(sizes))
+            columns = [batch.column(0).take(pa.array(place)), batch.column(1).take(pa.array(place)), pa.array(tree), projections]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "label", "tree", "p"])
 
     rows = points.select("rep", "label", "embedding").mapInArrow(project, "rep long, label string, tree int, p array<float>")
@@ -91,6 +93,15 @@ def leaves(points: DataFrame, n: int, dimensions: int, cosine: float) -> DataFra
     return done
 
 
+def list_matrix(lists: pa.ChunkedArray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The first ``width`` values of the lists in ``rows``; a shorter list repeats its last value."""
+    array = lists.combine_chunks()
+    offsets = array.offsets.to_numpy()
+    values = array.values.to_numpy(zero_copy_only=False)
+    last = offsets[rows + 1] - 1
+    return values[np.minimum(offsets[rows][:, None] + np.arange(width), last[:, None])]
+
+
 def compare_leaves(points: DataFrame, found: DataFrame, cosine: float) -> DataFrame:
     """(rep, links, root): links counted once per pair, and the smallest vector of its group in the leaf."""
     lists = found.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
@@ -110,14 +121,13 @@ def compare_leaves(points: DataFrame, found: DataFrame, cosine: float) -> DataFr
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         leaf, i, j = (k.as_py() for k in key)
         own, rep, size = (table[c].to_numpy() for c in ("_own", "rep", "size"))
-        vectors, lists = table["embedding"].to_pylist(), table["leaves"].to_pylist()
-        width = max(map(len, lists))
-        held = np.array([row + [row[-1]] * (width - len(row)) for row in lists], np.int64)
+        lengths, widths = (pc.list_value_length(table[c]).to_numpy() for c in ("embedding", "leaves"))
+        held = list_matrix(table["leaves"], np.arange(len(rep)), int(widths.max()))
         links, group = np.zeros(len(rep), np.int64), np.arange(len(rep))
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        for length in {len(v) for v in vectors}:
-            at = np.array([n for n, v in enumerate(vectors) if len(v) == length])
-            x = np.array([vectors[n] for n in at], np.float64)
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            x = list_matrix(table["embedding"], at, length)
             scale = np.linalg.norm(x, axis=1)
             cos = (x @ x.T) / np.outer(scale, scale)
             left, right = np.nonzero(np.triu(cos >= cosine, 1))
