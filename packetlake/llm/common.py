@@ -116,8 +116,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> None:
-    """Small Arrow batches, so that long texts do not pile up in a worker."""
+    """Small Arrow batches, in rows and in bytes, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def id_remainder(divisor: int) -> Column:
