@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 import re
 from array import array
+from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-#: Distinct words kept per task; beyond this the cache starts anew.
-CACHED_WORDS = 120_000
+#: Distinct words of one generation of the cache, looked at after each text; a task keeps two of them.
+CACHED_WORDS = 200_000
 #: Characters that str.split takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Words of one letter run and one run of punctuation: two pieces of the tokenizer's split.
@@ -43,7 +44,7 @@ class WordPieces:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.learn)
         probe = "It's  a Naïve\tTEST!! of_3 words, (&c.)"
         if self.encode([probe])[0] != self.whole(probe):
             raise ValueError("this vocabulary joins pieces across white space")
@@ -55,41 +56,48 @@ class WordPieces:
         spelled = piece.lower().encode().decode("latin-1").translate(self.letters) if not piece.isascii() else piece.lower()
         return pack([token.id for token in self.model.tokenize(spelled)])
 
-    def _learn(self, missing: set[str]) -> None:
-        words = self.words
-        others = []
-        for word in missing:
-            found = _PLAIN.fullmatch(word)
-            if found is None:
-                others.append(word)
-                continue
-            core, tail = found.groups()
-            ids = self._piece(core)
-            if tail:
-                end = words.get(tail)
-                if end is None:
-                    end = words[tail] = self._piece(tail)
-                ids += end
-            words[word] = ids
-        for at in range(0, len(others), 4096):
-            some = others[at : at + 4096]
-            for word, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                words[word] = pack(encoding.ids)
+    def learn(self, word: str) -> bytes:
+        """Ids of a word without white space."""
+        found = _PLAIN.fullmatch(word)
+        if found is None:
+            return self.whole(word)
+        core, tail = found.groups()
+        if tail:
+            return self.words[core] + self.words[tail]
+        return self._piece(core)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; callers pass batches of bounded size."""
-        words = self.words
-        split = [None if _ODD.search(text) else text.split() for text in texts]
-        wanted: set[str] = set()
-        for some in split:
-            if some:
-                wanted.update(some)
-        missing = wanted - words.keys()
-        if len(words) + len(missing) > CACHED_WORDS:
-            words.clear()
-            missing = wanted
-        self._learn(missing)
-        return [self.whole(text) if some is None else b"".join(map(words.__getitem__, some)) for text, some in zip(texts, split)]
+        packed = []
+        for text in texts:
+            if _ODD.search(text):
+                packed.append(self.whole(text))
+                continue
+            packed.append(b"".join(map(self.words.__getitem__, text.split())))
+            self.words.renew()
+        return packed
+
+
+class Words(dict):
+    """Ids by word in two generations: what the newer one lacks comes from the older one or is learned."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        self[word] = ids
+        return ids
+
+    def renew(self) -> None:
+        """Starts a new generation where this one is full."""
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
 
 
 def pack(ids: list[int]) -> bytes:
