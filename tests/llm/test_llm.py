@@ -123,6 +123,23 @@ def test_near_duplicates(docs, texts):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), expected[r.doc_id], expected[r.doc_id] == r.doc_id)
 
 
+def test_near_duplicates_with_unlucky_signatures(spark):
+    """Isolated pairs of exactly 80 percent, those with the fewest equal coordinates of 6,000."""
+    import pyarrow as pa
+
+    pairs = []
+    for i in range(6000):
+        first = [f"{i}w{j}" for j in range(93)]  # 90 shingles, of which the other text has 80
+        pairs.append((" ".join(first), " ".join([*first[:83], *(f"{i}x{j}" for j in range(10))])))
+    signs = minhash.signatures(*minhash.shingle_sets(pa.array([t for pair in pairs for t in pair]), 4))
+    equal = (signs[::2] == signs[1::2]).sum(1)
+    worst = np.argsort(equal, kind="stable")[:4].tolist()
+    assert equal[worst[0]] < 24
+    rows = [(2 * n + side, pairs[at][side]) for n, at in enumerate(worst) for side in (0, 1)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(100, 199)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
