@@ -27,7 +27,7 @@ CARD_DIGITS, PHONE_DIGITS = (13, 19), (9, 15)
 
 #: Labels of the field: none, then the kinds.
 LABELS = ("", *KINDS)
-#: Bound on the documents with candidate tokens that the field is fitted on, in hash order.
+#: Bound on the different texts with candidate tokens that the field is fitted on, in hash order.
 TRAIN_ROWS = 4_000
 HASHED = 4_096
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-3
@@ -238,12 +238,14 @@ def fit_fields(fields: list[Field]) -> FieldModel:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> FieldModel:
-    """Fitted on at most ``rows`` of the texts that hold a digit or @, first in hash order.
+    """Fitted on at most ``rows`` different texts that hold a digit or @, first in hash order.
 
-    Only the graphs of those texts (feature numbers, edges, labels) reach the driver.
+    Copies of a text count once: hashes are made distinct before the limit. Only the graphs of those texts (feature numbers, edges, labels) reach the driver.
     """
     marked = docs.filter("text IS NOT NULL").select(F.col("text").cast("string")).filter(F.col("text").rlike("[0-9@]"))
-    chosen = marked.withColumn("_h", F.xxhash64("text")).orderBy("_h", "text").limit(rows).select("text")
+    marked = marked.withColumn("_h", F.xxhash64("text"))
+    first = F.broadcast(marked.select("_h").distinct().orderBy("_h").limit(rows))
+    chosen = marked.join(first, "_h", "left_semi").groupBy("_h").agg(F.min("text").alias("text")).orderBy("_h").select("text")
 
     def graphs(batches):
         for batch in batches:

@@ -221,6 +221,19 @@ def test_field_carries_labels_to_repeated_tokens():
     assert skipchain.spans_of(model, "") == []
 
 
+def test_field_is_fitted_on_different_texts(spark):
+    from pyspark.sql import functions as F
+
+    rooms = spark.createDataFrame([(f"room {i} of 7",) for i in range(400)], "text string")
+    first = rooms.orderBy(F.xxhash64("text")).first().text
+    phones = [f"call +1 (416) 555-40{i:02d} now" for i in range(40)]
+    lowest = spark.createDataFrame([(t,) for t in [first, *phones]], "text string").orderBy(F.xxhash64("text")).first().text
+    assert lowest == first
+    docs = spark.createDataFrame([(t,) for t in [first] * 50 + phones], "text string")
+    model = skipchain.fit(docs, rows=20)
+    assert model.unary[:, skipchain.LABELS.index("phone")].max() > 0
+
+
 def test_base_patterns_of_secrets():
     rng = random.Random(6)
     patterns = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
