@@ -31,8 +31,11 @@ LABELS = ("", *KINDS)
 TRAIN_ROWS = 4_000
 HASHED = 4_096
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-3
-#: Rounds of message passing, damping, and the marginal from which a token is reported.
-MESSAGES, DAMPING, CERTAIN = 12, 0.5, 0.9
+#: Message passing ends when no message changes by more than TOLERANCE; damping, and the marginal from
+#: which a token is reported. Graphs with loops need not converge: after LEAST_ROUNDS and two rounds a token,
+#: enough for evidence to cross the text, damping grows.
+TOLERANCE, DAMPING, CERTAIN = 1e-4, 0.5, 0.9
+LEAST_ROUNDS = 200
 #: Characters between two tokens that still count as neighbours.
 NEAR = 3
 
@@ -149,16 +152,17 @@ def build(text: str, base: list[Span]) -> Field:
             at += 1
         known.append(next((label for a, b, label in order[at : at + 4] if a < end and start < b), -1))
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= NEAR]
-    # Tokens with the same digits, or the same text, are linked in a row.
-    last: dict[str, int] = {}
+    # Tokens with the same digits, or the same text, are all linked to the first one.
+    hub: dict[str, int] = {}
     skip = []
     for i, (start, end) in enumerate(spans):
         token = text[start:end].lower()
         digits = digits_of(token)
         key = digits if len(digits) >= 4 and "@" not in token else token
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
+        if key in hub:
+            skip.append((hub[key], i))
+        else:
+            hub[key] = i
     return Field(spans, features, chain, skip, known)
 
 
@@ -169,7 +173,7 @@ class FieldModel:
     skip: np.ndarray
 
     def marginals(self, field: Field) -> np.ndarray:
-        """Loopy message passing; known tokens keep their label."""
+        """Loopy message passing until messages stand still; known tokens keep their label."""
         n, k = len(field.spans), len(LABELS)
         own = np.array([self.unary[f].sum(0) for f in field.features])
         for i, label in enumerate(field.known):
@@ -183,12 +187,17 @@ class FieldModel:
         half = len(edges)
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
         message = np.zeros((2 * half, k))
-        for _ in range(MESSAGES if half else 0):
+        damping, rounds, change = DAMPING, 0, np.inf if half else 0.0
+        while change > TOLERANCE:
             belief = own.copy()
             np.add.at(belief, target, message)
             sent = log_sum(pair + (belief[source] - message[back])[:, :, None], 1)
             sent -= log_sum(sent, 1)[:, None]
-            message = DAMPING * message + (1 - DAMPING) * sent
+            fresh = damping * message + (1 - damping) * sent
+            change = np.abs(fresh - message).max()
+            message, rounds = fresh, rounds + 1
+            if rounds > LEAST_ROUNDS + 2 * n:
+                damping = 1 - (1 - damping) * 0.95  # steps shrink, so that an oscillation ends too
         belief = own.copy()
         np.add.at(belief, target, message)
         return np.exp(belief - log_sum(belief, 1)[:, None])

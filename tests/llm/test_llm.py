@@ -221,6 +221,18 @@ def test_field_carries_labels_to_repeated_tokens():
     assert skipchain.spans_of(model, "") == []
 
 
+def test_field_reaches_every_mention_of_a_value():
+    unary, skip = np.zeros((skipchain.HASHED, 5)), np.full((5, 5), -3.0) + 6 * np.eye(5)
+    model = skipchain.FieldModel(unary, np.zeros((5, 5)), skip)
+    text = "+14165554060 " + ", ".join(["so 14165554060 it is"] * 60)
+    field = skipchain.build(text, skipchain.base_spans(text))
+    assert len(field.known) == 61 and field.known[0] == 4 and set(field.known[1:]) == {-1}
+    assert model.marginals(field)[:, 4].min() > skipchain.CERTAIN
+    chained = skipchain.Field(field.spans, field.features, [], [(i, i + 1) for i in range(60)], field.known)
+    exact = np.linalg.matrix_power(np.exp(skip) / np.exp(skip).sum(1), 60)[4]  # a tree: messages are exact
+    assert np.allclose(model.marginals(chained)[60], exact, atol=1e-3)
+
+
 def test_field_is_fitted_on_different_texts(spark):
     from pyspark.sql import functions as F
 
