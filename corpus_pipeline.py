@@ -36,18 +36,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates.
 
-    Rows that repeat as a whole, doc_id and text, count as one. Rows without
-    doc_id stay. Only documents that may have to go leave their task.
+    Where a doc_id has several texts, each is decided by itself, and of those in
+    one group one stays. Rows that repeat as a whole, doc_id and text, count as
+    one. Rows without doc_id stay. Only documents that may have to go leave
+    their task.
     """
     begin(spark)
-    found = stored(minhash.near_duplicates(docs), "near-duplicates").filter("doc_id IS NOT NULL")
-    going = found.groupBy("doc_id").agg(F.every("kept").alias("_stays"), (F.count("*") > 1).alias("_repeats"))
-    going = stored(going.filter("NOT _stays OR _repeats").select(F.col("doc_id").alias("_id"), "_stays"), "going")
+    found = stored(minhash.decided(docs), "near-duplicates").filter("doc_id IS NOT NULL")
+    going = found.groupBy("doc_id", "text_hash").agg(F.every("chosen").alias("_stays"), (F.count("*") > 1).alias("_repeats"))
+    going = going.filter("NOT _stays OR _repeats").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_stays")
+    going = stored(going, "going")
     marked = maybe_member(docs, going.select(F.col("_id").alias("key")), F.col("doc_id").cast("long"), "_maybe")
     safe = marked.filter("NOT _maybe OR doc_id IS NULL").drop("_maybe")
     asked = marked.filter("_maybe AND doc_id IS NOT NULL").drop("_maybe")
-    kept = asked.join(going, F.col("doc_id") == F.col("_id"), "left").filter(F.coalesce("_stays", F.lit(True)))
-    return safe.unionByName(kept.drop("_id", "_stays").dropDuplicates(["doc_id", "text"]))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    kept = asked.join(going, same, "left").filter(F.coalesce("_stays", F.lit(True)))
+    return safe.unionByName(kept.drop("_id", "_hash", "_stays").dropDuplicates(["doc_id", "text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

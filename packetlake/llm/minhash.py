@@ -65,21 +65,23 @@ def signatures(shingle: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, set_key, signature) for every row of ``docs`` (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in slices(batch.column(1)):
-                shingle, begins = shingle_sets(batch.column(1).slice(low, high - low), k)
+            for low, high in slices(batch.column(2)):
+                part = batch.slice(low, high - low)
+                shingle, begins = shingle_sets(part.column(2), k)
                 size = np.diff(begins)
                 flat = signatures(shingle, begins).ravel() if len(shingle) else np.zeros(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, COORDINATES, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                columns = [batch.column(0).slice(low, high - low), pa.array(size), pa.array(set_keys(shingle, begins)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "signature"])
+                columns = [part.column(0), part.column(1), pa.array(size), pa.array(set_keys(shingle, begins)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "signature"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_key long, signature array<int>")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key long, signature array<int>")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -235,10 +237,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     case, one in 4.9 million has fewer and is found only through other sets.
     Texts without a word, and rows without doc_id, are linked with nothing.
     """
+    return decided(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def decided(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """As ``near_duplicates``, with text_hash (xxhash64 of the text) and ``chosen`` beside.
+
+    Of each component the rows of one doc_id and text are chosen, also where a
+    doc_id has several texts: the least doc_id, and of its texts the least hash.
+    """
     marked = stored(signed(docs, k), "signed")
-    owner = F.min(F.struct("doc_id", "signature")).alias("o")
+    owner = F.min(F.struct("doc_id", "text_hash", "signature")).alias("o")
     usable = marked.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = stored(usable.groupBy("set_key").agg(owner).select("set_key", F.col("o.doc_id").alias("owner"), "o.signature"), "sets")
+    sets = stored(usable.groupBy("set_key").agg(owner).select("set_key", F.col("o.doc_id").alias("owner"), "o.text_hash", "o.signature"), "sets")
     owners, signs = sets.select("set_key", "owner"), sets.select("set_key", "signature")
 
     posted = stored(prefixes(sets), "prefixes")
@@ -266,15 +277,17 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     if more.limit(1).count():
         found = stored(components(links.unionByName(more)).withColumnRenamed("node", "set_key"), "components")
 
-    classes = sets.select("set_key", "owner").join(found, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    classes = sets.select("set_key", "owner", "text_hash").join(found, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     classes = stored(classes, "classes")
-    least = stored(classes.groupBy("component").agg(F.min("owner").alias("least")), "least")
-    named = stored(classes.join(least, "component").select("set_key", "least"), "named")
-    rows = marked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
-    alone = rows.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    least = stored(classes.groupBy("component").agg(F.min(F.struct("owner", "text_hash")).alias("least")), "least")
+    named = stored(classes.join(least, "component").select("set_key", F.col("least.owner").alias("least"), F.col("least.text_hash").alias("least_hash")), "named")
+    rows = marked.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
+    yes = F.lit(True)
+    alone = rows.filter("set_key IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), yes.alias("kept"), yes.alias("chosen"))
+    kept = F.col("doc_id") == F.col("least")
     return (
         rows.filter("set_key IS NOT NULL")
         .join(named, "set_key")
-        .select("doc_id", "n_shingles", F.col("least").alias("component_id"), (F.col("doc_id") == F.col("least")).alias("kept"))
+        .select("doc_id", "text_hash", "n_shingles", F.col("least").alias("component_id"), kept.alias("kept"), (kept & (F.col("text_hash") == F.col("least_hash"))).alias("chosen"))
         .unionByName(alone)
     )

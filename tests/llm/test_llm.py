@@ -320,3 +320,13 @@ def test_pipeline_stages(spark, sf_dir):
     row = corpus_pipeline.secrets(spark, one, sf_dir).first()
     assert "0641917ea4e9" not in row.text and row.n_chars == len(row.text)
     assert hashlib.sha256(row.text.encode()).hexdigest() != hashlib.sha256(one.first().text.encode()).hexdigest()
+
+
+def test_pipeline_decides_each_text_of_a_doc_id(spark, sf_dir):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{name}{i}" for i in range(40)) for name in "abc")
+    rows = [(3, b), (5, a), (5, b), (7, a), (8, c), (8, c + " end"), (8, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted((d, t[0]) for d, t in kept) == [(3, "b"), (5, "a"), (8, "c")]
