@@ -11,8 +11,6 @@ from packetlake.llm import factorization, markov, minhash, mixture, packing
 from packetlake.llm.common import id_remainder, maybe_member, stored, table, tokenizer_path, tuned
 from packetlake.session import ship_package
 
-#: A text stays if one language makes up this share of it.
-LEAST_SHARE = 0.5
 #: Stages score and link documents by models; SQL cannot express them.
 ORACLE_SQL = None
 
@@ -27,10 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or without a language that makes up LEAST_SHARE of them."""
+    """Drops documents without a recognised language (no letter, or nothing learned); mixtures stay, whatever the shares."""
     begin(spark)
     model = mixture.fit(docs.filter(F.coalesce(id_remainder(4) != 2, F.lit(False))))
-    return docs.filter(mixture.languages_of(model, F.col("text"))["score"] >= LEAST_SHARE)
+    return docs.filter(mixture.languages_of(model, F.col("text"))["lang"] != mixture.UNKNOWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

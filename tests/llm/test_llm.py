@@ -330,3 +330,15 @@ def test_pipeline_decides_each_text_of_a_doc_id(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
     assert sorted((d, t[0]) for d, t in kept) == [(3, "b"), (5, "a"), (8, "c")]
+
+
+def test_pipeline_keeps_mixtures_of_languages(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    tongues = {name: ["".join(rng.choices(letters, k=6)) for _ in range(40)] for name, letters in (("xa", "abcdef"), ("xb", "ghijkl"), ("xc", "mnopqr"))}
+    rows = [(i, " ".join(rng.choices(tongues[name], k=60)), name) for i, name in enumerate(list(tongues) * 12)]
+    mixed = " ".join(w for name, n in (("xa", 80), ("xb", 60), ("xc", 60)) for w in rng.choices(tongues[name], k=n))
+    docs = spark.createDataFrame([*rows, (100, mixed, None), (101, "12 !!", "xa"), (102, None, "xa")], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, sf_dir).collect()}
+    assert kept == {*range(36), 100}
