@@ -1,4 +1,4 @@
-"""Registered queries op1 to op10, each applying its operator to the whole table."""
+"""Registered queries op1 to op13, each applying its operator to the whole table."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlake.llm import chunkreuse, factorization, forest, idfiles, markov, minhash, mixture, packing, skipchain, threshold
-from packetlake.llm.common import id_remainder, slices, table, tokenizer_path, tuned
+from packetlake.llm import chatwindows, chunkreuse, factorization, forest, grammarruns, idfiles, lexical, markov, minhash, mixture, packing, skipchain, threshold
+from packetlake.llm.common import id_remainder, slices, stored, table, tokenizer_path, tuned
 from packetlake.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,77 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= factorization.THRESHOLD).cast("int"))
 
 
+#: What separates words in the queries over runs.
+WHITE_SPACE = r"[\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which the end of every tenth document, by crc32 of its doc_id, repeats a stretch of itself."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.filter(F.split("text", WHITE_SPACE), lambda w: w != "")
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.when(F.size("words") > 0, F.size("words").cast("long")))
+    rows = rows.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    whole = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), (F.col("n") - F.col("a")).cast("int")))
+    return rows.select("doc_id", F.coalesce(F.array_join(whole, " "), F.col("text")).alias("text"))
+
+
+@query("op11_grammar_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    found = grammarruns.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longer = lambda best, run: F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    found = found.withColumn("best", F.aggregate("runs", none, longer))
+    line = lambda run: F.concat(run["start"], F.lit(","), run["length"], F.lit(","), run["period"], F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_budgeted_windows")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    said = "<|im_end|><|im_start|>assistant ok"
+    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chatwindows.digests(stored(chatwindows.windows(turns, tokenizer_path()), "chat-windows"))
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP13_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{LETTERS}', '{LETTERS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+docs AS (SELECT doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM docs),
+asked AS (SELECT item_id, term, count(*) AS times FROM (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, '{LETTERS}', '{LETTERS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+post AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM docs) GROUP BY ALL),
+weighted AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM post GROUP BY term), totals),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM asked JOIN weighted USING (term) JOIN post USING (term), totals GROUP BY item_id, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_nra_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def load() -> dict[str, tuple[Query, str | None]]:
     """All of the above, and the pipeline of the repository's top folder."""
     import corpus_pipeline
