@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetlake.llm.common import SLICE_BYTES, components, maybe_member, slices, stored
-from packetlake.llm.textarrays import LOWER, as_bytes, mix, prefix_sums, span_hashes, words
+from packetlake.llm.textarrays import LOWER, as_bytes, mix, placed, word_hashes, words
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -21,7 +21,7 @@ PERCENT = 80
 COORDINATES, MATCHES = 40, 18
 #: Documents of one posting list that one task compares with each other.
 LIST_BLOCK = 512
-SEED = 11
+SEED, CHECK_SEED = 11, 0x9E3779B97F4A7C15
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,12 +32,18 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     data, begins = as_bytes(texts)
     data = LOWER[data]
     starts, ends, first = words(data, begins)
-    word = span_hashes(prefix_sums(data), starts, ends)
+    word = word_hashes(data, starts, ends)
     counts = np.diff(first)
     row = np.repeat(np.arange(len(counts)), np.where(counts >= k, counts - k + 1, np.minimum(counts, 1)))
     number = np.arange(len(row)) - np.searchsorted(row, np.arange(len(counts)))[row]
     at = first[row] + number
-    shingle = span_hashes(prefix_sums(word), at, np.minimum(at + k, first[row + 1]))
+    size = np.minimum(k, first[row + 1] - at)
+    shingle = np.zeros(len(row), np.uint64)
+    # A text of fewer than k words is one shingle of them all, so no loop is longer than k.
+    for step in range(min(k, int(size.max(initial=0)))):
+        part = placed(word[np.minimum(at + step, len(word) - 1)], np.full(1, step))
+        shingle += np.where(step < size, part, np.uint64(0))
+    shingle = mix(shingle + size.astype(np.uint64))
     order = np.lexsort((shingle, row))
     row, shingle = row[order], shingle[order]
     fresh = np.ones(len(row), bool)
@@ -46,9 +52,9 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle, np.searchsorted(row, np.arange(len(counts) + 1))
 
 
-def set_keys(shingle: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def set_keys(shingle: np.ndarray, begins: np.ndarray, seed: int = SEED) -> np.ndarray:
     """One number for each set, whatever its order; 0 for an empty set."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle ^ np.uint64(SEED)), dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle ^ np.uint64(seed)), dtype=np.uint64)])
     size = np.diff(begins)
     return np.where(size > 0, mix(sums[begins[1:]] - sums[begins[:-1]] + size.astype(np.uint64)) | np.uint64(1), 0).view(np.int64)
 
@@ -65,7 +71,10 @@ def signatures(shingle: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_key, signature) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, set_key, check, signature) for every row of ``docs`` (doc_id, text).
+
+    ``check`` is a second number of the set, so that sets are told apart by 127 bits.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,12 +85,13 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 flat = signatures(shingle, begins).ravel() if len(shingle) else np.zeros(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, COORDINATES, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                columns = [part.column(0), part.column(1), pa.array(size), pa.array(set_keys(shingle, begins)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "signature"])
+                keys = [pa.array(set_keys(shingle, begins, seed)) for seed in (SEED, CHECK_SEED)]
+                columns = [part.column(0), part.column(1), pa.array(size), *keys, lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "check", "signature"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key long, signature array<int>")
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key long, check long, signature array<int>")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -113,7 +123,8 @@ def equal_coordinates(a: str, b: str):
 def texts_of(wanted: DataFrame, docs: DataFrame, owners: DataFrame, k: int) -> DataFrame:
     """(set_key, text) for the set keys ``wanted``; only their documents leave their task.
 
-    ``owners`` (set_key, owner) names a document of each set.
+    ``owners`` (set_key, owner, own_key) names a document of each set, and the
+    number that its text gives.
     """
     wanted = stored(wanted.distinct().join(owners, "set_key"), "wanted")
     rows = docs.select(F.col("doc_id").cast("long").alias("owner"), F.col("text").cast("string"))
@@ -124,9 +135,9 @@ def texts_of(wanted: DataFrame, docs: DataFrame, owners: DataFrame, k: int) -> D
             for low, high in slices(batch.column(1)):
                 part = batch.slice(low, high - low)
                 own = pa.array(set_keys(*shingle_sets(part.column(1), k)))
-                yield part.filter(pc.equal(own, part.column(0)))
+                yield part.filter(pc.equal(own, part.column(0))).select(["set_key", "text"])
 
-    found = some.select("owner", "text").join(wanted, "owner").select("set_key", "text")
+    found = some.select("owner", "text").join(wanted, "owner").select("own_key", "text", "set_key")
     # A document may stand in the table more than once.
     return stored(found.mapInArrow(keyed, "set_key long, text string").dropDuplicates(["set_key"]), "texts")
 
@@ -225,6 +236,14 @@ def size_slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[in
         yield low, len(sizes)
 
 
+def sets_of(marked: DataFrame) -> DataFrame:
+    """One row per set: its document with the least doc_id, and the range of its second number."""
+    owner = F.min(F.struct("doc_id", "text_hash", "signature", "own_key")).alias("o")
+    usable = marked.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    found = usable.groupBy("set_key").agg(owner, F.min("check").alias("lo"), F.max("check").alias("hi"))
+    return found.select("set_key", F.col("o.doc_id").alias("owner"), "o.text_hash", "o.signature", "o.own_key", "lo", "hi")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -246,11 +265,16 @@ def decided(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) ->
     Of each component the rows of one doc_id and text are chosen, also where a
     doc_id has several texts: the least doc_id, and of its texts the least hash.
     """
-    marked = stored(signed(docs, k), "signed")
-    owner = F.min(F.struct("doc_id", "text_hash", "signature")).alias("o")
-    usable = marked.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = stored(usable.groupBy("set_key").agg(owner).select("set_key", F.col("o.doc_id").alias("owner"), "o.text_hash", "o.signature"), "sets")
-    owners, signs = sets.select("set_key", "owner"), sets.select("set_key", "signature")
+    marked = stored(signed(docs, k).withColumn("own_key", F.col("set_key")), "signed")
+    sets = stored(sets_of(marked), "sets")
+    clashing = sets.filter("lo <> hi").select("set_key")
+    if clashing.limit(1).count():
+        # Different sets with one number: each gets another, from both of its numbers.
+        clashing = clashing.withColumn("clashes", F.lit(True))
+        other = F.when(F.col("clashes"), F.xxhash64("set_key", "check")).otherwise(F.col("set_key"))
+        marked = stored(marked.join(clashing, "set_key", "left").withColumn("set_key", other).drop("clashes"), "signed")
+        sets = stored(sets_of(marked), "sets")
+    owners, signs = sets.select("set_key", "owner", "own_key"), sets.select("set_key", "signature")
 
     posted = stored(prefixes(sets), "prefixes")
     most = F.max(F.struct("weight", "set_key"))

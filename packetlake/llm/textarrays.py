@@ -14,6 +14,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A number for each byte value.
+LETTERS = np.random.default_rng(17).integers(0, 1 << 64, 256, dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -34,6 +36,25 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def placed(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A number for each value at its place; sums of them tell sequences apart.
+
+    Unlike a polynomial modulo a power of two, which collides for texts that
+    alternate like the Thue-Morse word, no two places depend on each other.
+    """
+    return mix(values + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans, which follow one another without overlap."""
+    sizes = ends - starts
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    letters = LETTERS[data[np.repeat(starts, sizes) + place]]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed(letters, place), dtype=np.uint64)])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return mix(sums[at[1:]] - sums[at[:-1]] + sizes.astype(np.uint64))
+
+
 @functools.lru_cache(maxsize=4)
 def _powers(length: int, base: int) -> np.ndarray:
     powers = np.full(length, base, np.uint64)
