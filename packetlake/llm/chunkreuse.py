@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetlake.llm.common import maybe_member, slices, stored
-from packetlake.llm.textarrays import BASE, INVERSE, as_bytes, mix, prefix_sums, span_hashes
+from packetlake.llm.textarrays import as_bytes, prefix_sums, span_hashes
 from packetlake.llm.wordpieces import WordPieces, word_pieces
 
 #: Bytes of the rolling window, mean distance of cuts, and least size of a chunk worth sharing.
 WINDOW = 32
 MEAN_CHUNK = 256
 LEAST_CHUNK = 64
-#: Second multiplier: chunks are known by 128 bits and their length.
-OTHER_BASE = 0xC2B2AE3D27D4EB4F
-OTHER_INVERSE = pow(OTHER_BASE, -1, 1 << 64)
 NO_ID = -(1 << 63)
 
 OCCURRENCES = "doc long, text_hash long, start long, length long, h1 long, h2 long"
@@ -53,16 +51,18 @@ def chunk_occurrences(docs: DataFrame) -> DataFrame:
                 large = ends - starts >= LEAST_CHUNK
                 starts, ends = starts[large], ends[large]
                 text = np.searchsorted(begins, starts, "right") - 1
-                first = span_hashes(sums, starts, ends)
-                second = span_hashes(prefix_sums(data, OTHER_BASE), starts, ends, OTHER_INVERSE)
+                # The rolling hash only finds cuts; a chunk is known by a digest of its bytes.
+                raw = data.tobytes()
+                digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+                halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
                 rows = pa.array(low + text)
                 columns = [
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
                     pa.array(starts - begins[text]),
                     pa.array(ends - starts),
-                    pa.array(first.view(np.int64)),
-                    pa.array(second.view(np.int64)),
+                    pa.array(halves[:, 0]),
+                    pa.array(halves[:, 1]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "start", "length", "h1", "h2"])
 
