@@ -163,26 +163,28 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     null, zero or hold null or non-finite components, and rows without label or
     vec_id, are linked with nothing. Vectors of different length have no cosine.
     A link is counted in the first leaf that both vectors share, so each counts
-    once whatever the number of trees.
+    once whatever the number of trees. A repeated vec_id is a vector each time:
+    its rows are linked by their own labels and vectors only, and each has the
+    smallest vec_id that it reaches.
     """
     rows = vectors.select("vec_id", "embedding", F.col("label").cast("string"))
     rows = rows.withColumn("_ok", usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     good = rows.filter("_ok").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    points = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "classes")
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    # Numbers of the stored rows; a vec_id may name several vectors.
+    points = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     shape = points.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     found = stored(leaves(points, shape["n"], shape["d"] or 1, cosine), "leaves")
     links = stored(compare_leaves(points, found, cosine), "links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    placed = points.select("rep", "least").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stored(placed.join(named, "component").select("rep", "component_id"), "components")
     classes = (
         points.join(counts, "rep", "left")
-        .join(groups, "rep", "left")
-        .select(
-            F.col("label"),
-            F.col("embedding"),
-            (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
+        .join(named, "rep")
+        .select("label", "embedding", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     )
     classes = stored(classes, "classes")
     linked = good.join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
