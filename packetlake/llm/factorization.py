@@ -167,12 +167,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FactorMod
     """
     chosen = (
         labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL")
-        .select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id", "_label")
+        .select("doc_id", F.col("quality").cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(rows)
     )
-    # Broadcast: at most ``rows`` rows of two numbers.
-    known = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("_label", F.col("text").cast("string"), length_column(docs))
+    # Only the columns read here, so that no other name of ``docs`` can clash.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), length_column(docs))
+    # Broadcast: at most ``rows`` rows of two numbers. A doc_id with many rows may not pass the bound either.
+    known = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", "n_chars")
+    known = known.orderBy(F.xxhash64("text", "n_chars", "label"), "text", "n_chars", "label").limit(rows)
 
     def extract(batches):
         for batch in batches:
