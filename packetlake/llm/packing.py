@@ -104,10 +104,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = PIECES_P
     """``pieces`` (flat columns, with ``length`` from 1 to capacity) with sequence_id and offset.
 
     Columns of those two names are replaced. Pieces are dealt to buckets of bounded size by a
-    hash of the whole row, and each bucket is packed best-fit decreasing. A bucket whose count equals its dual-feasible bound is
+    hash of the row and its place, and each bucket is packed best-fit decreasing. A bucket whose count equals its dual-feasible bound is
     certified and keeps its bins, all but the emptiest; of a bucket with a gap
     only full bins stay. What does not stay is dealt to new buckets and packed
-    again, until nothing improves. Full bins and certified ones never move, so
+    again, ``rounds`` times at most. Full bins and certified ones never move, so
     each round starts from the rest alone. An empty table gives no rows.
     """
     pieces = pieces.drop("sequence_id", "offset", "_settled", "_bucket")
@@ -142,7 +142,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = PIECES_P
                 frame = frame.append_column(name, pa.array(values))
             return frame
 
-        dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(turn), *fields), F.lit(buckets)))
+        # With the place of the row in the stored table, equal rows are dealt out too.
+        dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(turn), F.monotonically_increasing_id(), *fields), F.lit(buckets)))
         packed = stored(dealt.groupBy("_bucket").applyInArrow(one_bucket, schema), "packed")
         kept = (packed if last else packed.filter("_settled")).drop("_settled")
         result = kept if result is None else result.unionByName(kept)
