@@ -54,6 +54,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield low, len(sizes)
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` does not have, in any spelling."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def maybe_member(rows: DataFrame, members: DataFrame, key: Column, name: str) -> DataFrame:
     """Adds boolean ``name``: false only for rows whose key is surely not among ``members.key``.
 
@@ -61,20 +69,21 @@ def maybe_member(rows: DataFrame, members: DataFrame, key: Column, name: str) ->
     1 MiB at any size of the data. A fuller bitmap only lets more rows pass;
     an exact join must follow.
     """
+    bucket, octets = unused(rows, "bucket"), unused(rows, "octets")
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
     bits = (
         members.select((F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1).alias("_place"))
-        .groupBy(F.bitmap_bucket_number("_place").alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+        .groupBy(F.bitmap_bucket_number("_place").alias(bucket))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias(octets))
     )
     position = F.bitmap_bit_position(place)
-    octet = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    octet = F.conv(F.hex(F.substring(F.col(octets), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10)
     hit = octet.cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), (position % 8).cast("int"))) != 0
     return (
-        rows.withColumn("_bucket", F.bitmap_bucket_number(place))
-        .join(F.broadcast(bits), "_bucket", "left")
+        rows.withColumn(bucket, F.bitmap_bucket_number(place))
+        .join(F.broadcast(bits), bucket, "left")
         .withColumn(name, F.coalesce(hit, F.lit(False)))
-        .drop("_bucket", "_bits")
+        .drop(bucket, octets)
     )
 
 

@@ -106,8 +106,11 @@ def fit(docs: DataFrame) -> LanguageModel:
     return LanguageModel(names, np.ascontiguousarray(log_p.T.astype(np.float32)))
 
 
-def proportions(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Language proportions of each text (0 outside the chosen set) and its number of words.
+def proportions(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language proportions of each text (0 outside the chosen set), its number of words and its gain.
+
+    The gain is how much likelier a trigram is under the chosen mixture than if
+    all BUCKETS were equally likely, as a mean logarithm; 0 without words.
 
     Expectation-maximisation over the words of all texts at once. It starts from
     all languages and drops the rarest one of each text in turn; the set with the
@@ -116,9 +119,9 @@ def proportions(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.
     n, k = len(texts), len(model.names)
     gram, begins, text = word_grams(texts)
     n_words = np.bincount(text, minlength=n)
-    best = np.zeros((n, k))
+    best, gain = np.zeros((n, k)), np.zeros(n)
     if not k or not len(text):
-        return best, n_words
+        return best, n_words, gain
     log_w = np.add.reduceat(model.log_p[gram], begins[:-1], axis=0).astype(np.float64) * TEMPER
     top = log_w.max(1)
     weight = np.exp(log_w - top[:, None])
@@ -141,14 +144,19 @@ def proportions(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.
         if size > 1:
             allowed[np.arange(len(owners)), np.where(allowed, theta, np.inf).argmin(1)] = False
     best[owners] = chosen
-    return best, n_words
+    part = weight * chosen[row]
+    part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
+    told = np.add.reduceat((part * log_w).sum(1), first) / TEMPER
+    grams = np.add.reduceat(np.diff(begins), first)
+    gain[owners] = told / grams + np.log(BUCKETS)
+    return best, n_words, gain
 
 
-PREDICTION = "lang string, score double, languages map<string,double>"
+PREDICTION = "lang string, score double, languages map<string,double>, gain double"
 
 
 def languages_of(model: LanguageModel, text: Column) -> Column:
-    """Struct (lang, score, languages): the main language, its share, and all shares.
+    """Struct (lang, score, languages, gain): the main language, its share, all shares, and how well they explain the text.
 
     Null text, or text without a letter, is ``und`` with score 0; so is any text
     where no language was learned. Equal shares go to the first name.
@@ -156,9 +164,10 @@ def languages_of(model: LanguageModel, text: Column) -> Column:
 
     @arrow_udf(PREDICTION)
     def identify(texts: pa.Array) -> pa.Array:
-        names, scores, keys, values, at = [], [], [], [], [0]
+        names, scores, keys, values, at, gains = [], [], [], [], [0], []
         for low, high in slices(texts):
-            share, n_words = proportions(model, [t or "" for t in texts.slice(low, high - low).to_pylist()])
+            share, n_words, gain = proportions(model, [t or "" for t in texts.slice(low, high - low).to_pylist()])
+            gains += gain.tolist()
             for row, known in zip(share, n_words):
                 used = np.flatnonzero(row > 0)
                 if not known or not len(used):
@@ -171,6 +180,7 @@ def languages_of(model: LanguageModel, text: Column) -> Column:
                 values += row[used].tolist()
                 at.append(len(keys))
         shares = pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.float64()))
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), shares], ["lang", "score", "languages"])
+        columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), shares, pa.array(gains, pa.float64())]
+        return pa.StructArray.from_arrays(columns, ["lang", "score", "languages", "gain"])
 
     return identify(text.cast("string"))
