@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlake.llm import factorization, markov, minhash, mixture, packing
-from packetlake.llm.common import id_remainder, maybe_member, stored, table, tokenizer_path, tuned
+from packetlake.llm.common import id_remainder, maybe_member, stored, table, tokenizer_path, tuned, unused
 from packetlake.session import ship_package
 
 #: Stages score and link documents by models; SQL cannot express them.
@@ -25,10 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language (no letter, or nothing learned); mixtures stay, whatever the shares."""
+    """Drops documents that no mixture of the learned languages explains; mixtures stay, whatever the shares.
+
+    That is text without a letter, and text whose trigrams are likelier if all
+    were equally likely than under its own best mixture (``gain`` of 0 or less).
+    """
     begin(spark)
     model = mixture.fit(docs.filter(F.coalesce(id_remainder(4) != 2, F.lit(False))))
-    return docs.filter(mixture.languages_of(model, F.col("text"))["lang"] != mixture.UNKNOWN)
+    found = mixture.languages_of(model, F.col("text"))
+    return docs.filter((found["lang"] != mixture.UNKNOWN) & (found["gain"] > 0))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +46,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     begin(spark)
     found = stored(minhash.decided(docs), "near-duplicates").filter("doc_id IS NOT NULL")
-    going = found.groupBy("doc_id", "text_hash").agg(F.every("chosen").alias("_stays"), (F.count("*") > 1).alias("_repeats"))
-    going = going.filter("NOT _stays OR _repeats").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_stays")
-    going = stored(going, "going")
-    marked = maybe_member(docs, going.select(F.col("_id").alias("key")), F.col("doc_id").cast("long"), "_maybe")
-    safe = marked.filter("NOT _maybe OR doc_id IS NULL").drop("_maybe")
-    asked = marked.filter("_maybe AND doc_id IS NOT NULL").drop("_maybe")
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    kept = asked.join(going, same, "left").filter(F.coalesce("_stays", F.lit(True)))
-    return safe.unionByName(kept.drop("_id", "_hash", "_stays").dropDuplicates(["doc_id", "text"]))
+    # Names that no column of the documents has.
+    key, text_hash, stays, maybe = (unused(docs, name) for name in ("going_id", "going_hash", "stays", "maybe"))
+    going = found.groupBy("doc_id", "text_hash").agg(F.every("chosen").alias(stays), (F.count("*") > 1).alias("repeats"))
+    going = going.filter(~F.col(stays) | F.col("repeats"))
+    going = stored(going.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), stays), "going")
+    asked = F.col(maybe) & F.col("doc_id").isNotNull()
+    marked = maybe_member(docs, going.select(F.col(key).alias("key")), F.col("doc_id").cast("long"), maybe)
+    safe = marked.filter(~asked).drop(maybe)
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text_hash))
+    kept = marked.filter(asked).drop(maybe).join(going, same, "left").filter(F.coalesce(stays, F.lit(True)))
+    return safe.unionByName(kept.drop(key, text_hash, stays).dropDuplicates(["doc_id", "text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
