@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -42,7 +43,10 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes of text (a longer text is alone)."""
+    """Row ranges of at most ``limit`` bytes of text (a longer text is alone).
+
+    After the last one, memory that the worker holds unused goes back to the system.
+    """
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     low, held = 0, 0
     for row, size in enumerate(sizes):
@@ -52,6 +56,16 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         held += size
     if low < len(sizes):
         yield low, len(sizes)
+    give_back()
+
+
+def give_back() -> None:
+    """Workers live as long as their executor, so what they hold unused would add up over the jobs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def unused(rows: DataFrame, name: str) -> str:
