@@ -63,7 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by its kind in brackets; n_chars follows the new text."""
     begin(spark)
     model = markov.fit(docs)
-    rows = docs.withColumn("text", markov.redacted(F.col("text"), markov.secret_spans(model, F.col("text"))))
+    rows = docs.withColumn("text", markov.redacted(model, F.col("text")))
     if "n_chars" not in docs.columns:
         return rows
     kind = docs.schema["n_chars"].dataType
