@@ -368,8 +368,8 @@ def landed_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 4)
         part.coalesce(1).write.mode("append").parquet(folder)
 
 
-def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False, cut: int = 0) -> None:
-    """Capture files of the frames, one per range of packet numbers, named in order.
+def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False, cut: int = 0, one_file: bool = False) -> None:
+    """Capture files of the frames, one per range of packet numbers or one in all, named in order.
 
     ``cut`` bytes are missing at the end of each file.
     """
@@ -397,5 +397,7 @@ def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False, cu
         yield from ()
 
     timed = frames.select("packet_no", F.unix_micros("ts").alias("us"), "data")
-    ordered = timed.repartitionByRange("packet_no").sortWithinPartitions("packet_no")
+    # One file has one writer; its frames come to it in order, a batch at a time.
+    dealt = timed.repartition(1) if one_file else timed.repartitionByRange("packet_no")
+    ordered = dealt.sortWithinPartitions("packet_no")
     ordered.mapInArrow(write, "packet_no long").write.format("noop").mode("overwrite").save()

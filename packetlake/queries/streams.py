@@ -28,7 +28,7 @@ from packetlake.queries.labelled import KEY_SQL
 from packetlake.queries.tokens import EOS_SQL, SEGMENTS_CTE
 from packetlake.schemas import FLOW_KEY, PACKET_TABLE
 from packetlake.session import shared_folder
-from packetlake.sources.pcap import OFFSET_BITS, capture_damage
+from packetlake.sources.pcap import capture_damage
 from packetlake.sources.sinks import append_payloads, write_feature_csv, write_packet_table
 from packetlake.sources.tables import read_packet_table, read_topology
 from packetlake.streaming.dns import write_flagged_queries
@@ -105,7 +105,8 @@ def pcap_scan(spark, sf_dir):
     plain = synth_frames(spark, sf_dir, variants=False)
     write_captures(plain, folder)
     frames = read_frames(spark, folder, split_bytes=64 * 1024)
-    order = numbered(frames, [], ["packet_no"], F.shiftright("packet_no", OFFSET_BITS), "frame_no")
+    # A segment is a MiB of a file, so no task sorts a whole file.
+    order = numbered(frames, [], ["packet_no"], F.shiftright("packet_no", 20), "frame_no")
     payload = decode_packets(order.drop("frame_no")).select("packet_no", F.hex("payload").alias("props"))
     parts = order.select(
         "packet_no", "frame_no", seconds_part(F.col("ts")).alias("timestamp_s"), micros_part(F.col("ts")).alias("timestamp_us")
@@ -113,6 +114,29 @@ def pcap_scan(spark, sf_dir):
     return parts.join(payload, "packet_no").drop("packet_no")
 
 
+@query(
+    "pcap_one_file",
+    f"""WITH {FRAMES_CTE} SELECT ts_us // 1000000 AS timestamp_s, ts_us % 1000000 AS timestamp_us,
+      upper(hex(encode(props))) AS props, row_number() OVER (ORDER BY packet_no) - 1 AS frame_no FROM frames""",
+)
+def pcap_one_file(spark, sf_dir):
+    """One large file whose payloads are capture records themselves, read in ranges that are composed."""
+    from packetlake.operators.ordered import numbered
+
+    folder = shared_folder(spark, "captures")
+    props = F.encode("props", "UTF-8")
+    size = F.reverse(F.unhex(F.lpad(F.hex(F.length(props).cast("long")), 8, "0")))
+    record = F.concat(F.lit(bytes(8)), size, size, props)
+    write_captures(synth_frames(spark, sf_dir, F.concat(record, record, record), variants=False), folder, one_file=True)
+    frames = read_frames(spark, folder, split_bytes=256 * 1024)
+    order = numbered(frames, [], ["packet_no"], F.shiftright("packet_no", 20), "frame_no")
+    payload = decode_packets(order.drop("frame_no")).select("packet_no", F.expr("hex(substring(payload, 17, (length(payload) - 48) div 3))").alias("props"))
+    parts = order.select(
+        "packet_no", "frame_no", seconds_part(F.col("ts")).alias("timestamp_s"), micros_part(F.col("ts")).alias("timestamp_us")
+    )
+    return parts.join(payload, "packet_no").drop("packet_no")
+
+
 @query(
     "pcap_damage",
     f"WITH {FRAMES_CTE} SELECT ts_us // 1000000 AS timestamp_s, ts_us % 1000000 AS timestamp_us FROM frames",

@@ -1,9 +1,13 @@
 """Capture files as frames.
 
-``read_frames`` cuts large files at exact record boundaries: tasks first walk the
-record lengths of the files above ``split_bytes``, one file each, then every
-range is a task of its own. Files up to that size are one range and are read
-once. ``spark.read.format("pcap")`` reads each file in one task, with no walk.
+``read_frames`` cuts large files at exact record boundaries, and no task walks a
+whole file to find them. Each range of ``split_bytes`` works out, beside the
+others, where chains of record lengths that may enter it would leave it: a small
+map from entry to exit. The maps of a file are then composed from its first
+record on, which leaves one true entry per range. An entry that a range did not
+foresee (behind a record longer than the file says it has any) is followed
+through that range alone. Files up to ``split_bytes`` are one range and are read
+once. ``spark.read.format("pcap")`` reads each file in one task, with no map.
 Record lengths decide all boundaries, so payloads that look like records, empty
 records and records of any length are read as they are.
 
@@ -15,6 +19,7 @@ those places.
 
 from __future__ import annotations
 
+import heapq
 import struct
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -46,7 +52,12 @@ OFFSET_BITS = 40
 ROWS, LARGEST = 8192, 2**31 - 1
 DAMAGE = ("error", "stop")
 
+# Most bytes of a record for which entries of ranges are foreseen, and how many such records the lead-in of a range holds.
+REACH, LEAD_RECORDS = 1 << 20, 4
+
 RANGES = "path string, file_no long, start long, stop long, size long"
+MAPS = "path string, file_no long, size long, number long, entry long, exit long"
+RANGE_TYPES = pa.schema([("path", pa.string()), *((name, pa.int64()) for name in ("file_no", "start", "stop", "size"))])
 DAMAGED = "path string, file_no long, at long, bytes_left long, ts timestamp"
 
 
@@ -95,10 +106,12 @@ class Capture:
         if head[:4] not in MAGICS or len(head) < FILE_HEADER:
             raise ValueError(f"{path} is not a capture file")
         self.order, self.second = MAGICS[bytes(head[:4])]
-        (link,) = struct.unpack(self.order + "I", head[20:24])
+        snap, link = struct.unpack(self.order + "II", head[16:24])
         if link & 0xFFFF != ETHERNET:
             raise ValueError(f"{path} has link type {link & 0xFFFF}, not Ethernet")
         self.length = struct.Struct(self.order + "I").unpack_from
+        #: Bytes of the longest record that is likely here.
+        self.reach = min(REACH, snap + RECORD_HEADER) if snap else REACH
 
     def blocks(self, start: int, stop: int) -> Iterator[tuple[bytes, int, list[int], int]]:
         """(block, base, places, after): the whole records that begin from ``start`` to before ``stop``.
@@ -129,16 +142,64 @@ class Capture:
             if wanted > LARGEST:
                 raise ValueError(f"{self.path}: the record at byte {at} has {wanted} bytes, more than one value can hold")
 
-    def ranges(self, split_bytes: int) -> Iterator[tuple[int, int]]:
-        """Offsets between which about ``split_bytes`` of whole records lie."""
-        begin = FILE_HEADER
-        for _, base, places, _ in self.blocks(FILE_HEADER, self.size):
-            offsets = base + np.array(places, np.int64)
-            while (cut := int(np.searchsorted(offsets, begin + split_bytes))) < len(offsets):
-                yield begin, int(offsets[cut])
-                begin = int(offsets[cut])
-        # Damage is left to the reader of the last range.
-        yield begin, self.size
+    def entries(self, start: int) -> list[int]:
+        """Offsets from ``start`` on to which chains of records lead that begin some records earlier.
+
+        Every byte of the first record's length in the lead-in may begin a
+        record. All their chains are followed at once by pointer jumping; most
+        end in lengths that the file does not hold.
+        """
+        low = max(FILE_HEADER, start - LEAD_RECORDS * self.reach)
+        if low == start:
+            return [start]
+        raw = np.frombuffer(self.source.read_at(min(self.size, start + RECORD_HEADER) - low, low), np.uint8)
+        width = start - low
+        held = max(0, min(width, len(raw) - RECORD_HEADER + 1))
+        length = np.ndarray((held,), f"{self.order}u4", raw, 8, (1,)).astype(np.int64) if held else np.zeros(0, np.int64)
+        after = np.full(width, -1)
+        after[:held] = np.arange(held) + RECORD_HEADER + length
+        after[after > self.size - low] = -1
+        while (inside := np.flatnonzero((after >= 0) & (after < width))).size:
+            after[inside] = after[after[inside]]
+        first = after[:1] if low == FILE_HEADER else after[: self.reach]
+        return (low + np.unique(first[first >= 0])).tolist()
+
+    def exits(self, entries: list[int], stop: int) -> dict[int, int]:
+        """Where the chain from each entry first comes to ``stop`` or beyond; those that the file does not hold are left out.
+
+        Chains are followed in order of their offsets, so where two meet they
+        are one from there on.
+        """
+        chains = {at: [at] for at in entries}
+        left: dict[int, int] = {}
+        heads = [at for at in chains if at < stop]
+        left.update({at: at for at in chains if at >= stop})
+        heapq.heapify(heads)
+        block, base = b"", 0
+        while heads:
+            at = heapq.heappop(heads)
+            if at + RECORD_HEADER > self.size:
+                continue
+            if not base <= at <= base + len(block) - RECORD_HEADER:
+                block, base = self.source.read_at(min(BLOCK, self.size - at), at), at
+            alone = not heads
+            have, place = len(block) - RECORD_HEADER, at - base
+            owners = chains.pop(at)
+            while True:
+                place += RECORD_HEADER + self.length(block, place + 8)[0]
+                if not alone or place > have or base + place >= stop:
+                    break
+            after = base + place
+            if after > self.size:
+                continue
+            if after >= stop:
+                left.update(dict.fromkeys(owners, after))
+            elif after in chains:
+                chains[after] += owners
+            else:
+                chains[after] = owners
+                heapq.heappush(heads, after)
+        return left
 
     def instants(self, seconds: np.ndarray, fraction: np.ndarray) -> np.ndarray:
         return seconds * 1_000_000 + fraction * 1_000_000 // self.second
@@ -204,6 +265,55 @@ def file_rows(spark: SparkSession, files: list[CaptureFile]) -> DataFrame:
     return spark.createDataFrame(rows, RANGES).repartition(max(1, len(rows)))
 
 
+def record_ranges(spark: SparkSession, path: str, files: list[CaptureFile], split_bytes: int) -> DataFrame:
+    """RANGES of the files: a first record and the offset before which the last one begins.
+
+    A file above ``split_bytes`` has a task for each of its ranges, here and in
+    what reads them. What meets in one task per file is a few numbers per range.
+    """
+    large = [f for f in files if f.size > split_bytes]
+    small = file_rows(spark, [f for f in files if f.size <= split_bytes])
+    if not large:
+        return small
+
+    def map_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                start, stop = row["number"] * split_bytes, min(row["size"], (row["number"] + 1) * split_bytes)
+                with open_capture(path, row["path"], row["size"]) as capture:
+                    entries = capture.entries(start) if row["number"] else [FILE_HEADER]
+                    found = [{**row, "entry": a, "exit": b} for a, b in capture.exits(entries, stop).items()]
+                yield pa.RecordBatch.from_pylist(found, pa.schema([*((n, batch.schema.field(n).type) for n in batch.schema.names), ("entry", pa.int64()), ("exit", pa.int64())]))
+
+    def compose(key: tuple, maps: pa.Table) -> pa.Table:
+        rows = maps.to_pylist()
+        name, number, size = rows[0]["path"], rows[0]["file_no"], rows[0]["size"]
+        known = {(r["number"], r["entry"]): r["exit"] for r in rows}
+        at, out = FILE_HEADER, []
+        while at < size:
+            here = at // split_bytes
+            stop = min(size, (here + 1) * split_bytes)
+            out.append({"path": name, "file_no": number, "start": at, "stop": stop, "size": size})
+            after = known.get((here, at))
+            if after is None:
+                with open_capture(path, name, size) as capture:
+                    after = capture.exits([at], stop).get(at)
+            if after is None:
+                break  # damage, left to the reader of this range
+            at = after
+        return pa.Table.from_pylist(out, RANGE_TYPES)
+
+    last = F.expr(f"(size - 1) div {split_bytes}")
+    ranges = file_rows(spark, large).select("path", "file_no", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("number"))
+    tasks = sum(-(-f.size // split_bytes) for f in large)
+    maps = ranges.repartition(tasks, "file_no", "number").mapInArrow(map_entries, MAPS)
+    # Ranges without any chain give no row; the first one always does, or the file has no whole record.
+    marks = file_rows(spark, large).select("path", "file_no", "size", F.lit(-1).cast("long").alias("number"), F.lit(-1).cast("long").alias("entry"), F.lit(-1).cast("long").alias("exit"))
+    composed = maps.unionByName(marks).groupBy("file_no").applyInArrow(compose, RANGES)
+    composed = composed.repartition(tasks, "file_no", "start")
+    return small.unionByName(composed) if len(large) < len(files) else composed
+
+
 def read_frames(
     spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, damage: str = "error", offset_bits: int = OFFSET_BITS
 ) -> DataFrame:
@@ -213,35 +323,20 @@ def read_frames(
         register_pcap(spark)
         return spark.read.format("pcap").option("damage", damage).option("offsetBits", offset_bits).load(path)
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                with open_capture(path, row["path"], row["size"]) as capture:
-                    found = [{**row, "start": start, "stop": stop} for start, stop in capture.ranges(split_bytes)]
-                yield pa.RecordBatch.from_pylist(found, batch.schema)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 with open_capture(path, row["path"], row["size"]) as capture:
                     yield from capture.frames(row["start"], row["stop"], row["file_no"] << offset_bits, damage)
 
-    files = list_captures(path, offset_bits)
-    large = [f for f in files if f.size > split_bytes]
-    ranges = file_rows(spark, [f for f in files if f.size <= split_bytes])
-    if large:
-        walked = file_rows(spark, large).mapInArrow(walk, RANGES)
-        # The ranges of a file come from one task; they are dealt out again.
-        tasks = sum(-(-f.size // split_bytes) for f in large)
-        walked = walked.repartition(tasks)
-        ranges = ranges.unionByName(walked) if len(large) < len(files) else walked
-    return ranges.mapInArrow(read, FRAMES)
+    return record_ranges(spark, path, list_captures(path, offset_bits), split_bytes).mapInArrow(read, FRAMES)
 
 
-def capture_damage(spark: SparkSession, path: str, offset_bits: int = OFFSET_BITS) -> DataFrame:
+def capture_damage(spark: SparkSession, path: str, offset_bits: int = OFFSET_BITS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, file_no, at, bytes_left, ts): the first record of each file that it does not hold whole.
 
-    ``ts`` is null where not even the record header is there.
+    ``ts`` is null where not even the record header is there. Only the range that
+    holds the place looks at it, so large files are walked in parallel too.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +344,7 @@ def capture_damage(spark: SparkSession, path: str, offset_bits: int = OFFSET_BIT
             found = []
             for row in batch.to_pylist():
                 with open_capture(path, row["path"], row["size"]) as capture:
-                    for _ in capture.blocks(FILE_HEADER, row["size"]):
+                    for _ in capture.blocks(row["start"], row["stop"]):
                         pass
                     at = capture.damaged
                     if at is not None:
@@ -261,4 +356,4 @@ def capture_damage(spark: SparkSession, path: str, offset_bits: int = OFFSET_BIT
             columns = zip(*found) if found else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
-    return file_rows(spark, list_captures(path, offset_bits)).mapInArrow(walk, DAMAGED)
+    return record_ranges(spark, path, list_captures(path, offset_bits), split_bytes).mapInArrow(walk, DAMAGED)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from packetlake.plans.capture import read_frames, run_capture_job
 from packetlake.plans.sequences import training_batch, validation_batches, with_flow_id
 from packetlake.fixtures import labelled_packets, synth_frames
-from packetlake.sources.pcap import capture_damage, list_captures
+from packetlake.sources.pcap import capture_damage, list_captures, open_capture, record_ranges
 from packetlake.sources.sinks import append_payloads, read_payloads
 from packetlake.sources.tables import preview
 
@@ -83,6 +83,92 @@ def test_a_damaged_length_is_listed(spark, tmp_path, split):
     assert tuple(row) == (0, at, len(whole) - at, made[3][0] * 1_000_000 + made[3][1])
 
 
+def nested(rnd, depth=2):
+    """A payload of capture records whose own payloads are capture records."""
+    if not depth:
+        return rnd.choice([bytes(rnd.randrange(80)), rnd.randbytes(rnd.randrange(80))])
+    parts = [nested(rnd, depth - 1) for _ in range(rnd.randrange(1, 6))]
+    return b"".join(struct.pack("<IIII", 1_700_000_000, 7, len(p), len(p)) + p for p in parts)
+
+
+def walked(data, split):
+    """The first record of each range, by walking the file from its beginning; damage ends it."""
+    at, out, last = 24, [], -1
+    while at + 16 <= len(data):
+        size = 16 + struct.unpack_from("<I", data, at + 8)[0]
+        if at // split != last:
+            last = at // split
+            out.append(at)
+        if at + size > len(data):
+            break
+        at += size
+    else:
+        if at < len(data) and at // split != last:
+            out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("split", [777, 5_000])
+def test_composed_maps_equal_a_walk(spark, tmp_path, split):
+    rnd = random.Random(split)
+    made = {}
+    for number, snap in enumerate([65535, 100, 40, 0, 300]):
+        rows = []
+        for _ in range(120):
+            data = rnd.choice([nested(rnd), bytes(rnd.randrange(300)), rnd.randbytes(rnd.randrange(200)), b"", nested(rnd, 3) * 3])
+            rows.append((1_700_000_000, 5, data))
+        name = tmp_path / f"{number}.pcap"
+        capture(name, rows)
+        raw = bytearray(name.read_bytes())
+        raw[16:20] = struct.pack("<I", snap)  # records longer than the file says are entries that nobody foresaw
+        name.write_bytes(raw[: len(raw) - 3 * (number % 2)])
+        made[number] = bytes(raw[: len(raw) - 3 * (number % 2)])
+    files = list_captures(str(tmp_path))
+    ranges = record_ranges(spark, str(tmp_path), files, split)
+    got = {}
+    for r in ranges.collect():
+        assert r.stop == min(r.size, (r.start // split + 1) * split)
+        got.setdefault(r.file_no, []).append(r.start)
+    assert {n: sorted(s) for n, s in got.items()} == {n: walked(data, split) for n, data in made.items()}
+    whole = sum(1 for n in made for _ in records_of(made[n]))
+    assert read_frames(spark, str(tmp_path), split_bytes=split, damage="stop").count() == whole
+    assert {(r.file_no, r.at) for r in capture_damage(spark, str(tmp_path), split_bytes=split).collect()} == {
+        (n, end_of(data)) for n, data in made.items() if n % 2
+    }
+
+
+def records_of(data):
+    at = 24
+    while at + 16 <= len(data):
+        size = 16 + struct.unpack_from("<I", data, at + 8)[0]
+        if at + size > len(data):
+            return
+        yield at
+        at += size
+
+
+def end_of(data):
+    *_, last = records_of(data)
+    return last + 16 + struct.unpack_from("<I", data, last + 8)[0]
+
+
+def test_no_task_walks_a_whole_file(spark, tmp_path):
+    """Each range looks at itself and a bounded lead-in, and foresees its true entry."""
+    rows = [(1_700_000_000, i, nested(random.Random(i))) for i in range(3000)]
+    capture(tmp_path / "a.pcap", rows)
+    (file,) = list_captures(str(tmp_path))
+    split, true = 20_000, walked((tmp_path / "a.pcap").read_bytes(), 20_000)
+    with open_capture(str(tmp_path), file.path, file.size) as opened:
+        opened.reach, read = 2_000, []
+        plain, opened.source = opened.source, type("Counted", (), {"read_at": lambda self, n, at: (read.append(n), plain.read_at(n, at))[1]})()
+        for number, at in enumerate(true[1:], 1):
+            entries = opened.entries(number * split)
+            assert at in entries and sum(read) <= 4 * 2_000 + 16
+            read.clear()
+    ranges = record_ranges(spark, str(tmp_path), [file], split)
+    assert ranges.count() == len(true) and ranges.rdd.getNumPartitions() >= 1
+
+
 def test_packet_numbers_never_overflow(tmp_path):
     for name in "abc":
         capture(tmp_path / name, records(2))
