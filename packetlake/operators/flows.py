@@ -13,9 +13,9 @@ from packetlake.functions.flowkey import with_normalised_key
 from packetlake.operators.ordered import (
     DEFAULT_WIDTH,
     SEGMENT,
+    balanced,
     before_segment,
     drop_carry,
-    segment_of,
     with_carry,
     within_segment,
 )
@@ -120,7 +120,7 @@ def new_flow_flags(packets: DataFrame) -> DataFrame:
 def running_flow_stats(packets: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """The statistics of a packet's flow right after that packet."""
     state = ["n", "fwd_n", "all_bytes", "fwd_bytes", "first_us", "first_size", "min_size", "max_size"]
-    rows = flow_measures(packets).withColumn(SEGMENT, segment_of("packet_no", width))
+    rows = balanced(flow_measures(packets), FLOW_KEY, "packet_no", width)
     rows = rows.select(*FLOW_KEY, SEGMENT, "packet_no", "ts_us", "bytes", "fwd")
     partial = rows.groupBy(*FLOW_KEY, SEGMENT).agg(*partial_flow_aggregates())
     earlier = before_segment(FLOW_KEY)

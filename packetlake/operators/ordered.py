@@ -10,6 +10,11 @@ large share of the rows. Here each group is cut into segments along its order:
 
 The rows are shuffled once, by (group, segment), with no join. The results are
 the same as those of the plain window.
+
+``balanced`` makes the segments: groups above a number of rows are cut at
+quantiles of their order, whatever its values look like; all others are one
+segment. ``segment_of`` cuts an order without gaps at fixed widths, with no pass
+over the rows.
 """
 
 from __future__ import annotations
@@ -22,8 +27,11 @@ from pyspark.sql import functions as F
 SEGMENT = "__segment"
 CARRY = "__carry"
 
-# Rows of a unique, dense integer order that share one segment.
+# Rows of one segment, and of a unique, dense integer order that share one.
 DEFAULT_WIDTH = 1 << 20
+# Quantiles at which a group is cut in one step, size of the sketch they come from,
+# and groups that are cut in one step at most (which bounds what is broadcast).
+CUTS, SKETCH, MOST_CUT = 64, 2048, 16_384
 
 
 def segment_of(order: str, width: int = DEFAULT_WIDTH) -> Column:
@@ -31,6 +39,39 @@ def segment_of(order: str, width: int = DEFAULT_WIDTH) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("long")
 
 
+def balanced(rows: DataFrame, keys: Sequence[str], order: str, target: int = DEFAULT_WIDTH) -> DataFrame:
+    """Adds SEGMENT, which does not decrease along the integer ``order`` within a group.
+
+    Groups of more than ``target`` rows are cut at CUTS quantiles of a mergeable
+    sketch, and what is still larger again, so segments have about equal numbers
+    of rows however ``order`` is spread. Equal values of ``order`` share a
+    segment. The cuts of at most MOST_CUT groups are broadcast, 8 MiB of numbers
+    in all; above MOST_CUT times ``target`` rows the segments grow instead.
+    """
+    spark = rows.sparkSession
+    cut = rows.withColumn(SEGMENT, F.lit(0).cast("long"))
+    number = F.col(order).cast("long")
+    while True:
+        group = F.xxhash64(*keys, SEGMENT)  # groups of one hash share cuts, which changes no result
+        sizes = cut.groupBy(group.alias("__group")).agg(F.count(number).alias("n"), F.min(number).alias("lo"), F.max(number).alias("hi"))
+        total, most = sizes.agg(F.sum("n"), F.max(F.when(F.col("lo") < F.col("hi"), F.col("n")))).first()
+        limit = max(target, (total or 0) // MOST_CUT)
+        if (most or 0) <= limit:
+            return cut
+        large = sizes.filter((F.col("n") > limit) & (F.col("lo") < F.col("hi"))).select("__group", "hi")
+        narrow = cut.select(group.alias("__group"), number.alias("__order"))
+        sketch = F.kll_sketch_agg_bigint("__order", F.lit(SKETCH))
+        ranks = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+        sketched = narrow.join(F.broadcast(large), "__group").groupBy("__group").agg(F.max("hi").alias("hi"), sketch.alias("s"))
+        # The greatest value apart from all others: the cuts never leave a group whole.
+        places = F.array_distinct(F.array_append(F.kll_sketch_get_quantile_bigint("s", ranks), F.col("hi") - 1))
+        found = sketched.select("__group", places.alias("__cuts")).toArrow()
+        cuts = F.broadcast(spark.createDataFrame(found, "__group long, __cuts array<long>"))
+        passed = F.coalesce(F.size(F.filter("__cuts", lambda c: c < number)), F.lit(0))
+        placed = cut.withColumn("__group", group).join(cuts, "__group", "left")
+        cut = placed.withColumn(SEGMENT, F.col(SEGMENT) * (CUTS + 1) + passed).drop("__group", "__cuts")
+
+
 def before_segment(keys: Sequence[str]):
     """Window over all earlier segments of the group."""
     return Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
@@ -89,10 +130,10 @@ def numbered(
 def row_index(rows: DataFrame, order: str, name: str = "row_idx", width: int = DEFAULT_WIDTH) -> DataFrame:
     """0-based position of every row along a unique integer column.
 
-    No task sorts more than ``width`` rows; the only unpartitioned step runs over
-    one count per segment.
+    No task sorts much more than ``width`` rows, also where the column has large
+    gaps; the only unpartitioned step runs over one count per segment.
     """
-    return numbered(rows, [], [order], segment_of(order, width), name)
+    return numbered(balanced(rows, [], order, width), [], [order], F.col(SEGMENT), name)
 
 
 def previous_value(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetlake.functions.tokens import _masked, check_options, token_rows
-from packetlake.operators.ordered import DEFAULT_WIDTH, numbered, row_index, segment_of
+from packetlake.operators.ordered import DEFAULT_WIDTH, SEGMENT, balanced, numbered, row_index
 from packetlake.schemas import PAD, TOKENS_PER_PACKET
 
 FLOW = ["AttackLabel", "FlowID"]
@@ -28,7 +28,8 @@ def flow_sequences(packets: DataFrame, k: int, width: int = DEFAULT_WIDTH) -> Da
 
     A flow with fewer than ``k`` packets is one short run.
     """
-    placed = numbered(packets, FLOW, ["packet_no"], segment_of("packet_no", width), "__rn", "__total")
+    cut = balanced(packets, FLOW, "packet_no", width)
+    placed = numbered(cut, FLOW, ["packet_no"], F.col(SEGMENT), "__rn", "__total")
     whole = F.floor(F.col("__total") / k) * k
     kept = placed.filter((F.col("__total") < k) | (F.col("__rn") < whole))
     return kept.withColumns(
@@ -117,13 +118,15 @@ def payload_queues(packets: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
 
     One row per payload: the queue of a busy flow has no bound.
     """
-    placed = numbered(packets, ["flow_key"], ["packet_no"], segment_of("packet_no", width), "__rn", "__total")
+    cut = balanced(packets, ["flow_key"], "packet_no", width)
+    placed = numbered(cut, ["flow_key"], ["packet_no"], F.col(SEGMENT), "__rn", "__total")
     return placed.withColumn("queue_pos", F.col("__total") - 1 - F.col("__rn")).drop("__rn", "__total")
 
 
 def drain_batches(packets: DataFrame, size: int = 100, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Queues emptied from the oldest end, at most ``size`` payloads per row."""
-    placed = numbered(packets, ["flow_key"], ["packet_no"], segment_of("packet_no", width), "__rn")
+    cut = balanced(packets, ["flow_key"], "packet_no", width)
+    placed = numbered(cut, ["flow_key"], ["packet_no"], F.col(SEGMENT), "__rn")
     return (
         placed.withColumn("drain_no", F.floor(F.col("__rn") / size).cast("long"))
         .groupBy("flow_key", "drain_no")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from packetlake.functions.flowkey import flow_key_text
 from packetlake.operators.decode import decode_packets, split_errors
+from packetlake.operators.dns import with_retransmissions
+from packetlake.operators.features import flatten_features
 from packetlake.operators.flows import flow_stats
 from packetlake.operators.graph import (
     as_nodes,
@@ -29,15 +31,21 @@ def run_capture_job(
     devices: DataFrame | None = None,
     cache_payloads: bool = False,
     parity: bool = False,
+    features: bool = False,
 ) -> dict[str, int]:
     """Decodes once, stores the packets, and derives all other tables from the store.
 
-    Returns the numbers of frames and of frames that gave no packet.
+    With ``features`` the flat table of all fields is one of them. It has the DNS
+    retransmissions, which need all packets. Its payload column holds what the
+    frames hold from ``header_len`` on only where the decoder stored it, so the
+    payload is stored then. Returns the numbers of frames and of frames that gave no packet.
     """
     spark = frames.sparkSession
     counts = Observation()
-    # The payload is part of the frame, so it is not stored a second time.
-    decoded = decode_packets(frames, parity=parity, counts=counts).drop("payload")
+    decoded = decode_packets(frames, parity=parity, counts=counts)
+    if not features:
+        # The payload is part of the frame, so it is not stored a second time.
+        decoded = decoded.drop("payload")
     decoded.write.mode("overwrite").parquet(f"{out}/decoded")
     totals = counts.get
     # Later steps read the columns they need from the stored packets.
@@ -48,6 +56,8 @@ def run_capture_job(
     flows.write.mode("overwrite").parquet(f"{out}/flows")
     flows = spark.read.parquet(f"{out}/flows")
     nodes = ip_nodes(packets)
+    if features:
+        flatten_features(with_retransmissions(packets)).write.mode("overwrite").parquet(f"{out}/features")
     if devices is not None:
         controls = device_controls(devices)
         nodes = merge_nodes(as_nodes(controls.select("address")), nodes)

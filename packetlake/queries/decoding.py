@@ -8,7 +8,8 @@ from packetlake.fixtures import VARIANTS, application_frames, synth_frames
 from packetlake.functions.net import ip_text, mac_text
 from packetlake.functions.binary import piece
 from packetlake.operators.decode import decode_packets, decode_summary, packet_table
-from packetlake.operators.features import csv_projection, flatten_features
+from packetlake.operators.dns import with_retransmissions
+from packetlake.operators.features import CSV_COLUMNS, CSV_CONSTANTS, csv_projection, flatten_features
 from packetlake.operators.flows import flow_stats
 from packetlake.queries.base import PACKETS_CTE, query, sql_ip
 from packetlake.schemas import FLOW_KEY
@@ -420,3 +421,148 @@ def csv_features(spark, sf_dir):
         F.col("`tcp.checksum`").alias("tcp_checksum"),
         F.col("`udp.port`").alias("udp_port"),
     ).agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- all columns -----------------------------------------------------------
+
+
+def _hex_number(value: str, digits: int) -> str:
+    return f"lpad(lower(hex({value})), {digits}, '0')"
+
+
+def _hex_text(value: str) -> str:
+    return f"lower(hex(encode({value})))"
+
+
+_END, _FEED = "chr(13) || chr(10)", "chr(10)"
+# Payloads of the application frames, as hexadecimal text, and what is read from them.
+MESSAGES_CTE = f"""{APPS_CTE},
+parts AS (
+  SELECT *, {_hex_number("length('t/' || user_id)", 4)} || {_hex_text("'t/' || user_id")} || {_hex_text("props")} AS publish,
+    'user' || user_id || '.example' AS host,
+    CASE WHEN packet_no % 7 = 0 THEN 'none' WHEN packet_no % 13 = 0 THEN 'cut' WHEN packet_no % 11 = 0 THEN 'unicast' ELSE 'ok' END AS state,
+    CASE WHEN packet_no % 3 = 0 THEN 28 ELSE 1 END AS qtype,
+    event_type IN ('click', 'purchase') AS web, event_type = 'view' AND packet_no % 9 <> 0 AS mqtt, event_type = 'signup' AS udp
+  FROM apps),
+messages AS (
+  SELECT *, CASE
+      WHEN web THEN CASE turn WHEN 0 THEN {_hex_text(f"'GET /e?id=' || packet_no || ' HTTP/1.1' || {_END} || 'Host: h' || {_END} || {_END} || 'body'")}
+        WHEN 1 THEN {_hex_text(f"'HTTP/1.1 200 OK' || {_END} || 'Server: s' || {_END} || {_END} || props")}
+        WHEN 2 THEN {_hex_text(f"'POST /form HTTP/1.10000000' || {_END} || {_END}")} WHEN 3 THEN {_hex_text("'short'")}
+        ELSE {_hex_text(f"'GET  /plain/' || packet_no || '  HTTP/1.0' || {_FEED} || 'A: b' || {_FEED} || {_FEED}")} END
+      WHEN mqtt THEN CASE turn WHEN 0 THEN '100c00044d5154540402003c0000' WHEN 1 THEN '20020100'
+        WHEN 2 THEN '30' || {_hex_number("length(publish) // 2", 2)} || publish
+        WHEN 3 THEN '32' || {_hex_number("(length(publish) // 2 + 200) % 128 + 128", 2)} || {_hex_number("(length(publish) // 2 + 200) // 128", 2)}
+          || publish || repeat('78', 200) ELSE '3080' END
+      WHEN event_type = 'error' THEN {_hex_number("packet_no % 65536", 4)} || '00000006' || {_hex_number("user_id % 256", 2)} || '0300000001'
+      ELSE '' END AS payload,
+    CASE WHEN udp AND state = 'ok' THEN ts_us - lag(ts_us) OVER (PARTITION BY udp AND state = 'ok', host, qtype ORDER BY ts_us, packet_no) END AS since
+  FROM parts)"""
+
+# Column of the flat table, its type, and its value over ``messages``.
+FLAT_COLUMNS = {
+    "packet_no": ("BIGINT", "packet_no"),
+    "frame.time": ("VARCHAR", "NULL"),
+    "ip_set": ("BOOLEAN", "true"),
+    "ip.src_host": ("VARCHAR", sql_ip("src_ip")),
+    "ip.dst_host": ("VARCHAR", sql_ip("dst_ip")),
+    "arp_set": ("BOOLEAN", "false"),
+    "arp.dst.proto_ipv4": ("VARCHAR", "NULL"),
+    "arp.opcode": ("INTEGER", "NULL"),
+    "arp.hw.size": ("INTEGER", "NULL"),
+    "arp.src.proto_ipv4": ("VARCHAR", "NULL"),
+    "icmp.checksum": ("INTEGER", "NULL"),
+    "icmp.seq_le": ("INTEGER", "NULL"),
+    "icmp.transmit_timestamp": ("BIGINT", "NULL"),
+    "icmp.unused": ("VARCHAR", "NULL"),
+    "http.file_data": ("VARCHAR", "NULL"),
+    "http.content_length": ("BIGINT", "NULL"),
+    "http.request.uri.query": ("VARCHAR", "CASE WHEN web AND turn = 0 THEN 'id=' || packet_no END"),
+    "http.request.method": ("VARCHAR", "CASE WHEN web THEN CASE turn WHEN 0 THEN 'GET' WHEN 2 THEN 'POST' WHEN 4 THEN 'GET' END END"),
+    "http.referer": ("VARCHAR", "NULL"),
+    "http.request.full_uri": ("VARCHAR", "CASE WHEN web THEN CASE turn WHEN 0 THEN '/e?id=' || packet_no WHEN 2 THEN '/form' WHEN 4 THEN '/plain/' || packet_no END END"),
+    "http.request.version": ("VARCHAR", "CASE WHEN web THEN CASE turn WHEN 0 THEN 'HTTP/1.1' WHEN 1 THEN 'HTTP/1.1' WHEN 4 THEN 'HTTP/1.0' END END"),
+    "http.response": ("BOOLEAN", "CASE WHEN web THEN turn = 1 END"),
+    "tcp_set": ("BOOLEAN", "NOT udp"),
+    "tcp.ack": ("INTEGER", "NULL"),
+    "tcp.ack_raw": ("BIGINT", "CASE WHEN NOT udp THEN (packet_no * 3) % 4294967296 END"),
+    "tcp.checksum": ("VARCHAR", f"CASE WHEN NOT udp THEN '0x' || {_hex_number('packet_no % 65536', 8)} END"),
+    "tcp.connection.fin": ("BOOLEAN", "CASE WHEN NOT udp THEN packet_no & 1 = 1 END"),
+    "tcp.connection.rst": ("BOOLEAN", "CASE WHEN NOT udp THEN packet_no & 4 = 4 END"),
+    "tcp.connection.syn": ("BOOLEAN", "CASE WHEN NOT udp THEN packet_no & 2 = 2 END"),
+    "tcp.connection.synack": ("BOOLEAN", "CASE WHEN NOT udp THEN packet_no & 18 = 18 END"),
+    "tcp.dstport": ("INTEGER", "CASE WHEN NOT udp THEN dst_port END"),
+    "tcp.flags": ("INTEGER", "CASE WHEN NOT udp THEN packet_no % 512 END"),
+    "tcp.len": ("INTEGER", "CASE WHEN NOT udp THEN length(payload) // 2 END"),
+    "tcp.options": ("VARCHAR", "CASE WHEN NOT udp THEN CASE WHEN packet_no % 5 = 0 THEN '020405b4' ELSE '' END END"),
+    "tcp.payload": ("VARCHAR", "CASE WHEN NOT udp THEN payload END"),
+    "tcp.seq": ("BIGINT", "CASE WHEN NOT udp THEN packet_no % 4294967296 END"),
+    "tcp.srcport": ("INTEGER", "CASE WHEN NOT udp THEN src_port END"),
+    "udp_set": ("BOOLEAN", "udp"),
+    "udp.port": ("INTEGER", "CASE WHEN udp THEN src_port END"),
+    "udp.stream": ("INTEGER", "CASE WHEN udp THEN 0 END"),
+    "udp.time_delta": ("DOUBLE", "CASE WHEN udp THEN 0 END"),
+    "dns.qry.name": ("VARCHAR", "CASE WHEN udp THEN CASE state WHEN 'ok' THEN host WHEN 'cut' THEN '' END END"),
+    "dns.qry.name.len": ("INTEGER", "CASE WHEN udp THEN CASE state WHEN 'ok' THEN length(host) WHEN 'cut' THEN 0 END END"),
+    "dns.qry.qu": ("BOOLEAN", "CASE WHEN udp AND state IN ('ok', 'cut') THEN false END"),
+    "dns.qry.type": ("INTEGER", "CASE WHEN udp THEN CASE state WHEN 'ok' THEN qtype WHEN 'cut' THEN 0 END END"),
+    "dns.retransmission": ("BOOLEAN", "CASE WHEN udp AND state = 'ok' THEN coalesce(since > 0 AND since <= 60000000, false) END"),
+    "dns.retransmit_request_in": ("BIGINT", "CASE WHEN since > 0 AND since <= 60000000 THEN since END"),
+    "mqtt.conack.flags": ("INTEGER", "CASE WHEN mqtt AND turn = 1 THEN 1 END"),
+    "mqtt.conflag.cleansess": ("BOOLEAN", "CASE WHEN mqtt AND turn = 0 THEN true END"),
+    "mqtt.conflags": ("INTEGER", "CASE WHEN mqtt AND turn = 0 THEN 2 END"),
+    "mqtt.hdrflags": ("INTEGER", "CASE WHEN mqtt THEN CASE turn WHEN 3 THEN 2 ELSE 0 END END"),
+    "mqtt.len": ("BIGINT", "CASE WHEN mqtt THEN CASE turn WHEN 0 THEN 12 WHEN 1 THEN 2 WHEN 2 THEN length(publish) // 2 WHEN 3 THEN length(publish) // 2 + 200 END END"),
+    "mqtt.msg_decoded_as": ("VARCHAR", "NULL"),
+    "mqtt.msg": ("VARCHAR", "NULL"),
+    "mqtt.msgtype": ("INTEGER", "CASE WHEN mqtt THEN CASE turn WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END END"),
+    "mqtt.proto_len": ("INTEGER", "CASE WHEN mqtt AND turn = 0 THEN 4 END"),
+    "mqtt.protoname": ("VARCHAR", "CASE WHEN mqtt AND turn = 0 THEN 'MQTT' END"),
+    "mqtt.topic": ("VARCHAR", "CASE WHEN mqtt AND turn IN (2, 3) THEN 't/' || user_id END"),
+    "mqtt.topic_len": ("INTEGER", "CASE WHEN mqtt AND turn IN (2, 3) THEN length('t/' || user_id) END"),
+    "mqtt.ver": ("INTEGER", "CASE WHEN mqtt AND turn = 0 THEN 4 END"),
+    "mbtcp.len": ("INTEGER", "CASE WHEN event_type = 'error' THEN 6 END"),
+    "mbtcp.trans_id": ("INTEGER", "CASE WHEN event_type = 'error' THEN packet_no % 65536 END"),
+    "mbtcp.unit_id": ("INTEGER", "CASE WHEN event_type = 'error' THEN user_id % 256 END"),
+}
+
+
+def _plain_name(name: str) -> str:
+    return name.replace(".", "_")
+
+
+def _plain_names(rows):
+    return rows.toDF(*[_plain_name(c) for c in rows.columns])
+
+
+FLAT_ALL_SQL = f"WITH {MESSAGES_CTE} SELECT " + ", ".join(f"CAST({value} AS {kind}) AS {_plain_name(name)}" for name, (kind, value) in FLAT_COLUMNS.items()) + " FROM messages"
+
+
+@query("flat_features_all", FLAT_ALL_SQL)
+def flat_features_all(spark, sf_dir):
+    """Every column of the flat table over application frames, retransmissions among them."""
+    decoded = decode_packets(application_frames(spark, sf_dir)).filter("decode_error IS NULL")
+    return _plain_names(flatten_features(with_retransmissions(decoded)))
+
+
+def _csv_value(name: str) -> str:
+    """The SQL value of a column of the feature file: constants, and zero values for what is absent."""
+    if name in CSV_CONSTANTS:
+        value = CSV_CONSTANTS[name]
+        return str(value).lower() if isinstance(value, (bool, int)) else f"'{value}'"
+    kind, value = FLAT_COLUMNS[name]
+    if name == "tcp.checksum":
+        kind, value = "INTEGER", "CASE WHEN NOT udp THEN packet_no % 65536 END"
+    if name == "udp.port":
+        value = "CASE WHEN udp THEN dst_port END"
+    zero = {"VARCHAR": "''", "BOOLEAN": "false"}.get(kind, "0")
+    if name.endswith(("_host", "proto_ipv4")):
+        zero = "'0.0.0.0'"
+    return f"coalesce(CAST({value} AS {kind}), {zero})"
+
+
+@query("csv_features_all", f"WITH {MESSAGES_CTE} SELECT " + ", ".join(f"{_csv_value(name)} AS {_plain_name(name)}" for name in CSV_COLUMNS) + " FROM messages")
+def csv_features_all(spark, sf_dir):
+    """Every column of the feature file over application frames."""
+    decoded = decode_packets(application_frames(spark, sf_dir)).filter("decode_error IS NULL")
+    return _plain_names(csv_projection(with_retransmissions(decoded)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from packetlake.functions.net import ip_text, ipv4_from_text, is_internal
 from packetlake.operators import flows as ops
-from packetlake.operators.ordered import numbered, previous_value, segment_of
+from packetlake.operators.dns import flag_retransmissions
+from packetlake.operators.ordered import SEGMENT, balanced, numbered, previous_value, row_index, segment_of
 from packetlake.operators.skew import join_salted
 from packetlake.schemas import FLOW_KEY
 
@@ -96,6 +97,46 @@ def test_numbered_over_segments(spark):
         assert {r.total for r in members} == {len(members)}
 
 
+def test_balanced_segments_of_sparse_orders(spark):
+    """Offsets with 40 bits per file, a hot key, small keys, ties, and an order without variety."""
+    rnd = random.Random(3)
+    rows = [("hot", (i % 5 << 40) + 60 * i) for i in range(3000)] + [(f"k{i % 50}", i << 40) for i in range(400)]
+    rows += [("tied", 7)] * 300 + [("tied", 7 + i) for i in range(300)] + [("same", 5)] * 400 + [(None, i) for i in range(200)]
+    rows += [("last", 9)] * 299 + [("last", 3)]
+    rnd.shuffle(rows)
+    cut = balanced(spark.createDataFrame(rows, "k string, at long"), ["k"], "at", target=100).collect()
+    assert sorted(map(repr, ((r.k, r.at) for r in cut))) == sorted(map(repr, rows))
+    parts = {}
+    for r in cut:
+        parts.setdefault((r.k, r[2]), []).append(r.at)
+    for key in {r.k for r in cut}:
+        ranges = [(min(v), max(v), len(v)) for (k, s), v in sorted(parts.items(), key=repr) if k == key]
+        ranges.sort()
+        by_segment = [(min(v), max(v)) for (k, s), v in sorted(((p, v) for p, v in parts.items() if p[0] == key), key=lambda x: x[0][1])]
+        assert by_segment == sorted(by_segment) and all(a[1] < b[0] for a, b in zip(by_segment, by_segment[1:]))
+        assert all(n <= 100 or lo == hi for lo, hi, n in ranges)
+    assert len([1 for k, _ in parts if k == "hot"]) >= 30 and len([1 for k, _ in parts if k == "k1"]) == 1
+    indexed = row_index(spark.createDataFrame([(a,) for a in range(0, 4000 << 40, 4 << 40)], "at long"), "at", "i", width=64)
+    assert indexed.filter("i <> at div (4L << 40)").isEmpty() and indexed.count() == 1000
+
+
+def test_a_name_with_a_third_of_all_queries_is_cut(spark):
+    rnd = random.Random(8)
+    rows = [(i, at(1000 + i // 4, i % 4 * 250_000), "hot" if i % 3 == 0 else f"n{rnd.randrange(60)}", 1, 1) for i in range(1500)]
+    rows += [(5000 + i, at(1100), "hot", 1, 1) for i in range(40)]
+    queries = spark.createDataFrame(rows, "packet_no long, ts timestamp, qry_name string, qry_type int, qry_class int")
+    whole, cut = flag_retransmissions(queries), flag_retransmissions(queries, target=50)
+    assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty() and cut.count() == len(rows)
+    last = {}
+    for r in sorted(whole.collect(), key=lambda r: (r.ts, r.packet_no)):
+        since = int((r.ts - last[r.qry_name]).total_seconds() * 1e6) if r.qry_name in last else None
+        assert r.dns_retransmit == (since is not None and 0 < since <= 60_000_000)
+        assert r.dns_retransmit_request_in == (since if r.dns_retransmit else None)
+        last[r.qry_name] = r.ts
+    cuts = balanced(queries.withColumn("ts_us", F.unix_micros("ts")), ["qry_name"], "ts_us", 50)
+    assert cuts.filter("qry_name = 'hot'").select(SEGMENT).distinct().count() > 8
+
+
 def test_previous_value_over_segments(spark):
     rows = spark.range(500).select("id", (F.col("id") % 4).alias("k"), (F.col("id") * 10).alias("v"))
     linked = previous_value(rows, ["k"], ["id"], segment_of("id", 9), "v", "before").collect()
