@@ -358,14 +358,21 @@ def synth_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files -----------------------------------------------------------------
 
 
-def landed_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> None:
-    """All events as files that arrive one after the other in time order."""
+def landed_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 4, late: str | None = None) -> None:
+    """All events as files that arrive one after the other in time order.
+
+    With ``late`` every fiftieth event comes again in the last part, so much
+    earlier in time.
+    """
     rows = events(spark, sf_dir)
     number = F.col("event_id")
     share = rows.agg(F.max(number) + 1).scalar() / files
     for i in range(files):
         part = rows.filter((number >= share * i) & (number < share * (i + 1)))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        if late and i == files - 1:
+            again = rows.filter(number % 50 == 0).withColumn("ts", F.col("ts") - F.expr(f"INTERVAL {late}"))
+            part = part.unionByName(again)
+        part.write.mode("append").parquet(folder)
 
 
 def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False, cut: int = 0, one_file: bool = False) -> None:

@@ -21,7 +21,7 @@ from packetlake.operators.decode import decode_packets
 from packetlake.operators.graph import device_nodes
 from packetlake.plans.capture import read_frames, run_capture_job
 from packetlake.plans.pretraining import pretraining_batches
-from packetlake.queries.base import FLOW_TEXT, FLOWS_CTE, PACKETS_CTE, REGISTRY, as_text, query, sql_hash
+from packetlake.queries.base import FLOW_COLUMNS, FLOW_TEXT, FLOWS_CTE, PACKETS_CTE, REGISTRY, as_text, query, sql_hash
 from packetlake.queries.decoding import FRAMES_CTE
 from packetlake.queries.graph import EDGES_CTE
 from packetlake.queries.labelled import KEY_SQL
@@ -33,6 +33,7 @@ from packetlake.sources.sinks import append_payloads, write_feature_csv, write_p
 from packetlake.sources.tables import read_packet_table, read_topology
 from packetlake.streaming.dns import write_flagged_queries
 from packetlake.streaming.drain import drain, message_stream
+from packetlake.streaming.sessions import SESSIONS, write_idle_sessions
 from packetlake.streaming.flows import (
     latest_flows,
     latest_graph,
@@ -93,6 +94,25 @@ def session_windows(spark, sf_dir):
     return as_text(session_updates(synth_packets(spark, sf_dir)), "ip_lo", "ip_hi")
 
 
+@query(
+    "session_timeouts",
+    "WITH " + REGISTRY["flow_sessions_300s"][1].removeprefix("WITH ").replace("SELECT " + FLOW_TEXT, ", whole AS (SELECT " + FLOW_COLUMNS, 1)
+    + f"""),
+    ahead AS (SELECT *, lead(first_seen_us) OVER (PARTITION BY {FLOW_COLUMNS} ORDER BY first_seen_us) AS next_us,
+      (SELECT max(ts_us) // 1000 - 600000 FROM packets) AS watermark_ms FROM whole)
+    SELECT {FLOW_TEXT}, first_seen_us, last_seen_us, packets, bytes FROM ahead
+    WHERE (last_seen_us + 999) // 1000 + 600000 <= watermark_ms OR (next_us // 300000000 + 1) * 300000 <= watermark_ms""",
+)
+def session_timeouts(spark, sf_dir):
+    """Sessions that the idle timeout closes in a stream with late packets; those still open at its end are not written."""
+    folder = shared_folder(spark, "stream-timeouts")
+    landed_events(spark, sf_dir, f"{folder}/landed", late="400 DAYS")
+    schema = spark.read.parquet(f"{folder}/landed").schema
+    arriving = with_instants(message_stream(spark, f"{folder}/landed", schema, files=1))
+    write_idle_sessions(packets_of(arriving), f"{folder}/sessions", f"{folder}/checkpoint")
+    return as_text(spark.read.schema(SESSIONS).parquet(f"{folder}/sessions"), "ip_lo", "ip_hi")
+
+
 @query(
     "pcap_scan",
     f"""WITH {FRAMES_CTE} SELECT ts_us // 1000000 AS timestamp_s, ts_us % 1000000 AS timestamp_us,
