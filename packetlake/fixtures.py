@@ -358,11 +358,11 @@ def synth_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files -----------------------------------------------------------------
 
 
-def landed_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 4, late: str | None = None) -> None:
+def landed_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 4, late: str | None = None, folders: bool = False) -> None:
     """All events as files that arrive one after the other in time order.
 
     With ``late`` every fiftieth event comes again in the last part, so much
-    earlier in time.
+    earlier in time. With ``folders`` each part has a folder ``part=i``.
     """
     rows = events(spark, sf_dir)
     number = F.col("event_id")
@@ -372,7 +372,7 @@ def landed_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 4,
         if late and i == files - 1:
             again = rows.filter(number % 50 == 0).withColumn("ts", F.col("ts") - F.expr(f"INTERVAL {late}"))
             part = part.unionByName(again)
-        part.write.mode("append").parquet(folder)
+        part.write.mode("append").parquet(f"{folder}/part={i}" if folders else folder)
 
 
 def write_captures(frames: DataFrame, folder: str, nanoseconds: bool = False, cut: int = 0, one_file: bool = False) -> None:

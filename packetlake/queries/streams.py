@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from packetlake.fixtures import (
@@ -16,9 +18,10 @@ from packetlake.fixtures import (
     write_captures,
 )
 from packetlake.functions.clock import micros_part, seconds_part
-from packetlake.functions.flowkey import flow_key_text
+from packetlake.functions.flowkey import flow_key_text, with_normalised_key
 from packetlake.operators.decode import decode_packets
-from packetlake.operators.graph import device_nodes
+from packetlake.operators.flows import flow_stats
+from packetlake.operators.graph import device_nodes, flow_edges
 from packetlake.plans.capture import read_frames, run_capture_job
 from packetlake.plans.pretraining import pretraining_batches
 from packetlake.queries.base import FLOW_COLUMNS, FLOW_TEXT, FLOWS_CTE, PACKETS_CTE, REGISTRY, as_text, query, sql_hash
@@ -33,6 +36,7 @@ from packetlake.sources.sinks import append_payloads, write_feature_csv, write_p
 from packetlake.sources.tables import read_packet_table, read_topology
 from packetlake.streaming.dns import write_flagged_queries
 from packetlake.streaming.drain import drain, message_stream
+from packetlake.streaming.edgetable import EdgeTable
 from packetlake.streaming.sessions import SESSIONS, write_idle_sessions
 from packetlake.streaming.flows import (
     latest_flows,
@@ -65,6 +69,27 @@ def stream_graph_upsert(spark, sf_dir):
     return as_text(latest_graph(spark, f"{folder}/edges"), "src", "dst")
 
 
+def _edges_after(i: int) -> str:
+    until = f"(SELECT * FROM events WHERE event_id < (SELECT (max(event_id) + 1) / 4 * {i + 1} FROM events))"
+    return f"SELECT {i} AS batch, * FROM (WITH " + EDGES_CTE.replace("FROM events", f"FROM {until}") + " SELECT * FROM edges)"
+
+
+@query("edge_table_versions", " UNION ALL ".join(_edges_after(i) for i in range(4)))
+def edge_table_versions(spark, sf_dir):
+    """The edge table after each micro-batch, with compaction after every second delta of a bucket and the last batch repeated."""
+    folder = shared_folder(spark, "edge-table")
+    landed_events(spark, sf_dir, f"{folder}/landed", folders=True)
+    events = with_instants(spark.read.parquet(f"{folder}/landed"))
+    table = EdgeTable(spark, f"{folder}/edges", buckets=16, compact_after=2)
+    for number in (0, 1, 2, 3, 3):
+        arrived = packets_of(events.filter(F.col("part") <= number))
+        changed = packets_of(events.filter(F.col("part") == number))
+        touched = with_normalised_key(changed).select(*FLOW_KEY).distinct()
+        table.upsert(flow_edges(flow_stats(arrived).join(touched, FLOW_KEY, "left_semi")), number)
+    views = [table.view(i).select(F.lit(i).alias("batch"), "*") for i in range(4)]
+    return as_text(functools.reduce(lambda a, b: a.unionByName(b), views), "src", "dst")
+
+
 @query("stream_new_flows", f"WITH {FLOWS_CTE} SELECT {FLOW_TEXT} FROM flows")
 def stream_new_flows(spark, sf_dir):
     folder = shared_folder(spark, "stream-new")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from packetlake.functions.flowkey import with_normalised_key
 from packetlake.operators.flows import finish_flow_stats, flow_measures, partial_flow_aggregates
-from packetlake.operators.graph import EDGE_KEY, EDGE_STATS, flow_edges, upsert_edges
+from packetlake.operators.graph import flow_edges
 from packetlake.schemas import FLOW_KEY
+from packetlake.streaming.edgetable import EdgeTable
 
 
 def flow_updates(packets: DataFrame) -> DataFrame:
@@ -73,20 +74,14 @@ def latest_flows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_graph(packets: DataFrame, path: str, checkpoint: str) -> None:
-    """Keeps one edge per flow current; every micro-batch writes the next version of the table."""
+    """Keeps one edge per flow current; every micro-batch writes the buckets it changes."""
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        edges = flow_edges(batch)
-        if number > 0:
-            edges = upsert_edges(spark.read.parquet(f"{path}/version={number - 1}"), edges)
-        edges.select(*EDGE_KEY, *EDGE_STATS).write.mode("overwrite").parquet(f"{path}/version={number}")
+        EdgeTable(batch.sparkSession, path).upsert(flow_edges(batch), number)
 
     _run(flow_updates(packets), checkpoint, "update", each)
 
 
 def latest_graph(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version; older folders are pruned, not read."""
-    versions = spark.read.parquet(path)
-    newest = versions.select(F.max("version").alias("v")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+    """One edge per flow as it is now."""
+    return EdgeTable(spark, path).view()
