@@ -115,10 +115,15 @@ def _bytes(text: str) -> Column:
     return F.lit(bytes.fromhex(text))
 
 
-def synth_frames(spark: SparkSession, sf_dir: str, payload: Column | None = None, variants: bool = True) -> DataFrame:
+def synth_frames(spark: SparkSession, sf_dir: str, payload: Column | None = None, variants: bool = True, ports: dict[str, list[int]] | None = None) -> DataFrame:
     """Ethernet frames of ``synth_packets``; the payload is ``props`` unless given."""
     packets = synth_packets(spark, sf_dir)
     number, is_udp = F.col("packet_no"), F.col("protocol") == "UDP"
+    for event_type, choice in (ports or {}).items():
+        other = F.get(F.array(*[F.lit(p) for p in choice]), (number % len(choice)).cast("int"))
+        used = F.col("event_type") == event_type
+        sides = ("src_port", "dst_port")
+        packets = packets.withColumns({s: F.when(used & (F.col(s) == SERVERS[event_type][1]), other).otherwise(F.col(s)) for s in sides})
     body = F.coalesce(payload, F.lit(b"")) if payload is not None else F.encode("props", "UTF-8")
     small = number % 65536
     built = packets.select("*", body.alias("payload"), (number % 17 if variants else F.lit(16)).alias("variant"))
@@ -218,8 +223,11 @@ def ipv6_of(column: str) -> Column:
     return F.concat(_bytes("fd" + "00" * 11), F.col(column))
 
 
-def application_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames whose payload is a real message of the application on that port."""
+def application_frames(spark: SparkSession, sf_dir: str, ports: dict[str, list[int]] | None = None) -> DataFrame:
+    """Frames whose payload is a real message of the application on that port.
+
+    ``ports`` names other server ports per event type, taken in turn by packet number.
+    """
     number, kind = F.col("packet_no"), F.col("event_type")
 
     def text(*parts: Column | str) -> Column:
@@ -265,7 +273,7 @@ def application_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", F.when(number % 9 == 0, F.lit(b"")).otherwise(message))
         .otherwise(register)
     )
-    return synth_frames(spark, sf_dir, payload, variants=False)
+    return synth_frames(spark, sf_dir, payload, variants=False, ports=ports)
 
 
 # --- devices and queries ---------------------------------------------------

@@ -204,11 +204,14 @@ def blank_line_bytes(lines: str, blank: str) -> str:
     return f"aggregate(slice({lines}, 1, cast({blank} as int)), 0, (total, line) -> total + octet_length(line) + 2)"
 
 
-def http(packets: DataFrame) -> DataFrame:
+def http(packets: DataFrame, parity: bool = False) -> DataFrame:
     """HTTP start line and header length; ``parse_error`` says which check failed.
 
     A request keeps what was read before its URI or version failed. The header
     ends with the first empty line; a line feed at the very end starts no line.
+    ``query_cut`` marks queries above QUERY_MAX bytes, which are kept whole unless
+    ``parity`` asks for the cut, and ``header_cut`` headers that go on past
+    HEADER_LINES or HEADER_BYTES, whose length is not known.
     """
     texts = step(
         packets,
@@ -270,9 +273,12 @@ def http(packets: DataFrame) -> DataFrame:
         _http_header=f"IF(_web_bytes <= {HEADER_BYTES}, coalesce(_web_bytes, 0), 0)",
         _http_fields=f"""IF(_app IN ('HTTP', 'HTTPS'), named_struct(
             'content_length', cast(NULL as bigint),
-            'request_uri_query', IF(octet_length(_web_query) > {QUERY_MAX}, {short_query}, _web_query),
+            'request_uri_query', {f"IF(octet_length(_web_query) > {QUERY_MAX}, {short_query}, _web_query)" if parity else "_web_query"},
             'request_method', _web_method, 'referer', cast(NULL as string), 'request_full_uri', _web_uri,
             'request_version', IF(_web_ok, IF(_web_response, _web_1, _web_3), NULL),
             'response', coalesce(_web_response, false) AND _web_ok,
-            'parse_error', _web_error), NULL)""",
+            'parse_error', _web_error,
+            'query_cut', coalesce(octet_length(_web_query) > {QUERY_MAX}, false),
+            'header_cut', coalesce(_web_ok AND ((size(_web_lines) > {HEADER_LINES} AND NOT _web_blank BETWEEN 1 AND {HEADER_LINES})
+                OR _web_bytes > {HEADER_BYTES}), false)), NULL)""",
     )

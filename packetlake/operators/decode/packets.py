@@ -36,7 +36,7 @@ def decode_packets(
     if profile == "light":
         return _counted(decode_light(located), counts)
     checked = step(step(located, decode_error=layers.DECODE_ERROR), mask=layers.ENDPOINT_MASK)
-    packets = _assemble(_with_applications(layers.protocols(_counted(checked, counts))), parity)
+    packets = _assemble(_with_applications(layers.protocols(_counted(checked, counts)), parity), parity)
     return packets.observe(f"packets-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("packets"))
 
 
@@ -46,13 +46,13 @@ def _counted(rows: DataFrame, counts: Observation | None) -> DataFrame:
     return rows.observe(name, F.count(F.lit(1)).alias("frames"), F.count("decode_error").alias("issues"))
 
 
-def _with_applications(packets: DataFrame) -> DataFrame:
+def _with_applications(packets: DataFrame, parity: bool) -> DataFrame:
     ported = step(
         packets,
         _app=APPLICATION,
         payload="IF(_src_port IS NOT NULL, substring(data, _payload_at + 1, _payload_size), NULL)",
     )
-    return modbus(mqtt(http(dns(ported))))
+    return modbus(mqtt(http(dns(ported), parity)))
 
 
 READERS = ("dns", "mqtt", "modbus", "http")

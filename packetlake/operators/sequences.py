@@ -23,6 +23,14 @@ SEQUENCE = [*FLOW, "seq_no"]
 CHUNK = 64
 
 
+def rows_of(packets: DataFrame, label: str | None = None, flow: int | None = None) -> DataFrame:
+    """The packets of one label, of one flow, or of one flow under one label; a filter that reaches the scan."""
+    for column, value in (("AttackLabel", label), ("FlowID", flow)):
+        if value is not None:
+            packets = packets.filter(F.col(column) == value)
+    return packets
+
+
 def flow_sequences(packets: DataFrame, k: int, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Adds ``seq_no`` and ``pos``: runs of ``k`` packets, the rest of a flow left out.
 

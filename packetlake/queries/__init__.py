@@ -7,6 +7,6 @@ __all__ = ["REGISTRY", "load"]
 
 def load():
     """The full registry: name -> (callable, SQL or None)."""
-    from packetlake.queries import decoding, flows, graph, labelled, streams, tokens  # noqa: F401
+    from packetlake.queries import decoding, files, flows, graph, labelled, streams, tokens  # noqa: F401
 
     return REGISTRY

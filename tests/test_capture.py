@@ -10,6 +10,7 @@ from packetlake.plans.capture import read_frames, run_capture_job
 from packetlake.plans.sequences import training_batch, validation_batches, with_flow_id
 from packetlake.fixtures import labelled_packets, synth_frames
 from packetlake.sources.pcap import capture_damage, list_captures, open_capture, record_ranges
+from packetlake.sources.indexed import gather_rows, read_slice, write_indexed
 from packetlake.sources.sinks import append_payloads, read_payloads
 from packetlake.sources.tables import preview
 
@@ -209,3 +210,20 @@ def test_sequence_jobs(spark, sf_dir):
     drawn = training_batch(packets, 40, 8, seed=3)
     assert drawn.count() == 40 and drawn.filter((F.size("tokens") != 9) | (F.col("length") > 8)).isEmpty()
     assert with_flow_id(packets).filter("FlowID IS NULL").isEmpty()
+
+
+def test_slices_and_gathers_read_their_folders(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(2000).selectExpr("shiftleft(id, 40) AS packet_no", "id AS v")
+    write_indexed(rows.repartition(3), "packet_no", path, per_segment=100)
+    found = read_slice(spark, path, 250, 120, 100)
+    assert sorted(r.v for r in found.collect()) == list(range(250, 370))
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(segment" in scan and "PushedFilters: [IsNotNull(row_idx)" in scan
+    assert read_slice(spark, path, 1990, 50, 100).count() == 10 and read_slice(spark, path, 5000, 5, 100).isEmpty()
+    with pytest.raises(ValueError, match="slice"):
+        read_slice(spark, path, -1, 5)
+    wanted = spark.createDataFrame([(0, 5), (1, 1999), (2, 5), (3, 7000)], "draw int, row_idx long")
+    got = gather_rows(wanted, path, 100)
+    assert sorted((r.draw, r.v) for r in got.collect()) == [(0, 5), (1, 1999), (2, 5)]
+    assert "segment#" in got._jdf.queryExecution().executedPlan().toString()

@@ -184,3 +184,13 @@ def test_any_number_of_extension_headers(spark):
         frame = bytes(12) + b"\x86\xdd" + header + options + body
         (row,) = decode(spark, [frame]).select("decode_error", "src_port", "dst_port").collect()
         assert tuple(row) == (None, 40000, 80), count
+
+
+def test_http_limits_are_flagged(spark):
+    long_query = b"GET /a?" + b"q" * 5000 + b" HTTP/1.1\r\nA: b\r\n\r\n"
+    many_lines = b"GET /a?b HTTP/1.1\r\n" + b"A: b\r\n" * 250 + b"\r\n"
+    exact = b"GET /a?" + b"q" * 4096 + b" HTTP/1.1\r\n" + b"A: b\r\n" * 198 + b"\r\n"
+    frames = [ipv4(6, tcp(p)) for p in (long_query, many_lines, exact)]
+    whole, cut = ([r["http"] for r in rows_of(decode(spark, frames, **options))] for options in ({}, {"parity": True}))
+    assert [(len(h["request_uri_query"]), h["query_cut"], h["header_cut"]) for h in whole] == [(5000, True, False), (1, False, True), (4096, False, False)]
+    assert [len(h["request_uri_query"]) for h in cut] == [4096, 1, 4096] and [h["query_cut"] for h in cut] == [True, False, False]
