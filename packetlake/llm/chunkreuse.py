@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Encoding
 
 from packetlake.llm.common import maybe_member, slices, stored
 from packetlake.llm.textarrays import as_bytes, prefix_sums, span_hashes
-from packetlake.llm.wordpieces import WordPieces, word_pieces
+from packetlake.llm.wordpieces import WordPieces, pack, word_pieces
 
 #: Bytes of the rolling window, mean distance of cuts, and least size of a chunk worth sharing.
 WINDOW = 32
 MEAN_CHUNK = 256
 LEAST_CHUNK = 64
+#: Least bytes of a join on either side, longer than any added token, and ids that have to agree there.
+REACH = 24
+AGREE = 2
 NO_ID = -(1 << 63)
 
 OCCURRENCES = "doc long, text_hash long, start long, length long, h1 long, h2 long"
-ENCODED = "h1 long, h2 long, length long, head int, tail int, body binary"
+ENCODED = "h1 long, h2 long, length long, enter array<int>, leave array<int>, body binary"
 
 
 def cuts(data: np.ndarray, begins: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -69,33 +73,46 @@ def chunk_occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text_hash", "text").mapInArrow(occur, OCCURRENCES)
 
 
-def frame_of(text: bytes) -> tuple[int, int]:
-    """Bytes before the first and after the last white space; (-1, -1) without any."""
-    spaces = [text.find(c) for c in b" \n\t\r\x0b\x0c"]
-    spaces = [s for s in spaces if s >= 0]
-    if not spaces:
-        return -1, -1
-    return min(spaces), len(text) - 1 - max(text.rfind(c) for c in b" \n\t\r\x0b\x0c")
+def anchors(text: str, encoding: Encoding) -> tuple[list[int], list[int]]:
+    """Where the ids of a chunk may be entered and left: flat (ids before, bytes before) of
+    pieces at least REACH bytes from both its ends, from its begin on and from its end back
+    (the 1st, 2nd, 4th ... of them). Nearer to an end, what stands beyond it may change a piece."""
+    pieces, spans = encoding.word_ids, encoding.offsets
+    at = [i for i in range(1, len(pieces)) if pieces[i] != pieces[i - 1] and spans[i][0] >= spans[i - 1][1]]
+    size = len(text.encode())
+    if size == len(text):
+        found = [(i, spans[i][0]) for i in at]
+    else:
+        width = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        before = np.concatenate([[0], np.cumsum(1 + (width > 0x7F) + (width > 0x7FF) + (width > 0xFFFF))])
+        found = [(i, int(before[spans[i][0]])) for i in at]
+    inner = [f for f in found if REACH <= f[1] <= size - REACH]
+
+    def spread(places: list[tuple[int, int]]) -> list[int]:
+        steps = [2**n - 1 for n in range(len(places).bit_length())]
+        return [n for step in steps for n in places[step]]
+
+    return spread(inner), spread(inner[::-1])
 
 
 def encode_chunks(owners: DataFrame, tokenizer: str) -> DataFrame:
-    """The ids between the outer white spaces of each chunk that ``owners`` (text, chunks) lists."""
+    """Ids and anchors of each chunk that ``owners`` (text, chunks) lists, encoded by itself."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_pieces(tokenizer)
+        library = word_pieces(tokenizer).tokenizer
         for batch in batches:
-            rows, bodies = [], []
+            rows = []
             for text, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
                 for chunk in chunks:
-                    part = raw[chunk["start"] : chunk["start"] + chunk["length"]]
-                    head, tail = frame_of(part)
-                    rows.append((chunk["h1"], chunk["h2"], chunk["length"], head, tail))
-                    bodies.append("" if head < 0 else part[head : len(part) - tail].decode())
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+                    part = raw[chunk["start"] : chunk["start"] + chunk["length"]].decode()
+                    encoding = library.encode(part, add_special_tokens=False)
+                    rows.append((chunk["h1"], chunk["h2"], chunk["length"], *anchors(part, encoding), narrow(pack(encoding.ids))))
             if rows:
-                packed = [narrow(ids) for ids in encoder.encode(bodies)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], ["h1", "h2", "length", "head", "tail", "body"])
+                places = pa.list_(pa.int32())
+                types = (pa.int64(), pa.int64(), pa.int64(), places, places, pa.binary())
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "length", "enter", "leave", "body"])
 
     return owners.mapInArrow(encode, ENCODED)
 
@@ -114,26 +131,76 @@ def widen(packed: bytes) -> bytes:
     return np.frombuffer(packed, "<u2", offset=1).astype("<u4").tobytes()
 
 
-def joined(raw: bytes, chunks: list[dict]) -> list[str | bytes]:
-    """A text as strings still to encode and ids of shared chunks, in order.
+def pairs(flat: list[int]) -> list[tuple[int, int]]:
+    return list(zip(flat[::2], flat[1::2]))
+
 
-    At each join of chunks the text from the last white space before it to the
-    first one after it is encoded again. If a chunk has no white space the span
-    grows over it, until both ends stand at white space: there the ids of either
-    side agree with those of the whole text, as no piece crosses white space.
+class Joiner:
+    """The ids of one text from those of its shared chunks, in order.
+
+    A join is the text between two chunks with some of the ids on both sides. It
+    is encoded again, first from the nearest anchors. Its first ids have to be
+    those of the chunk before it from that anchor on, and its last ids those of
+    the chunk behind it up to that anchor; a side that disagrees moves to its next
+    anchor, further inside its chunk. A chunk whose anchors all disagree is
+    encoded again as part of the join.
     """
-    parts: list[str | bytes] = []
-    open_from, at = 0, 0  # where the text begins that is not yet covered
+
+    def __init__(self, raw: bytes, encode: Callable[[str], bytes]):
+        self.raw, self.encode = raw, encode
+        self.parts: list[bytes] = []
+        # The chunk before the join: its ids, how many are replaced at its begin, the place behind those, and its anchors.
+        self.ids, self.used, self.used_at, self.leave = b"", 0, 0, []
+        self.end = 0
+
+    def window(self, side: int, until: int) -> tuple[bytes, bool]:
+        """The join's ids from an anchor of the chunk before it, and whether they agree with that chunk."""
+        if side == len(self.leave):  # where that chunk was entered: settled already
+            return self.encode(self.raw[self.used_at : until].decode()), True
+        index, at = self.leave[side]
+        ids = self.encode(self.raw[at:until].decode())
+        expected = self.ids[4 * index : 4 * (index + AGREE)]
+        return ids, ids[: len(expected)] == expected
+
+    def settle(self, side: int, ids: bytes) -> None:
+        index = self.used if side == len(self.leave) else self.leave[side][0]
+        self.parts += [self.ids[4 * self.used : 4 * index], ids]
+
+    def add(self, chunk: dict) -> None:
+        if chunk["start"] < self.end:
+            return
+        body, enter = widen(chunk["body"]), pairs(chunk["enter"])
+        before = after = 0
+        while after < len(enter):
+            index, at = enter[after]
+            ids, agrees = self.window(before, chunk["start"] + at)
+            expected = body[4 * max(0, index - AGREE) : 4 * index]
+            if agrees and ids.endswith(expected):
+                break
+            after += not ids.endswith(expected)
+            before += not agrees
+        else:
+            return  # its text becomes part of the next join
+        self.settle(before, ids)
+        self.ids, self.used, self.used_at = body, index, chunk["start"] + at
+        self.leave = [(i, chunk["start"] + p) for i, p in pairs(chunk["leave"]) if i > index]
+        self.end = chunk["start"] + chunk["length"]
+
+    def finish(self) -> bytes:
+        for side in range(len(self.leave) + 1):
+            ids, agrees = self.window(side, len(self.raw))
+            if agrees:
+                self.settle(side, ids)
+                break
+        return b"".join(self.parts)
+
+
+def joined(raw: bytes, chunks: list[dict], encode: Callable[[str], bytes]) -> bytes:
+    """Packed ids of a text of which ``chunks`` (start, length, enter, leave, body) are known."""
+    joiner = Joiner(raw, encode)
     for chunk in sorted(chunks, key=lambda c: c["start"]):
-        start, head, tail = chunk["start"], chunk["head"], chunk["tail"]
-        if start < at or head < 0:
-            continue
-        parts.append(raw[open_from : start + head].decode())
-        parts.append(widen(chunk["body"]))
-        at = start + chunk["length"]
-        open_from = at - tail
-    parts.append(raw[open_from:].decode())
-    return parts
+        joiner.add(chunk)
+    return joiner.finish()
 
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -141,8 +208,9 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Chunks end where a rolling hash of the text says so, so equal passages give
     equal chunks wherever they stand. A chunk met more than once is encoded in
-    the document that holds it first and sent to the others; the rest of each
-    text is encoded in its own task. Only documents that may hold a shared chunk
+    the document that holds it first and sent to the others; joins of chunks are
+    encoded again until their ids agree with the chunks on both sides, and the
+    rest of each text is encoded in its own task. Only documents that may hold a shared chunk
     leave their task. Null text is empty; repeated rows stay rows; other columns
     are not read.
     """
@@ -172,7 +240,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         shared.distinct()
         .join(encoded, ["h1", "h2", "length"])
         .groupBy("doc", "text_hash")
-        .agg(F.collect_list(F.struct("start", "length", "head", "tail", "body")).alias("chunks"))
+        .agg(F.collect_list(F.struct("start", "length", "enter", "leave", "body")).alias("chunks"))
     )
     some, others = with_lists(stored(places, "places"))
 
@@ -181,15 +249,12 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 part = batch.slice(low, high - low)
-                texts = [
-                    [text] if not chunks else joined(text.encode(), chunks)
-                    for text, chunks in zip(part.column(1).to_pylist(), part.column(2).to_pylist())
-                ]
-                fresh = iter(encoder.encode([p for text in texts for p in text if isinstance(p, str)]))
-                ids = [b"".join([next(fresh) if isinstance(p, str) else p for p in text]) for text in texts]
+                texts, lists = part.column(1).to_pylist(), part.column(2).to_pylist()
+                fresh = iter(encoder.encode([text for text, chunks in zip(texts, lists) if not chunks]))
+                ids = [joined(text.encode(), chunks, lambda t: encoder.encode([t])[0]) if chunks else next(fresh) for text, chunks in zip(texts, lists)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    empty = F.array().cast("array<struct<start:bigint,length:bigint,head:int,tail:int,body:binary>>").alias("chunks")
+    empty = F.array().cast("array<struct<start:bigint,length:bigint,enter:array<int>,leave:array<int>,body:binary>>").alias("chunks")
     everything = some.select("doc_id", "text", "chunks").unionByName(others.select("doc_id", "text", empty))
     return everything.mapInArrow(assemble, "doc_id long, ids binary")
 

@@ -34,8 +34,7 @@ class WordPieces:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     The vocabularies meant here drop white space and never join pieces across
-    it, so a text's ids are those of its words in order. ``checked`` compares
-    that with the library on probe texts. Ids are little-endian unsigned 32-bit.
+    it, so a text's ids are those of its words in order. Ids are little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str):
