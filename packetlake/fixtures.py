@@ -363,6 +363,18 @@ def synth_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def synth_token_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as eight positions with eight class scores each, about a fifth of them masked."""
+    scores = F.col("embedding").cast("array<double>")
+    places = F.sequence(F.lit(0), F.lit(7))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.transform(places, lambda i: F.slice(scores, i * 8 + 1, 8)).alias("logits"),
+        F.transform(places, lambda i: (F.col("vec_id") + i) % 8).alias("targets"),
+        F.transform(places, lambda i: (F.col("vec_id") * 3 + i) % 5 == 0).alias("masked"),
+    )
+
+
 # --- files -----------------------------------------------------------------
 
 

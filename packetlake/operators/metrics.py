@@ -41,7 +41,7 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     """Negative log-probability of the target class."""
     top = F.array_max(logits)
     total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.log(total) + top - F.element_at(logits, (target + 1).cast("int"))
+    return F.log(total) + (top - F.element_at(logits, (target + 1).cast("int")))
 
 
 def accuracy(predictions: DataFrame, predicted: str = "predicted", actual: str = "label") -> DataFrame:
@@ -57,3 +57,49 @@ def weighted_loss(predictions: DataFrame, alpha_class: float = 4.0, alpha_recons
     )
     total = F.col("class_loss") * alpha_class + F.col("reconstruction_loss") * alpha_reconstruction
     return losses.withColumn("total_loss", total)
+
+
+def masked_positions(predictions: DataFrame, logits: str, targets: str, masked: str, *keep: str) -> DataFrame:
+    """One row per masked position: ``keep``, ``pos``, ``hit`` and its cross-entropy ``loss``.
+
+    ``logits`` holds one array of class scores per position, ``targets`` the class
+    numbers, ``masked`` true where the position counts. Positions that are not
+    masked are left out before anything is unfolded. So are those without a
+    target among their scores: there is nothing to compare.
+    """
+    places = F.filter(
+        F.sequence(F.lit(0), F.size(masked) - 1),
+        lambda i: F.coalesce(F.get(masked, i), F.lit(False)) & F.get(targets, i).between(0, F.size(F.get(logits, i)) - 1),
+    )
+    entries = F.transform(places, lambda i: F.struct(i.alias("pos"), F.get(logits, i).alias("scores"), F.get(targets, i).alias("target")))
+    some = predictions.filter(F.size(masked) > 0).select(*keep, F.explode(entries).alias("at"))
+    scores, target = F.col("at.scores"), F.col("at.target")
+    return some.select(
+        *keep, "at.pos", (predicted_class(scores) == target).alias("hit"), cross_entropy(scores, target).alias("loss")
+    )
+
+
+def position_quality(positions: DataFrame, *by: str) -> DataFrame:
+    """Accuracy and mean loss over the rows of ``masked_positions``, per value of ``by``.
+
+    Losses are summed as decimals of 15 places: such sums are exact, so neither
+    their order nor the partitioning changes the mean, and they combine before
+    the shuffle. ``unbounded`` counts losses that are infinite, not a number or
+    above 1e12; they stay out of the mean.
+    """
+    bounded = F.abs("loss") <= 1e12
+    hit = F.when(F.col("hit"), 1).otherwise(0)
+    sums = positions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(hit).alias("hits"),
+        F.sum(F.when(bounded, F.col("loss").cast("decimal(28,15)"))).alias("__loss"),
+        F.count(F.when(bounded, True)).alias("__bounded"),
+    )
+    return sums.select(
+        *by,
+        "n",
+        "hits",
+        (F.col("hits") / F.col("n")).alias("accuracy"),
+        (F.col("__loss").cast("double") / F.nullif(F.col("__bounded"), F.lit(0))).alias("loss"),
+        (F.col("n") - F.col("__bounded")).alias("unbounded"),
+    )

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetlake.fixtures import application_frames, labelled_packets, synth_frames
+from packetlake.fixtures import application_frames, events, labelled_packets, synth_frames
 from packetlake.functions.tokens import encode_tokens
-from packetlake.operators import sampling, sequences
+from packetlake.operators import permutation, sampling, sequences
 from packetlake.operators.decode import decode_packets
 from packetlake.operators.dns import with_retransmissions
 from packetlake.operators.features import csv_projection, flatten_features
 from packetlake.plans.capture import run_capture_job
 from packetlake.plans.sequences import with_flow_id
-from packetlake.queries.base import PACKETS_CTE, REGISTRY, query
+from packetlake.queries.base import PACKETS_CTE, REGISTRY, query, sql_hash
 from packetlake.queries.decoding import APPS_CTE, FLAT_ALL_SQL, FLAT_COLUMNS, _plain_name, _plain_names
 from packetlake.queries.labelled import BATCH, ROWS_CTE, SEED, SHUFFLED
 from packetlake.queries.tokens import EOS_SQL, SEGMENTS_CTE, SOS_SQL
@@ -186,3 +186,41 @@ def row_gather(spark, sf_dir):
     places = spark.read.parquet(folder).select("packet_no", "row_idx")
     batches = sampling.epoch_batches(packets, "packet_no", BATCH, SEED).join(places, "packet_no").drop("packet_no")
     return _shown(gather_rows(batches, folder, 256))
+
+
+def _round_sql(number: int) -> str:
+    moving, fixed, side = ("y", "x", "b") if number % 2 else ("x", "y", "a")
+    moved = f"({moving} + {sql_hash(SEED, str(number), fixed)} % {side}) % {side} AS {moving}"
+    return f"SELECT i, n, a, b, {fixed}, {moved} FROM "
+
+
+def _scrambled_sql(source: str) -> str:
+    nested = f"(SELECT i, n, a, b, z % a AS x, z // a AS y FROM {source})"
+    for number in range(permutation.ROUNDS):
+        nested = f"({_round_sql(number)} {nested})"
+    return f"SELECT i, n, a, b, x + y * a AS z FROM {nested}"
+
+
+PERMUTED_SQL = f"""WITH RECURSIVE size AS (SELECT n, a, (n + a - 1) // a AS b FROM (
+    SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM events)),
+  walk AS (SELECT i, n, a, b, i AS z, 0 AS step FROM range((SELECT n FROM size)) t(i), size
+    UNION ALL SELECT *, 1 FROM ({_scrambled_sql("(SELECT * FROM walk WHERE step = 0 OR z >= n)")}) q),
+  placed AS (SELECT i, z FROM walk WHERE step = 1 AND z < n)"""
+
+
+@query("epoch_permuted", f"{PERMUTED_SQL} SELECT event_id, z // {BATCH} AS batch_id, z % {BATCH} AS pos FROM placed JOIN {INDEXED_SQL} ON i = row_idx")
+def epoch_permuted(spark, sf_dir):
+    """An epoch in the order of a keyed permutation of row numbers."""
+    return permutation.permuted_batches(events(spark, sf_dir), "event_id", BATCH, SEED)
+
+
+@query(
+    "epoch_drawn_batches",
+    f"{PERMUTED_SQL} SELECT z // {BATCH} AS batch_id, z % {BATCH} AS pos, row_idx, {LABELLED_SQL} FROM placed JOIN {INDEXED_SQL} ON i = row_idx WHERE z // {BATCH} BETWEEN 2 AND 5",
+)
+def epoch_drawn_batches(spark, sf_dir):
+    """Four batches of that epoch, found by the inverse permutation in a table stored by position."""
+    folder = shared_folder(spark, "indexed")
+    packets = labelled_packets(spark, sf_dir)
+    write_indexed(packets, "packet_no", folder, per_segment=256)
+    return _shown(permutation.drawn_batches(spark, folder, packets.count(), BATCH, SEED, 2, 4, per_segment=256))

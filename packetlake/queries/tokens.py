@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetlake.fixtures import SEGMENT_BYTES, document_segments, synth_frames, synth_packets, synth_predictions, table
+from packetlake.fixtures import SEGMENT_BYTES, document_segments, synth_frames, synth_packets, synth_predictions, synth_token_predictions, table
 from packetlake.functions.ids import host_pair_id, unordered_id
 from packetlake.functions.tokens import (
     MIX,
@@ -22,7 +22,7 @@ from packetlake.functions.tokens import (
     slot_vector,
 )
 from packetlake.operators.decode import decode_packets
-from packetlake.operators.metrics import accuracy, predicted_class, weighted_loss
+from packetlake.operators.metrics import accuracy, masked_positions, position_quality, predicted_class, weighted_loss
 from packetlake.queries.base import PACKETS_CTE, query
 from packetlake.queries.decoding import FRAMES_CTE, V6_SQL
 
@@ -195,10 +195,10 @@ def cls_pooling(spark, sf_dir):
     return pooled.select("vec_id", F.element_at("v", 1).alias("x"), F.element_at("v", 2).alias("y"))
 
 
-@query("slot_gather", "SELECT vec_id, CAST(embedding[vec_id % 60 + 1] AS DOUBLE) AS slot FROM embeddings")
+@query("slot_gather", "SELECT vec_id, CAST(embedding[vec_id % len(embedding) + 1] AS DOUBLE) AS slot FROM embeddings")
 def slot_gather(spark, sf_dir):
     vectors = F.col("embedding").cast("array<double>")
-    return table(spark, sf_dir, "embeddings").select("vec_id", slot_vector(vectors, F.col("vec_id") % 60).alias("slot"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", slot_vector(vectors, F.col("vec_id") % F.size("embedding")).alias("slot"))
 
 
 @query(
@@ -222,3 +222,18 @@ def weighted_loss_query(spark, sf_dir):
     loss = weighted_loss(synth_predictions(spark, sf_dir))
     return loss.select(*[F.round(c, 6).alias(c) for c in loss.columns])
 
+
+@query(
+    "masked_position_quality",
+    """WITH p AS (SELECT vec_id, i AS pos, list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda x: CAST(x AS DOUBLE)) AS e, (vec_id + i) % 8 AS target
+      FROM embeddings, range(8) t(i) WHERE (vec_id * 3 + i) % 5 = 0),
+    s AS (SELECT pos, list_position(e, list_max(e)) - 1 = target AS hit, ln(list_sum(list_transform(e, lambda x: exp(x)))) - e[target + 1] AS loss FROM p)
+    SELECT pos, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 9) AS accuracy,
+      round(avg(loss), 6) AS loss, 0 AS unbounded FROM s GROUP BY pos
+    UNION ALL SELECT -1, count(*), count(*) FILTER (WHERE hit), round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 9), round(avg(loss), 6), 0 FROM s""",
+)
+def masked_position_quality(spark, sf_dir):
+    """Per masked position, and over all of them as position -1."""
+    positions = masked_positions(synth_token_predictions(spark, sf_dir), "logits", "targets", "masked")
+    both = position_quality(positions, "pos").unionByName(position_quality(positions).withColumn("pos", F.lit(-1)))
+    return both.withColumns({"accuracy": F.round("accuracy", 9), "loss": F.round("loss", 6)})
