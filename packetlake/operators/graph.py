@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetlake.functions.draws import keyed_hash
 from packetlake.functions.net import address_scope, ipv4_from_text, node_label
 from packetlake.operators.flows import seen_ips
 from packetlake.operators.skew import SALTS, join_salted
@@ -156,6 +157,58 @@ def flows_by_device(flows: DataFrame, controls: DataFrame, salts: int = SALTS) -
     return result
 
 
+def device_sets(controls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Addresses with the number of their set of devices, and the sets.
+
+    The first table has ``address, set_id``, one row per address; the second
+    ``set_id, name``. Addresses with the same devices share a set, which is known
+    by the smallest of them, so its names are stored once. Sets are compared by
+    their size and two sums of independent 60-bit numbers of the names: no set
+    is gathered, however many devices an address has.
+    """
+    named = controls.select("address", "name").filter("address IS NOT NULL AND name IS NOT NULL").distinct()
+    sums = [F.sum(keyed_hash(seed, F.col("name")).cast("decimal(20,0)")).alias(f"__s{seed}") for seed in (0, 1)]
+    marks = named.groupBy("address").agg(F.count(F.lit(1)).alias("__n"), *sums)
+    same = marks.groupBy("__n", "__s0", "__s1").agg(F.min("address").alias("set_id"))
+    numbered = marks.join(same, ["__n", "__s0", "__s1"]).select("address", "set_id")
+    return numbered, named.join(same.select(F.col("set_id").alias("address")), "address").withColumnRenamed("address", "set_id")
+
+
+def with_device_sets(flows: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Every flow once, with the sets of devices that control its ends, NULL for none.
+
+    A flow between addresses of ``m`` and ``n`` devices stays one row, not ``m * n``.
+    """
+    result = flows
+    for end, name in (("ip_lo", "devices_lo"), ("ip_hi", "devices_hi")):
+        result = result.join(addresses.select(F.col("address").alias(end), F.col("set_id").alias(name)), end, "left")
+    return result.select(*flows.columns, "devices_lo", "devices_hi")
+
+
+def expand_device_sets(flows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``flows_by_device`` from ``with_device_sets``; filter first, as this makes every pairing."""
+    result = flows
+    for given, name in (("devices_lo", "device_lo"), ("devices_hi", "device_hi")):
+        result = result.join(sets.select(F.col("set_id").alias(given), F.col("name").alias(name)), given, "left")
+    return result.drop("devices_lo", "devices_hi")
+
+
+def device_traffic(flows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Flows, packets and bytes per device and end of the flow, from ``with_device_sets``.
+
+    Flows are summed per set before names are joined, so the work does not grow
+    with the number of devices of a busy address.
+    """
+    ends = F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"devices_{e}").alias("set_id")) for e in ("lo", "hi")]))
+    numbers = {
+        "packets": F.col("fwd_packet_count") + F.col("bwd_packet_count"),
+        "bytes": F.col("fwd_byte_count") + F.col("bwd_byte_count"),
+    }
+    per_end = flows.select(ends.alias("__e"), *[c.alias(n) for n, c in numbers.items()]).filter("__e.set_id IS NOT NULL")
+    per_set = per_end.groupBy("__e.end", "__e.set_id").agg(F.count(F.lit(1)).alias("flows"), *[F.sum(n).alias(n) for n in numbers])
+    return per_set.join(sets, "set_id").groupBy("name", "end").agg(*[F.sum(n).alias(n) for n in ("flows", *numbers)])
+
+
 # --- small graph queries ---------------------------------------------------
 
 

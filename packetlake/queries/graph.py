@@ -8,7 +8,7 @@ from packetlake.fixtures import dns_queries, synth_devices, synth_packets
 from packetlake.operators import graph as ops
 from packetlake.operators.dns import flag_retransmissions
 from packetlake.operators.flows import flow_stats
-from packetlake.queries.base import FLOW_COLUMNS, FLOW_TEXT, FLOWS_CTE, PACKETS_CTE, as_text, query, sql_ip
+from packetlake.queries.base import FLOW_COLUMNS, FLOW_TEXT, FLOWS_CTE, PACKETS_CTE, as_text, REGISTRY, query, sql_ip
 from packetlake.queries.flows import SCOPE_SQL
 
 EDGE_SQL = """label, src, dst, protocol, src_port, dst_port, fwd_packet_count, bwd_packet_count, fwd_byte_count,
@@ -146,6 +146,27 @@ def flows_by_device(spark, sf_dir):
     return as_text(named.select(*FLOW_COLUMNS.split(", "), "device_lo", "device_hi", packets), "ip_lo", "ip_hi")
 
 
+@query("flows_by_device_sets", REGISTRY["flows_by_device"][1])
+def flows_by_device_sets(spark, sf_dir):
+    """The rows of ``flows_by_device``, from flows that carry numbers of device sets."""
+    addresses, sets = ops.device_sets(ops.device_controls(synth_devices(spark, sf_dir)))
+    flows = ops.with_device_sets(flow_stats(synth_packets(spark, sf_dir)), addresses)
+    packets = (F.col("fwd_packet_count") + F.col("bwd_packet_count")).alias("packets")
+    named = ops.expand_device_sets(flows, sets)
+    return as_text(named.select(*FLOW_COLUMNS.split(", "), "device_lo", "device_hi", packets), "ip_lo", "ip_hi")
+
+
+@query(
+    "device_traffic",
+    f"""WITH {FLOWS_CTE}, {CONTROLS_CTE}, ends AS (SELECT 'lo' AS "end", ip_lo AS ip, * FROM flows UNION ALL SELECT 'hi', ip_hi, * FROM flows)
+    SELECT name, "end", count(*) AS flows, CAST(sum(fwd_packet_count + bwd_packet_count) AS BIGINT) AS packets,
+      CAST(sum(fwd_byte_count + bwd_byte_count) AS BIGINT) AS bytes FROM ends JOIN controls ON ip = a GROUP BY 1, 2""",
+)
+def device_traffic(spark, sf_dir):
+    addresses, sets = ops.device_sets(ops.device_controls(synth_devices(spark, sf_dir)))
+    return ops.device_traffic(ops.with_device_sets(flow_stats(synth_packets(spark, sf_dir)), addresses), sets)
+
+
 @query(
     "person_nodes",
     "SELECT c_custkey AS id, 'Person_' || c_custkey AS name, c_custkey + 20 AS age, c_custkey % 2 = 0 AS active FROM customer",
