@@ -34,7 +34,7 @@ from packetlake.session import shared_folder
 from packetlake.sources.pcap import capture_damage
 from packetlake.sources.sinks import append_payloads, write_feature_csv, write_packet_table
 from packetlake.sources.tables import read_packet_table, read_topology
-from packetlake.streaming.dns import write_flagged_queries
+from packetlake.streaming.dns import write_flagged_queries, write_repeated_queries
 from packetlake.streaming.drain import drain, message_stream
 from packetlake.streaming.edgetable import EdgeTable
 from packetlake.streaming.sessions import SESSIONS, write_idle_sessions
@@ -114,6 +114,14 @@ def stream_dns_retransmit(spark, sf_dir):
     return flagged.select("packet_no", "qry_name", "dns_retransmit", "dns_retransmit_request_in")
 
 
+@query("stream_dns_slots", REGISTRY["dns_retransmit"][1])
+def stream_dns_slots(spark, sf_dir):
+    """The same flags from keyed state that expires with the watermark."""
+    folder = shared_folder(spark, "stream-dns")
+    write_repeated_queries(queries_of(_arriving(spark, sf_dir, folder)), f"{folder}/flagged", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/flagged").select("packet_no", "qry_name", "dns_retransmit", "dns_retransmit_request_in")
+
+
 @query("session_windows", "SELECT * EXCLUDE (session_no) FROM (" + REGISTRY["flow_sessions_300s"][1] + ")")
 def session_windows(spark, sf_dir):
     return as_text(session_updates(synth_packets(spark, sf_dir)), "ip_lo", "ip_hi")

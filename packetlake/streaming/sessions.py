@@ -10,9 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from packetlake.operators.flows import SESSION_GAP_US, flow_measures
 from packetlake.schemas import FLOW_KEY
+from packetlake.streaming.state import append_with_state
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATS = ["first_seen_us", "last_seen_us", "packets", "bytes"]
 SESSIONS = "ip_lo binary, ip_hi binary, port_lo int, port_hi int, protocol string, " + ", ".join(f"{c} long" for c in STATS)
 
@@ -88,17 +87,4 @@ def idle_sessions(packets: DataFrame, gap_us: int = SESSION_GAP_US, delay: str =
 
 def write_idle_sessions(packets: DataFrame, path: str, checkpoint: str, gap_us: int = SESSION_GAP_US, delay: str = "10 minutes") -> None:
     """Drains the stream; every closed session is appended exactly once."""
-    spark = packets.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)  # read where the query starts, and kept in its checkpoint
-    query = (
-        idle_sessions(packets, gap_us, delay)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
-    query.awaitTermination()
+    append_with_state(idle_sessions(packets, gap_us, delay), path, checkpoint)

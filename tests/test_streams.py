@@ -7,6 +7,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from packetlake.operators.graph import EDGE_KEY, EDGE_STATS, upsert_edges
+from packetlake.operators.dns import flag_retransmissions
+from packetlake.streaming.dns import write_repeated_queries
 from packetlake.streaming.edgetable import EdgeTable
 from packetlake.streaming.sessions import SESSIONS, idle_sessions, write_idle_sessions
 
@@ -95,3 +97,31 @@ def test_packets_combine_before_the_state(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     plan = idle_sessions(stream)._jdf.queryExecution().analyzed().toString()
     assert plan.index("TransformWithState") < plan.index("Aggregate") < plan.index("StreamingRelation")
+
+
+def test_dns_state_equals_the_batch_operator_and_expires(spark, tmp_path):
+    start, rnd = datetime(2024, 1, 1, tzinfo=timezone.utc), random.Random(3)
+    schema = "packet_no long, ts timestamp, qry_name string, qry_type int, qry_class int"
+    rows, number = [], 0
+    for part in range(4):
+        batch = []
+        for _ in range(200):
+            number += 1
+            # Whole seconds give ties; a third of all rows ask one name; one type is null.
+            at = start + timedelta(seconds=1800 * part + rnd.randrange(600))
+            batch.append((number, at, "hot" if rnd.random() < 0.33 else f"n{rnd.randrange(40)}", rnd.choice([1, 28, None]), 1))
+        rows += batch
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    progress = write_repeated_queries(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    flags = ("packet_no", "dns_retransmit", "dns_retransmit_request_in")
+    got = sorted(tuple(r[c] for c in flags) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    expected = sorted(tuple(r[c] for c in flags) for r in flag_retransmissions(spark.createDataFrame(rows, schema)).collect())
+    assert got == expected and sum(r[1] for r in got) > 100
+    # After every part the slots of the parts before it are gone.
+    held = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
+    assert len(held) >= 4 and max(held[1:]) <= 2 * held[0]
+    late = [(9001, start, "hot", 1, 1), (9002, start + timedelta(seconds=7300), "hot", 1, 1)]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write_repeated_queries(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    assert {r.packet_no for r in spark.read.parquet(str(tmp_path / "out")).filter("packet_no > 9000").collect()} == {9002}
