@@ -276,6 +276,49 @@ def application_frames(spark: SparkSession, sf_dir: str, ports: dict[str, list[i
     return synth_frames(spark, sf_dir, payload, variants=False, ports=ports)
 
 
+def dns_answer_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of signups with DNS answers, sound and broken, in turn by packet number.
+
+    0 an address behind a pointer to the question; 1 an alias that ends in a pointer
+    into the question, and an address of the name in that record; 2 data beyond the
+    end; 3 a name that points at itself; 4 a record less than counted; 5 an address
+    of five bytes; 6 a label followed by a pointer back to it; 7 name servers and
+    additional records, and bytes behind them.
+    """
+    number, turn = F.col("packet_no"), F.col("packet_no") % 8
+    user = F.encode(F.concat(F.lit("user"), F.col("user_id").cast("string")), "UTF-8")
+    name = F.concat(_number(F.length(user), 1), user, F.lit(b"\x07example\x00"))
+    behind = F.length(name) + 16
+
+    def pointer(place: Column | int) -> Column:
+        return _number(F.lit(0xC000) + place, 2)
+
+    def record(owner: Column, kind: int, data: Column, size: Column | None = None) -> Column:
+        head = F.concat(_number(F.lit(kind), 2), _bytes("0001"), _number(number % 1000, 4))
+        return F.concat(owner, head, _number(F.length(data) if size is None else size, 2), data)
+
+    address = F.concat(_bytes("0a"), _number(number % 16777216, 3))
+    of_question = record(pointer(12), 1, address)
+    alias = F.concat(F.lit(b"\x01w"), pointer(F.length(user) + 13))
+    sixth = F.concat(_bytes("fd" + "00" * 11), address)
+    server = record(F.lit(b"\x07example\x00"), 2, F.concat(F.lit(b"\x02ns"), pointer(F.length(user) + 13)))
+    cases = [
+        ("0001", "00000000", of_question),
+        ("0002", "00000000", F.concat(record(pointer(12), 5, alias), record(pointer(behind + 12), 28, sixth))),
+        ("0001", "00000000", record(pointer(12), 1, address, F.lit(400))),
+        ("0001", "00000000", record(pointer(behind), 1, address)),
+        ("0002", "00000000", of_question),
+        ("0001", "00000000", record(pointer(12), 1, F.concat(address, _bytes("00")))),
+        ("0001", "00000000", record(F.concat(F.lit(b"\x01l"), pointer(behind)), 1, address)),
+        ("0000", "00010001", F.concat(server, record(pointer(behind + 19), 1, address), _bytes("ffff"))),
+    ]
+    message = None
+    for i, (answers, others, body) in enumerate(cases):
+        parts = F.concat(_number(number % 65536, 2), _bytes("81800001" + answers + others), name, _bytes("00010001"), body)
+        message = F.when(turn == i, parts) if message is None else message.when(turn == i, parts)
+    return synth_frames(spark, sf_dir, F.when(F.col("event_type") == "signup", message), variants=False)
+
+
 # --- devices and queries ---------------------------------------------------
 
 

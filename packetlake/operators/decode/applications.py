@@ -8,7 +8,9 @@ the protocol name is added to the hierarchy.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from packetlake.operators.decode.dnsmessage import walk_messages
 from packetlake.operators.decode.sqltext import any_of, case, piece, step, u8, u16
 
 # Application names by port, first match wins (fixed values).
@@ -68,12 +70,18 @@ def _question_name() -> str:
     return f"IF(_dns_message IS NOT NULL, aggregate({steps}, {begin}, (s, i) -> {advance}), NULL)"
 
 
-def dns(packets: DataFrame) -> DataFrame:
+# The four counts of a message with one question and nothing else.
+ONE_QUESTION = "X'0001000000000000'"
+
+
+def dns(packets: DataFrame, records: bool = False) -> DataFrame:
     """DNS or multicast DNS question.
 
     Not named where there is no question or it asks for a unicast answer;
     ``rfc_compatible`` is false where the question cannot be read. Over TCP the
-    message follows a two-byte length.
+    message follows a two-byte length. With ``records`` messages that hold more
+    than one question are read to their end, and a fault anywhere makes the
+    message unreadable.
     """
     messages = step(
         packets, _dns_message="IF(_app IN ('DNS', 'MDNS'), IF(_transport = 'TCP', substring(payload, 3), payload), NULL)"
@@ -82,9 +90,14 @@ def dns(packets: DataFrame) -> DataFrame:
     tail = step(
         walked, _dns_type=u16("_dns_message", "_dns_name.at"), _dns_class=u16("_dns_message", "_dns_name.at + 2")
     )
+    sound = "true"
+    if records:
+        more = F.expr(f"IF(substring(_dns_message, 5, 8) <> {ONE_QUESTION}, _dns_message, NULL)")
+        tail = tail.withColumn("_dns_walk", walk_messages(more))
+        sound = "_dns_walk.fault IS NULL"
     judged = step(
         tail,
-        _dns_readable=f"""coalesce(_dns_name.ok AND length(_dns_message) >= _dns_name.at + 4
+        _dns_readable=f"""coalesce({sound} AND _dns_name.ok AND length(_dns_message) >= _dns_name.at + 4
             AND _dns_name.at <= {DNS_HEADER + DNS_MAX_NAME} AND _dns_class & {0x7FFF} IN ({any_of(DNS_CLASSES)}), false)""",
     )
     return step(

@@ -18,13 +18,19 @@ PROFILES = ("full", "light")
 
 
 def decode_packets(
-    frames: DataFrame, profile: str = "full", parity: bool = False, counts: Observation | None = None
+    frames: DataFrame,
+    profile: str = "full",
+    parity: bool = False,
+    counts: Observation | None = None,
+    dns_records: bool = False,
 ) -> DataFrame:
     """Decodes ``frames(packet_no, ts, data)``; no row is dropped.
 
     A frame that gives no packet has ``decode_error`` set and no protocol fields.
     The ``light`` profile gives mask, header length and hierarchy only. ``counts``
     receives the numbers of frames and of failed frames once an action has run.
+    ``dns_records`` reads DNS messages to their end, in Arrow batches, and adds
+    their ``dns_records`` and the ``dns_fault`` that stopped the reading.
 
     Counting is also what keeps the plan small: a filter on a decoded field stops
     at the counters. Pushed further down it would be rewritten in terms of the raw
@@ -36,7 +42,8 @@ def decode_packets(
     if profile == "light":
         return _counted(decode_light(located), counts)
     checked = step(step(located, decode_error=layers.DECODE_ERROR), mask=layers.ENDPOINT_MASK)
-    packets = _assemble(_with_applications(layers.protocols(_counted(checked, counts)), parity), parity)
+    applied = _with_applications(layers.protocols(_counted(checked, counts)), parity, dns_records)
+    packets = _assemble(applied, parity, dns_records)
     return packets.observe(f"packets-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("packets"))
 
 
@@ -46,19 +53,19 @@ def _counted(rows: DataFrame, counts: Observation | None) -> DataFrame:
     return rows.observe(name, F.count(F.lit(1)).alias("frames"), F.count("decode_error").alias("issues"))
 
 
-def _with_applications(packets: DataFrame, parity: bool) -> DataFrame:
+def _with_applications(packets: DataFrame, parity: bool, dns_records: bool) -> DataFrame:
     ported = step(
         packets,
         _app=APPLICATION,
         payload="IF(_src_port IS NOT NULL, substring(data, _payload_at + 1, _payload_size), NULL)",
     )
-    return modbus(mqtt(http(dns(ported), parity)))
+    return modbus(mqtt(http(dns(ported, dns_records), parity)))
 
 
 READERS = ("dns", "mqtt", "modbus", "http")
 
 
-def _assemble(decoded: DataFrame, parity: bool) -> DataFrame:
+def _assemble(decoded: DataFrame, parity: bool, dns_records: bool) -> DataFrame:
     any_named = " OR ".join(f"coalesce(_{r}_named, false)" for r in READERS)
     app_header = case([(f"_{r}_named", f"_{r}_header") for r in READERS], "0")
     # An MQTT segment without payload counts wholly as header.
@@ -81,6 +88,7 @@ def _assemble(decoded: DataFrame, parity: bool) -> DataFrame:
         *layers.PROTOCOL_FIELDS,
         F.expr("IF(_dns_named, _dns_fields, NULL)").alias("dns"),
         *[F.col(f"_{r}_fields").alias(r) for r in READERS[1:]],
+        *([F.col("_dns_walk.records").alias("dns_records"), F.col("_dns_walk.fault").alias("dns_fault")] if dns_records else []),
     )
     return with_endpoints(nested)
 

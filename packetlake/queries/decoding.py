@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetlake.fixtures import VARIANTS, application_frames, synth_frames
+from packetlake.fixtures import VARIANTS, application_frames, dns_answer_frames, synth_frames
 from packetlake.functions.net import ip_text, mac_text
 from packetlake.functions.binary import piece
 from packetlake.operators.decode import decode_packets, decode_summary, packet_table
@@ -328,6 +328,56 @@ def decode_dns(spark, sf_dir):
     )
 
 
+ANSWERS_CTE = f"""{APPS_CTE}, asked AS (
+      SELECT *, packet_no % 8 AS form, 'user' || user_id || '.example' AS host, packet_no % 1000 AS ttl,
+        '10.' || (packet_no >> 16) % 256 || '.' || (packet_no >> 8) % 256 || '.' || packet_no % 256 AS v4,
+        'fd' || repeat('00', 11) || '0a' || lpad(lower(hex(packet_no % 16777216)), 6, '0') AS v6
+      FROM apps WHERE event_type = 'signup')"""
+
+
+@query(
+    "dns_faults",
+    f"""WITH {ANSWERS_CTE} SELECT packet_no, form IN (0, 1, 7) AS rfc_compatible,
+      CASE WHEN form IN (0, 1, 7) THEN host ELSE '' END AS qry_name, form <> 7 AS answered,
+      CASE form WHEN 2 THEN 'record beyond the end' WHEN 3 THEN 'pointer forward' WHEN 4 THEN 'name beyond the end'
+        WHEN 5 THEN 'address size' WHEN 6 THEN 'name loops' END AS fault,
+      CASE form WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS records
+    FROM asked""",
+)
+def dns_faults(spark, sf_dir):
+    decoded = decode_packets(dns_answer_frames(spark, sf_dir), dns_records=True).filter("dns IS NOT NULL")
+    return decoded.select(
+        "packet_no",
+        "dns.rfc_compatible",
+        "dns.qry_name",
+        F.expr("substring(payload, 7, 2) <> X'0000'").alias("answered"),
+        F.col("dns_fault").alias("fault"),
+        F.size("dns_records").alias("records"),
+    )
+
+
+@query(
+    "dns_records",
+    f"""WITH {ANSWERS_CTE}
+    SELECT packet_no, 0 AS pos, CASE form WHEN 7 THEN 'authority' ELSE 'answer' END AS section,
+      CASE form WHEN 7 THEN 'example' ELSE host END AS name,
+      CASE form WHEN 1 THEN 5 WHEN 7 THEN 2 ELSE 1 END AS type, 1 AS class, ttl,
+      CASE form WHEN 1 THEN 'w.example' WHEN 7 THEN 'ns.example' ELSE v4 END AS value
+    FROM asked WHERE form IN (0, 1, 4, 7)
+    UNION ALL
+    SELECT packet_no, 1, CASE form WHEN 7 THEN 'additional' ELSE 'answer' END,
+      CASE form WHEN 7 THEN 'ns.example' ELSE 'w.example' END, CASE form WHEN 7 THEN 1 ELSE 28 END, 1, ttl,
+      CASE form WHEN 7 THEN v4 ELSE v6 END
+    FROM asked WHERE form IN (1, 7)""",
+)
+def dns_records(spark, sf_dir):
+    decoded = decode_packets(dns_answer_frames(spark, sf_dir), dns_records=True)
+    rows = decoded.select("packet_no", F.posexplode("dns_records").alias("pos", "r")).select("packet_no", "pos", "r.*")
+    # IPv6 addresses as plain hexadecimal digits.
+    value = F.when(F.col("type") == 28, F.lower(F.hex("data"))).otherwise(F.col("value"))
+    return rows.withColumn("value", value).drop("data")
+
+
 @query(
     "decode_light",
     f"""WITH {APPS_CTE}, sizes AS (

@@ -97,6 +97,43 @@ def test_dns(spark):
     assert got[0]["qry_type"] == 28 and got[8]["mdns"] and got[8]["qry_name"] == "a.bc.example"
 
 
+def test_dns_messages(spark):
+    def head(questions=1, answers=0, authority=0, additional=0):
+        return struct.pack(">HHHHHH", 5, 0x8180, questions, answers, authority, additional)
+
+    def record(owner, kind, data, size=None):
+        return owner + struct.pack(">HHIH", kind, 1, 60, len(data) if size is None else size) + data
+
+    ask = dns_name(b"a", b"example") + struct.pack(">HH", 1, 1)
+    root, back = b"\x00", b"\xc0\x0c"
+    chain = b"".join(record(struct.pack(">H", 0xC000 | 12 + len(ask) + 16 * i), 1, b"\x01\x02\x03\x04") for i in range(900))
+    long = dns_name(*[b"x" * 63] * 3, b"y" * 60)
+    messages = {
+        head(1, 1) + ask + record(back, 1, b"\x01\x02\x03\x04"): None,
+        head(1, 1) + ask + record(root, 41, b""): None,
+        head(1, 0, 0, 1) + ask + record(back, 15, b"\x00\x05" + back): None,
+        head(2) + ask + back + struct.pack(">HH", 1, 1): None,
+        head(2) + ask: "name beyond the end",
+        head(1, 1) + ask + record(back, 5, back + b"\x00"): "name beyond its record",
+        head(1, 1) + ask + record(back, 15, b"\x00\x05"): "name beyond its record",
+        head(1, 1) + ask + b"\xc0": "name beyond the end",
+        head(1, 1) + ask + record(b"\x80", 1, b""): "label type",
+        head(1, 1) + ask + back + b"\x00\x01": "record beyond the end",
+        head(1, 1) + ask + record(b"\x02ab\x00", 1, b"\xff"): "address size",
+        head(2) + long + struct.pack(">HH", 1, 1) + b"\x01z\xc0\x0c" + struct.pack(">HH", 1, 1): "name too long",
+        # Each name is a pointer to the one before it: walked once, not once a record.
+        head(1, 901) + ask + record(back, 1, b"\x01\x02\x03\x04") + chain: None,
+    }
+    got = rows_of(decode(spark, [ipv4(17, udp(m)) for m in messages], dns_records=True))
+    assert [g["dns_fault"] for g in got] == list(messages.values())
+    assert [g["dns"]["rfc_compatible"] for g in got] == [fault is None for fault in messages.values()]
+    assert got[0]["dns_records"] == [
+        {"section": "answer", "name": "a.example", "type": 1, "class": 1, "ttl": 60, "value": "1.2.3.4", "data": bytearray(b"\x01\x02\x03\x04")}
+    ]
+    assert got[2]["dns_records"][0]["value"] == "a.example"
+    assert {r["name"] for r in got[12]["dns_records"]} == {"a.example"} and len(got[12]["dns_records"]) == 901
+
+
 def test_mqtt(spark):
     payloads = [
         b"\x30\xff\xff\xff\x7f\x00\x01t",
