@@ -114,9 +114,10 @@ def split_errors(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, errors
 
 
-def packet_table(packets: DataFrame) -> DataFrame:
-    """The seven columns of the stored packet table."""
+def packet_table(packets: DataFrame, *others: str) -> DataFrame:
+    """The seven columns of the stored packet table, behind ``others`` that are asked for."""
     return packets.select(
+        *others,
         "proto_hierarchy",
         flow_key_text(*[F.col(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")]).alias("flow_key"),
         seconds_part(F.col("ts")).alias("timestamp_s"),

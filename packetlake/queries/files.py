@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetlake.fixtures import application_frames, events, labelled_packets, synth_frames
+from packetlake.fixtures import SERVERS, application_frames, events, labelled_packets, synth_frames
 from packetlake.functions.tokens import encode_tokens
 from packetlake.operators import permutation, sampling, sequences
 from packetlake.operators.decode import decode_packets
@@ -13,12 +13,13 @@ from packetlake.operators.features import csv_projection, flatten_features
 from packetlake.plans.capture import run_capture_job
 from packetlake.plans.sequences import with_flow_id
 from packetlake.queries.base import PACKETS_CTE, REGISTRY, query, sql_hash
-from packetlake.queries.decoding import APPS_CTE, FLAT_ALL_SQL, FLAT_COLUMNS, _plain_name, _plain_names
+from packetlake.queries.decoding import APPS_CTE, FRAMES_CTE, FLAT_ALL_SQL, FLAT_COLUMNS, _plain_name, _plain_names
 from packetlake.queries.labelled import BATCH, ROWS_CTE, SEED, SHUFFLED
 from packetlake.queries.tokens import EOS_SQL, SEGMENTS_CTE, SOS_SQL
 from packetlake.fixtures import document_segments
 from packetlake.schemas import ENDPOINT
 from packetlake.session import shared_folder
+from packetlake.sources.clustered import endpoint_packets, read_clustered, write_clustered
 from packetlake.sources.indexed import gather_rows, read_slice, write_indexed
 from packetlake.sources.sinks import write_batches, write_by_label, write_feature_csv, write_flat_csv
 from packetlake.sources.tables import preview, read_labelled_packets
@@ -39,6 +40,43 @@ def labelled_files(spark, sf_dir):
     return _shown(read_labelled_packets(spark, folder))
 
 
+def _stored_frames(spark, sf_dir):
+    folder = shared_folder(spark, "clustered")
+    write_clustered(decode_packets(synth_frames(spark, sf_dir)).filter("decode_error IS NULL"), folder, files=8)
+    return read_clustered(spark, folder)
+
+
+# A frame begins with both addresses as hardware addresses, and is marked from its first address on.
+CLUSTERED_SQL = """packet_no, src_hex AS src_ip, dst_hex AS dst_ip, proto_hierarchy, ts_us // 1000000 AS timestamp_s,
+      ts_us % 1000000 AS timestamp_us, header_len, '0200' || dst4 || '0200' || src4 AS hardware"""
+
+
+def _clustered(rows):
+    return rows.select(
+        "packet_no", F.hex("src_ip").alias("src_ip"), F.hex("dst_ip").alias("dst_ip"), "proto_hierarchy", "timestamp_s", "timestamp_us",
+        "header_len", F.hex(F.substring("data", 1, 12)).alias("hardware"),
+    )
+
+
+@query("clustered_files", f"WITH {FRAMES_CTE} SELECT {CLUSTERED_SQL} FROM named")
+def clustered_files(spark, sf_dir):
+    return _clustered(_stored_frames(spark, sf_dir).filter("length(mask) = length(data)"))
+
+
+BUSY = SERVERS["view"][0]
+
+
+@query(
+    "endpoint_day",
+    f"""WITH {FRAMES_CTE} SELECT {CLUSTERED_SQL} FROM named
+    WHERE '{BUSY:08X}' IN (src_hex, dst_hex) AND ts_us // 86400000000 = (SELECT min(ts_us) // 86400000000 + 7 FROM named)""",
+)
+def endpoint_day(spark, sf_dir):
+    rows = _stored_frames(spark, sf_dir)
+    start = (rows.agg(F.min("timestamp_s")).first()[0] // 86400 + 7) * 86400
+    return _clustered(endpoint_packets(rows, BUSY.to_bytes(4, "big"), start, start + 86400))
+
+
 @query("label_folders", f"SELECT {LABELLED_SQL}, event_type AS folder FROM events")
 def label_folders(spark, sf_dir):
     folder = shared_folder(spark, "labels")
