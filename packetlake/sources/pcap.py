@@ -54,9 +54,12 @@ DAMAGE = ("error", "stop")
 
 # Most bytes of a record for which entries of ranges are foreseen, and how many such records the lead-in of a range holds.
 REACH, LEAD_RECORDS = 1 << 20, 4
+# Ranges up to this number have a task each; above it a task takes several, of SPLIT_BYTES together at most.
+OWN_TASKS = 1024
 
 RANGES = "path string, file_no long, start long, stop long, size long"
-MAPS = "path string, file_no long, size long, number long, entry long, exit long"
+MAPS = "path string, file_no long, size long, number long, entries array<long>, exits array<long>"
+MAP_TYPES = pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("file_no", "size", "number")), *((n, pa.list_(pa.int64())) for n in ("entries", "exits"))])
 RANGE_TYPES = pa.schema([("path", pa.string()), *((name, pa.int64()) for name in ("file_no", "start", "stop", "size"))])
 DAMAGED = "path string, file_no long, at long, bytes_left long, ts timestamp"
 
@@ -120,9 +123,10 @@ class Capture:
         offsets in the block and ``after`` is where the last one ends. A record
         that the file does not hold whole ends the walk and is kept in ``damaged``.
         """
-        at, wanted = start, BLOCK
+        at, wanted = start, 0
         while at < stop:
-            block = self.source.read_at(min(wanted, self.size - at), at)
+            # No more than the range and its last record, if that is not longer than records are here.
+            block = self.source.read_at(min(wanted or min(BLOCK, stop - at + self.reach), self.size - at), at)
             place, places, have = 0, [], len(block)
             while place < stop - at and place + RECORD_HEADER <= have:
                 after = place + RECORD_HEADER + self.length(block, place + 8)[0]
@@ -132,7 +136,7 @@ class Capture:
                 place = after
             if places:
                 yield block, at, places, place
-                at, wanted = at + place, BLOCK
+                at, wanted = at + place, 0
                 continue
             # Not one whole record: it is longer than the block, or than the file.
             wanted = RECORD_HEADER + (self.length(block, 8)[0] if have >= RECORD_HEADER else 0)
@@ -181,7 +185,7 @@ class Capture:
             if at + RECORD_HEADER > self.size:
                 continue
             if not base <= at <= base + len(block) - RECORD_HEADER:
-                block, base = self.source.read_at(min(BLOCK, self.size - at), at), at
+                block, base = self.source.read_at(min(BLOCK, stop - at + RECORD_HEADER, self.size - at), at), at
             alone = not heads
             have, place = len(block) - RECORD_HEADER, at - base
             owners = chains.pop(at)
@@ -269,7 +273,8 @@ def record_ranges(spark: SparkSession, path: str, files: list[CaptureFile], spli
     """RANGES of the files: a first record and the offset before which the last one begins.
 
     A file above ``split_bytes`` has a task for each of its ranges, here and in
-    what reads them. What meets in one task per file is a few numbers per range.
+    what reads them; very many short ranges share tasks. What meets in one task per file is one row per range: the
+    chains that enter it and come out again.
     """
     large = [f for f in files if f.size > split_bytes]
     small = file_rows(spark, [f for f in files if f.size <= split_bytes])
@@ -282,20 +287,24 @@ def record_ranges(spark: SparkSession, path: str, files: list[CaptureFile], spli
                 start, stop = row["number"] * split_bytes, min(row["size"], (row["number"] + 1) * split_bytes)
                 with open_capture(path, row["path"], row["size"]) as capture:
                     entries = capture.entries(start) if row["number"] else [FILE_HEADER]
-                    found = [{**row, "entry": a, "exit": b} for a, b in capture.exits(entries, stop).items()]
-                yield pa.RecordBatch.from_pylist(found, pa.schema([*((n, batch.schema.field(n).type) for n in batch.schema.names), ("entry", pa.int64()), ("exit", pa.int64())]))
+                    # Most chains of chance leap over the range; a true one that does enters a later range.
+                    found = capture.exits([at for at in entries if at < stop], stop)
+                yield pa.RecordBatch.from_pylist([{**row, "entries": list(found), "exits": list(found.values())}], MAP_TYPES)
 
     def compose(key: tuple, maps: pa.Table) -> pa.Table:
-        rows = maps.to_pylist()
-        name, number, size = rows[0]["path"], rows[0]["file_no"], rows[0]["size"]
-        known = {(r["number"], r["entry"]): r["exit"] for r in rows}
+        maps = maps.combine_chunks()
+        name, number, size = (maps[c][0].as_py() for c in ("path", "file_no", "size"))
+        rows = {n: i for i, n in enumerate(maps["number"].to_pylist())}
         at, out = FILE_HEADER, []
         while at < size:
             here = at // split_bytes
             stop = min(size, (here + 1) * split_bytes)
             out.append({"path": name, "file_no": number, "start": at, "stop": stop, "size": size})
-            after = known.get((here, at))
-            if after is None:
+            entries, exits = (maps[c][rows[here]].values.to_numpy() for c in ("entries", "exits"))
+            known = np.flatnonzero(entries == at)
+            if known.size:
+                after = int(exits[known[0]])
+            else:
                 with open_capture(path, name, size) as capture:
                     after = capture.exits([at], stop).get(at)
             if after is None:
@@ -306,10 +315,9 @@ def record_ranges(spark: SparkSession, path: str, files: list[CaptureFile], spli
     last = F.expr(f"(size - 1) div {split_bytes}")
     ranges = file_rows(spark, large).select("path", "file_no", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("number"))
     tasks = sum(-(-f.size // split_bytes) for f in large)
+    tasks = min(tasks, max(OWN_TASKS, sum(-(-f.size // SPLIT_BYTES) for f in large)))
     maps = ranges.repartition(tasks, "file_no", "number").mapInArrow(map_entries, MAPS)
-    # Ranges without any chain give no row; the first one always does, or the file has no whole record.
-    marks = file_rows(spark, large).select("path", "file_no", "size", F.lit(-1).cast("long").alias("number"), F.lit(-1).cast("long").alias("entry"), F.lit(-1).cast("long").alias("exit"))
-    composed = maps.unionByName(marks).groupBy("file_no").applyInArrow(compose, RANGES)
+    composed = maps.groupBy("file_no").applyInArrow(compose, RANGES)
     composed = composed.repartition(tasks, "file_no", "start")
     return small.unionByName(composed) if len(large) < len(files) else composed
 

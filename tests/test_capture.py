@@ -212,6 +212,39 @@ def test_sequence_jobs(spark, sf_dir):
     assert with_flow_id(packets).filter("FlowID IS NULL").isEmpty()
 
 
+class Counted:
+    """A source that notes how many bytes are asked for."""
+
+    def __init__(self, source):
+        self.source, self.bytes = source, 0
+
+    def read_at(self, size, at):
+        self.bytes += size
+        return self.source.read_at(size, at)
+
+
+def test_a_range_reads_and_maps_only_itself(spark, tmp_path):
+    rows = [(s, u, d[:20] + bytes(len(d) - 20)) for s, u, d in records(30_000)]
+    capture(tmp_path / "a.pcap", rows)
+    path, split = str(tmp_path / "a.pcap"), 64 * 1024
+    size = (tmp_path / "a.pcap").stat().st_size
+    with open_capture(path, path, size) as opened:
+        opened.source = Counted(opened.source)
+        entries = opened.entries(20 * split)
+        opened.source.bytes = 0
+        left = opened.exits([at for at in entries if at < 21 * split], 21 * split)
+        assert opened.source.bytes <= split + 16 and left
+        opened.source.bytes, first = 0, min(a for a in left if a >= 20 * split)
+        list(opened.blocks(first, 21 * split))
+        assert opened.source.bytes <= 2 * (split + opened.reach)
+    files = list_captures(path)
+    plan = record_ranges(spark, path, files, split)
+    # What meets in the task of a file is a row per range, with few chains.
+    maps = plan._jdf.queryExecution().analyzed().toString()
+    assert "entries#" in maps and "exits#" in maps
+    assert read_frames(spark, path, split_bytes=split).count() == len(rows)
+
+
 def test_slices_and_gathers_read_their_folders(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.range(2000).selectExpr("shiftleft(id, 40) AS packet_no", "id AS v")
