@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlake.operators.ordered import row_index
 
 PER_SEGMENT = 1 << 20
-#: Different segments of a gather that are named in the scan; more are found by the join alone.
+#: Folders of a table at most; a folder of a table with more segments holds several in a row.
+FOLDERS = 4096
+#: Different folders of a gather that are named in the scan; more are found by the join alone.
 NAMED_SEGMENTS = 4096
 
 
@@ -16,14 +20,23 @@ def _segment(position, per_segment: int):
     return F.floor(position / F.lit(per_segment)).cast("long")
 
 
+def _stride(stored: DataFrame) -> int:
+    """Segments of a folder of the table: folders are named by their first segment, so this is the second name."""
+    names = {int(found[1]) for f in stored.inputFiles() if (found := re.search(r"/segment=(\d+)/", f))}
+    return min(names - {0}, default=max(1, FOLDERS))
+
+
 def write_indexed(rows: DataFrame, order: str, path: str, per_segment: int = PER_SEGMENT, mode: str = "errorifexists") -> None:
     """Stores ``rows`` with ``row_idx``, their 0-based position along the unique integer ``order``.
 
     Each folder holds ``per_segment`` positions in a row, sorted, so the folder
     of a position is known by arithmetic, and inside it row groups and pages have
-    ranges of ``row_idx`` that do not overlap.
+    ranges of ``row_idx`` that do not overlap. A table of more than FOLDERS
+    segments has folders of several, named by their first one, since files and
+    their listing cost more than the rows of short segments.
     """
-    placed = row_index(rows, order, "row_idx").withColumn("segment", _segment(F.col("row_idx"), per_segment))
+    stride = max(1, -(-rows.count() // (per_segment * FOLDERS)))
+    placed = row_index(rows, order, "row_idx").withColumn("segment", _segment(F.col("row_idx"), per_segment * stride) * stride)
     placed.repartition("segment").sortWithinPartitions("segment", "row_idx").write.mode(mode).partitionBy("segment").parquet(path)
 
 
@@ -32,8 +45,11 @@ def read_slice(spark: SparkSession, path: str, start: int, count: int, per_segme
     if start < 0 or count < 0:
         raise ValueError("a slice begins at 0 or later and has no negative length")
     last = start + count - 1
-    folders = F.col("segment").between(start // per_segment, last // per_segment)
-    return spark.read.parquet(path).filter(folders & F.col("row_idx").between(start, last)).drop("segment")
+    stored = spark.read.parquet(path)
+    stride = _stride(stored)
+    wide = per_segment * stride
+    folders = F.col("segment").between(start // wide * stride, last // wide * stride)
+    return stored.filter(folders & F.col("row_idx").between(start, last)).drop("segment")
 
 
 def gather_rows(wanted: DataFrame, path: str, per_segment: int = PER_SEGMENT) -> DataFrame:
@@ -42,9 +58,10 @@ def gather_rows(wanted: DataFrame, path: str, per_segment: int = PER_SEGMENT) ->
     A position that is listed twice gives two rows; one beyond the table gives none.
     """
     spark = wanted.sparkSession
-    placed = wanted.withColumn("segment", _segment(F.col("row_idx"), per_segment))
-    named = placed.select("segment").distinct().limit(NAMED_SEGMENTS + 1).collect()
     stored = spark.read.parquet(path)
+    stride = _stride(stored)
+    placed = wanted.withColumn("segment", _segment(F.col("row_idx"), per_segment * stride) * stride)
+    named = placed.select("segment").distinct().limit(NAMED_SEGMENTS + 1).collect()
     if len(named) <= NAMED_SEGMENTS:
         stored = stored.filter(F.col("segment").isin([r.segment for r in named]) if named else F.lit(False))
     return placed.join(stored, ["segment", "row_idx"]).drop("segment")

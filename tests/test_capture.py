@@ -10,6 +10,7 @@ from packetlake.plans.capture import read_frames, run_capture_job
 from packetlake.plans.sequences import training_batch, validation_batches, with_flow_id
 from packetlake.fixtures import labelled_packets, synth_frames
 from packetlake.sources.pcap import capture_damage, list_captures, open_capture, record_ranges
+from packetlake.sources import indexed
 from packetlake.sources.indexed import gather_rows, read_slice, write_indexed
 from packetlake.sources.sinks import append_payloads, read_payloads
 from packetlake.sources.tables import preview
@@ -245,6 +246,16 @@ def test_a_range_reads_and_maps_only_itself(spark, tmp_path):
     assert read_frames(spark, path, split_bytes=split).count() == len(rows)
 
 
+def test_many_short_segments_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(indexed, "FOLDERS", 8)
+    path = str(tmp_path / "t")
+    write_indexed(spark.range(2000).selectExpr("id * 5 AS packet_no", "id AS v"), "packet_no", path, per_segment=10)
+    assert len(list((tmp_path / "t").glob("segment=*"))) == 8
+    assert sorted(r.v for r in read_slice(spark, path, 245, 30, 10).collect()) == list(range(245, 275))
+    wanted = spark.createDataFrame([(0, 5), (1, 1999), (2, 5), (3, 7000)], "draw int, row_idx long")
+    assert sorted((r.draw, r.v) for r in gather_rows(wanted, path, 10).collect()) == [(0, 5), (1, 1999), (2, 5)]
+
+
 def test_slices_and_gathers_read_their_folders(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.range(2000).selectExpr("shiftleft(id, 40) AS packet_no", "id AS v")
