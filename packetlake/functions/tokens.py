@@ -1,17 +1,20 @@
 """Token arrays from packet bytes.
 
 Token rows have 1,520 numbers, so the byte-level work runs on whole Arrow batches
-with numpy; Spark decides which rows meet in a batch.
+with numpy; Spark decides which rows meet in a batch. A batch of Spark's default
+size would be 10,000 rows, hundreds of MB of work arrays in each worker, so these
+functions set smaller ones in the active session (``small_batches``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from packetlake.schemas import CLS, END, ENDPOINT, MASK, PAD, TOKENS_PER_PACKET, VOCABULARY
+from packetlake.session import small_batches
 
 # Where the class token goes: first with a closing token, or last.
 PLACEMENTS = {"SOS": 2, "EOS": 1}
@@ -77,6 +80,7 @@ def check_options(placement: str, overflow: str) -> None:
 
 def bytes_to_ints(data: Column) -> Column:
     """Bytes as an array of numbers 0-255."""
+    small_batches(SparkSession.active())
 
     @F.arrow_udf("array<int>")
     def to_ints(batch: pa.Array) -> pa.Array:
@@ -87,6 +91,7 @@ def bytes_to_ints(data: Column) -> Column:
 
 def apply_mask(data: Column, mask: Column, value: int = 0) -> Column:
     """Bytes as numbers, ``value`` where the mask byte is 1."""
+    small_batches(SparkSession.active())
 
     @F.arrow_udf("array<int>")
     def masked(batch: pa.Array, flags: pa.Array) -> pa.Array:
@@ -108,6 +113,7 @@ def encode_tokens(
     A packet that does not fit raises an error, is cut, or gives NULL (``drop``).
     """
     check_options(placement, overflow)
+    small_batches(SparkSession.active())
 
     @F.arrow_udf("array<int>")
     def encode(batch: pa.Array, flags: pa.Array) -> pa.Array:
@@ -120,6 +126,7 @@ def encode_tokens(
 
 def masked_bytes(data: Column, mask: Column) -> Column:
     """The bytes where the mask is 1, in order."""
+    small_batches(SparkSession.active())
 
     @F.arrow_udf("binary")
     def extract(batch: pa.Array, flags: pa.Array) -> pa.Array:
@@ -194,6 +201,7 @@ def corrupt_tokens(
     Of the selectable tokens the share is taken, rounded up and at most ``cap``;
     which ones depends only on the seed, the row id and the position.
     """
+    small_batches(SparkSession.active())
 
     @F.arrow_udf("array<int>")
     def corrupt(batch: pa.Array, ids: pa.Array) -> pa.Array:

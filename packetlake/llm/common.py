@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlake.session import shared_folder
+from packetlake.session import shared_folder, small_batches
 
 #: Bits of a membership filter: 1 MiB, whatever the number of members.
 FILTER_BITS = 1 << 23
@@ -139,9 +139,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> None:
-    """Small Arrow batches, in rows and in bytes, so that long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Small Arrow batches, so that long texts do not pile up in a worker."""
+    small_batches(spark)
 
 
 def id_remainder(divisor: int) -> Column:

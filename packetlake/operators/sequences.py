@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from packetlake.functions.tokens import _masked, check_options, token_rows
 from packetlake.operators.ordered import DEFAULT_WIDTH, SEGMENT, balanced, numbered, row_index
 from packetlake.schemas import PAD, TOKENS_PER_PACKET
+from packetlake.session import small_batches
 
 FLOW = ["AttackLabel", "FlowID"]
 SEQUENCE = [*FLOW, "seq_no"]
@@ -62,6 +63,7 @@ def assemble_sequences(
     check_options(placement, overflow)
     if overflow == "drop":
         raise ValueError("a sequence cannot drop single packets")
+    small_batches(sequences.sparkSession)
     packet = F.struct("pos", "data", "mask")
     grouped = sequences.groupBy(*keys).agg(
         F.min_by("AttackLabel", "pos").alias("label"),

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -96,3 +97,17 @@ def test_ids_ignore_order(spark):
         assert frame.select(host_pair_id(F.col("data"), F.col("mask"), digest)).distinct().count() == 1
     pairs = spark.createDataFrame([(1, 2), (2, 1)], "a int, b int")
     assert pairs.select(unordered_id(F.col("a"), F.col("b"))).distinct().count() == 1
+
+
+def test_token_functions_bound_the_batches_of_a_worker(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    frame, _ = packets(spark, [40] * 1200)
+    spark.conf.set(rows, "10000")
+
+    @F.arrow_udf("long")
+    def seen(batch: pa.Array) -> pa.Array:
+        return pa.array([len(batch)] * len(batch), pa.int64())
+
+    tokens = encode_tokens(F.col("data"), F.col("mask"))
+    widest = frame.coalesce(1).select(seen(corrupt_tokens(tokens, F.col("packet_no"), 7)).alias("n")).agg(F.max("n")).scalar()
+    assert frame.select(widest.alias("n")).first().n <= 500
