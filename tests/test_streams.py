@@ -4,13 +4,14 @@ import os
 import random
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from packetlake.operators.graph import EDGE_KEY, EDGE_STATS, upsert_edges
 from packetlake.operators.dns import flag_retransmissions
 from packetlake.streaming.dns import write_repeated_queries
 from packetlake.streaming.edgetable import EdgeTable
-from packetlake.streaming.sessions import SESSIONS, idle_sessions, write_idle_sessions
+from packetlake.streaming.sessions import SESSIONS, IdleTimeout, idle_sessions, write_idle_sessions
 
 EDGES = "label string, src binary, dst binary, protocol string, src_port int, dst_port int, " + ", ".join(f"{c} long" for c in EDGE_STATS)
 
@@ -125,3 +126,69 @@ def test_dns_state_equals_the_batch_operator_and_expires(spark, tmp_path):
     spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     write_repeated_queries(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     assert {r.packet_no for r in spark.read.parquet(str(tmp_path / "out")).filter("packet_no > 9000").collect()} == {9002}
+
+
+class Held:
+    """State and timers of one group in memory; counts the calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = rows
+
+    def clear(self):
+        self.put([])
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_group_of_flows_takes_few_calls_to_the_state():
+    gap, rnd, held = 300_000_000, random.Random(5), Held()
+    processor = IdleTimeout(gap)
+    processor.init(held)
+    # Whole minutes give gaps of exactly 300 s; one protocol is null.
+    times = {p: sorted({rnd.randrange(300) * 60_000_000 for _ in range(20)}) for p in range(200)}
+    flow = {p: (b"\x0a\0\0\1", b"\x0a\0\0\2", p, 80, "TCP" if p else None) for p in times}
+    got = []
+    for start in range(0, 300 * 60_000_000, 75 * 60_000_000):
+        rows = [Row(*flow[p], t, t, 1, 10, None) for p in times for t in times[p] if start <= t < start + 75 * 60_000_000]
+        rnd.shuffle(rows)
+        before = held.calls
+        got += processor.handleInputRows((0,), iter(rows), None)
+        assert len(rows) > 500 and held.calls - before <= 4
+        assert held.timers == {min(processor.deadline_ms(r[6]) for r in held.rows)}
+    middle = sorted(processor.deadline_ms(r[6]) for r in held.rows)[100]
+    for now in (middle, 10**9):
+        held.timers.clear()
+        got += processor.handleExpiredTimer((0,), Now(now), None)
+        assert all(processor.deadline_ms(r[6]) > now for r in held.rows) and len(held.timers) == bool(held.rows)
+    expected = []
+    for p, seen in times.items():
+        runs = [[seen[0]]]
+        for t in seen[1:]:
+            runs.append([t]) if t - runs[-1][-1] > gap else runs[-1].append(t)
+        expected += [(*flow[p], r[0], r[-1], len(r), 10 * len(r)) for r in runs]
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, expected))
