@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from packetlake.fixtures import (
@@ -81,11 +82,15 @@ def edge_table_versions(spark, sf_dir):
     landed_events(spark, sf_dir, f"{folder}/landed", folders=True)
     events = with_instants(spark.read.parquet(f"{folder}/landed"))
     table = EdgeTable(spark, f"{folder}/edges", buckets=16, compact_after=2)
+    # Kept on the executors' disks: the join's null checks would otherwise be pushed below the packets and
+    # compute the endpoints many times per row, in every batch again.
+    parts = [packets_of(events.filter(F.col("part") == i)).persist(StorageLevel.DISK_ONLY) for i in range(4)]
     for number in (0, 1, 2, 3, 3):
-        arrived = packets_of(events.filter(F.col("part") <= number))
-        changed = packets_of(events.filter(F.col("part") == number))
-        touched = with_normalised_key(changed).select(*FLOW_KEY).distinct()
+        arrived = functools.reduce(lambda a, b: a.unionByName(b), parts[: number + 1])
+        touched = with_normalised_key(parts[number]).select(*FLOW_KEY).distinct()
         table.upsert(flow_edges(flow_stats(arrived).join(touched, FLOW_KEY, "left_semi")), number)
+    for part in parts:
+        part.unpersist()
     views = [table.view(i).select(F.lit(i).alias("batch"), "*") for i in range(4)]
     return as_text(functools.reduce(lambda a, b: a.unionByName(b), views), "src", "dst")
 

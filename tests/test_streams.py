@@ -192,3 +192,21 @@ def test_a_group_of_flows_takes_few_calls_to_the_state():
             runs.append([t]) if t - runs[-1][-1] > gap else runs[-1].append(t)
         expected += [(*flow[p], r[0], r[-1], len(r), 10 * len(r)) for r in runs]
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, expected))
+
+
+def test_edge_batches_read_packets_that_were_computed_once(spark, sf_dir, monkeypatch):
+    from packetlake.queries.streams import edge_table_versions
+
+    plans, upsert = [], EdgeTable.upsert
+
+    def seen(self, edges, number):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        upsert(self, edges, number)
+
+    monkeypatch.setattr(EdgeTable, "upsert", seen)
+    assert edge_table_versions(spark, sf_dir).count() > 0
+    assert len(plans) == 5
+    for plan in plans:
+        # No filter lies below the packets, where it would repeat their expressions.
+        above = plan.split("InMemoryRelation")[0]
+        assert "InMemoryRelation" in plan and "unhex" not in above
