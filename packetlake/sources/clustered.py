@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,17 @@ def write_clustered(
     is not gathered in one task. Bloom filters on both addresses tell which row
     groups hold an endpoint; page indexes and sorted pages do the rest. An empty
     table gives an empty one. Packets without a time or address count as the
-    lowest of their dimension.
+    lowest of their dimension. The packets are computed once and kept on the
+    executors' disks for the three passes: time span, cuts, rows.
     """
-    wide = packet_table(packets, "packet_no", *ENDPOINT_COLUMNS)
+    wide = packet_table(packets, "packet_no", *ENDPOINT_COLUMNS).persist(StorageLevel.DISK_ONLY)
+    try:
+        _write_along_curve(wide, path, files, bits, group_bytes, page_rows, mode)
+    finally:
+        wide.unpersist()
+
+
+def _write_along_curve(wide: DataFrame, path: str, files: int, bits: int, group_bytes: int, page_rows: int, mode: str) -> None:
     span = wide.agg(F.min("timestamp_s"), F.max("timestamp_s")).first()
     low, high = (span[0] or 0, span[1] or 0)
     width = max(1, -(-(high - low + 1) // (1 << bits)))

@@ -86,3 +86,17 @@ def test_bursts_and_odd_tables(spark, tmp_path):
     assert read_clustered(spark, str(tmp_path / "gaps")).filter("src_ip IS NULL").count() == 50
     with pytest.raises(Exception, match="already exists"):
         write_clustered(given, str(tmp_path / "gaps"), files=8)
+
+
+def test_packets_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = packets(spark, 1000)
+    write_clustered(rows.mapInArrow(count, rows.schema), str(tmp_path / "table"), files=3)
+    assert seen.value == 1000
+    assert read_clustered(spark, str(tmp_path / "table")).count() == 1000
