@@ -111,3 +111,13 @@ def test_token_functions_bound_the_batches_of_a_worker(spark):
     tokens = encode_tokens(F.col("data"), F.col("mask"))
     widest = frame.coalesce(1).select(seen(corrupt_tokens(tokens, F.col("packet_no"), 7)).alias("n")).agg(F.max("n")).scalar()
     assert frame.select(widest.alias("n")).first().n <= 500
+
+
+def test_md5_of_joined_token_rows(spark):
+    import hashlib
+
+    from packetlake.queries.labelled import joined_md5
+
+    rows = [(0, [[0, 9, 10], [256, 258, 99]]), (1, [[100], [0], [7]]), (2, [[999, 0]])]
+    got = {r.i: r.d for r in spark.createDataFrame(rows, "i int, t array<array<int>>").select("i", joined_md5("t").alias("d")).collect()}
+    assert got == {i: hashlib.md5(",".join(str(x) for row in t for x in row).encode()).hexdigest() for i, t in rows}
