@@ -19,9 +19,13 @@ def join_salted(
     smaller table. ``large`` is read and shuffled once. What is still too big in
     one partition is split again at run time by the adaptive skew join, which can
     cut the left side of these kinds: inner, left, left_semi, left_anti. Where
-    ``small`` turns out to be small enough, Spark broadcasts it instead.
+    ``small`` is small enough with all its copies, Spark broadcasts it instead.
+    The copies come from a join, whose size Spark takes as the product of both
+    sides. It takes an exploded table to be as large as before, and would hold
+    all copies of a table below the broadcast limit in the memory of each task.
     """
     keys = [*on, "__salt"]
     spread = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    numbers = small.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("__salt"))
+    repeated = small.crossJoin(F.broadcast(numbers))
     return spread.join(repeated, keys, how).drop("__salt")

@@ -158,6 +158,24 @@ def test_salted_join_equals_plain_join(spark):
         assert plain.exceptAll(salted.select(*plain.columns)).isEmpty() and plain.count() == salted.count()
 
 
+def test_salted_join_broadcasts_by_the_size_of_all_copies(spark):
+    large = spark.range(20_000).select((F.col("id") % 2500).alias("k"), "id")
+    # 2,000 keys are below 64 KB, 16 copies of each are above; 20 keys are below with their copies.
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(64 << 10))
+    try:
+        for keys, how, kind in ((2000, "left_semi", "SortMergeJoin"), (2000, "left", "SortMergeJoin"), (20, "left_semi", "BroadcastHashJoin")):
+            small = spark.range(keys * 3).select((F.col("id") % keys).alias("k")).distinct()
+            joined = join_salted(large, small, ["k"], how)
+            assert len(joined.collect()) == (20_000 if how == "left" else 8 * keys)
+            final = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "isFinalPlan=true" in final and f"{kind} " in final
+            assert "SortMergeJoin" not in final or kind == "SortMergeJoin"
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_address_text(spark):
     import ipaddress
 
