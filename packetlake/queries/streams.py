@@ -163,13 +163,14 @@ def pcap_scan(spark, sf_dir):
     plain = synth_frames(spark, sf_dir, variants=False)
     write_captures(plain, folder)
     frames = read_frames(spark, folder, split_bytes=64 * 1024)
+    # Frames are numbered behind the decoder. A join of the two would be broadcast: Spark takes frames to be about
+    # as large as the ranges they are read from.
+    decoded = decode_packets(frames).select("packet_no", "ts", F.hex("payload").alias("props"))
     # A segment is a MiB of a file, so no task sorts a whole file.
-    order = numbered(frames, [], ["packet_no"], F.shiftright("packet_no", 20), "frame_no")
-    payload = decode_packets(order.drop("frame_no")).select("packet_no", F.hex("payload").alias("props"))
-    parts = order.select(
-        "packet_no", "frame_no", seconds_part(F.col("ts")).alias("timestamp_s"), micros_part(F.col("ts")).alias("timestamp_us")
+    order = numbered(decoded, [], ["packet_no"], F.shiftright("packet_no", 20), "frame_no")
+    return order.select(
+        "frame_no", seconds_part(F.col("ts")).alias("timestamp_s"), micros_part(F.col("ts")).alias("timestamp_us"), "props"
     )
-    return parts.join(payload, "packet_no").drop("packet_no")
 
 
 @query(
