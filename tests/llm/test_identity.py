@@ -92,6 +92,36 @@ def test_forest_splits_find_every_link(spark, monkeypatch):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == plain_vectors(rows)
 
 
+@pytest.mark.parametrize("subtree", [48, 200, 1000])
+def test_forest_nodes_split_within_a_task_find_every_link(spark, monkeypatch, subtree):
+    """Nodes split by jobs first, then by one task each, and dense leaves above and below that size, against all pairs."""
+    for name, value in (("LEAF", 16), ("BLOCK", 24), ("SUBTREE", subtree)):
+        monkeypatch.setattr(forest, name, value)
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(60, 24))
+    rows = [(i, (centres[i % 60] + rng.normal(size=24) * 0.02 * (i % 5)).tolist(), "ab"[i % 2]) for i in range(420)]
+    rows += [(1000 + i, (centres[0] + rng.normal(size=24) * 0.005).tolist(), "a") for i in range(80)]
+    rows += [(2000 + i, rng.normal(size=8).tolist(), "c") for i in range(40)] + [(3000 + i, rows[i][1], "b") for i in range(0, 40, 2)]
+    got = forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == plain_vectors(rows)
+
+
+def test_forest_hands_a_vector_on_once_per_tree(spark, monkeypatch):
+    """A vector that is in many leaves is handed on with their names, and further levels of a small node take no jobs."""
+    monkeypatch.setattr(forest, "LEAF", 16)
+    rng = np.random.default_rng(14)
+    jobs = []
+    for n in (60, 600):
+        points = spark.createDataFrame([(i, "a", rng.normal(size=8).tolist()) for i in range(n)], "rep long, label string, embedding array<double>")
+        spark.sparkContext.setJobGroup(f"forest {n}", "leaves")
+        found = forest.leaves(points, n, 8, 0.98).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest {n}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(found) == n * forest.TREES
+    assert jobs[0] == jobs[1]
+    assert sum(len(r.leaves) for r in found) > 1.3 * len(found)
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Posting lists of several components and blocks, against all pairs."""
     monkeypatch.setattr(minhash, "LIST_BLOCK", 16)
