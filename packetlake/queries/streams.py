@@ -188,12 +188,12 @@ def pcap_one_file(spark, sf_dir):
     record = F.concat(F.lit(bytes(8)), size, size, props)
     write_captures(synth_frames(spark, sf_dir, F.concat(record, record, record), variants=False), folder, one_file=True)
     frames = read_frames(spark, folder, split_bytes=256 * 1024)
-    order = numbered(frames, [], ["packet_no"], F.shiftright("packet_no", 20), "frame_no")
-    payload = decode_packets(order.drop("frame_no")).select("packet_no", F.expr("hex(substring(payload, 17, (length(payload) - 48) div 3))").alias("props"))
-    parts = order.select(
-        "packet_no", "frame_no", seconds_part(F.col("ts")).alias("timestamp_s"), micros_part(F.col("ts")).alias("timestamp_us")
+    # Numbered behind the decoder and not joined, as in pcap_scan.
+    decoded = decode_packets(frames).select("packet_no", "ts", F.expr("hex(substring(payload, 17, (length(payload) - 48) div 3))").alias("props"))
+    order = numbered(decoded, [], ["packet_no"], F.shiftright("packet_no", 20), "frame_no")
+    return order.select(
+        "frame_no", seconds_part(F.col("ts")).alias("timestamp_s"), micros_part(F.col("ts")).alias("timestamp_us"), "props"
     )
-    return parts.join(payload, "packet_no").drop("packet_no")
 
 
 @query(
