@@ -292,7 +292,7 @@ def record_ranges(spark: SparkSession, path: str, files: list[CaptureFile], spli
                 yield pa.RecordBatch.from_pylist([{**row, "entries": list(found), "exits": list(found.values())}], MAP_TYPES)
 
     def compose(key: tuple, maps: pa.Table) -> pa.Table:
-        maps = maps.combine_chunks()
+        # The chunks are not combined: the maps of a large file are most of what this task holds.
         name, number, size = (maps[c][0].as_py() for c in ("path", "file_no", "size"))
         rows = {n: i for i, n in enumerate(maps["number"].to_pylist())}
         at, out = FILE_HEADER, []
